@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from syncproof.llm import decontaminate
+from syncproof.llm import decontaminate, simhash, url_filter
 
-QUERIES = {"op2_decontaminate": decontaminate.query}
-SQL = {"op2_decontaminate": decontaminate.SQL}
+QUERIES = {
+    "op2_decontaminate": decontaminate.query,
+    "op3_url_filter": url_filter.query,
+    "op8_simhash": simhash.query,
+}
+SQL = {
+    "op2_decontaminate": decontaminate.SQL,
+    "op3_url_filter": url_filter.SQL,
+}
