@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from syncproof.llm import decontaminate, fingerprint, langid, line_dedup, simhash, url_filter
+from syncproof.llm import decontaminate, fingerprint, langid, line_dedup, pii, secrets, simhash, url_filter
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
     "op3_url_filter": url_filter.query,
     "op4_fingerprint": fingerprint.query,
+    "op6_pii": pii.query,
     "op7_langid": langid.query,
     "op8_simhash": simhash.query,
+    "op9_secrets": secrets.query,
     "op10_line_dedup": line_dedup.query,
 }
 SQL = {
