@@ -57,11 +57,11 @@ def ascii_lower(c):
     return F.translate(c, UPPER, LOWER)
 
 
-def map_documents(docs: DataFrame, make: Callable[[], Callable], fields: list[T.StructField], text: str = "text") -> DataFrame:
+def map_documents(docs: DataFrame, make: Callable[[], Callable], fields: list[T.StructField], text: str = "text", rows: bool = False) -> DataFrame:
     """docs as one struct column `doc` (so any column names may occur), plus fields computed from whole texts.
 
     make() is called once in each task and returns f(texts: list[bytes | None]) -> list of value lists, one for
-    each field; texts come as UTF-8 bytes in slices of bounded size.
+    each field; texts come as UTF-8 bytes in slices of bounded size. With rows, f also gets the documents' Arrow struct array.
     """
     out = T.StructType([T.StructField("doc", docs.schema), *fields])
 
@@ -70,7 +70,7 @@ def map_documents(docs: DataFrame, make: Callable[[], Callable], fields: list[T.
         for batch in batches:
             for part in slices(batch, text):
                 texts = part.column(0).field(text).cast(pa.binary()).to_pylist()
-                got = f(texts)
+                got = f(texts, part.column(0)) if rows else f(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, type=t) for v, t in zip(got, kinds, strict=True)]], names=names)
 
     kinds, names = [arrow_type(x.dataType) for x in fields], ["doc", *[x.name for x in fields]]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from syncproof.llm import decontaminate, fingerprint, langid, line_dedup, pii, secrets, simhash, url_filter
+from syncproof.llm import decontaminate, fingerprint, langid, line_dedup, pii, quality, secrets, simhash, url_filter
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_decontaminate": decontaminate.query,
     "op3_url_filter": url_filter.query,
     "op4_fingerprint": fingerprint.query,
