@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from syncproof.llm import decontaminate, fingerprint, langid, line_dedup, pii, quality, secrets, simhash, url_filter
+from syncproof.llm import decontaminate, fingerprint, langid, line_dedup, pii, quality, secrets, sentencepiece, simhash, url_filter
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_decontaminate": decontaminate.query,
     "op3_url_filter": url_filter.query,
     "op4_fingerprint": fingerprint.query,
+    "op5_sentencepiece": sentencepiece.query,
     "op6_pii": pii.query,
     "op7_langid": langid.query,
     "op8_simhash": simhash.query,
