@@ -1,0 +1 @@
+"""Load, digest, diff, profile, monitor and alert tables as Spark DataFrames."""
