@@ -24,12 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from syncproof.llm.common import cut, map_documents, table
+from syncproof.llm.common import cut, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -97,25 +98,54 @@ def hashes(units: list[str]) -> np.ndarray:
 # --- lattice and Viterbi over distinct units -----------------------------------------------------------------------
 
 
+def coarse_words(texts: pa.Array, dummy_prefix: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(words of each text, their numbers end to end, distinct words): words start with the spaces before them, as `▁`.
+
+    Texts whose spaces all stand alone between words are split and numbered by Arrow; others by a regular expression.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    odd = pc.or_(pc.match_substring_regex(texts, "  |^ | $|^$"), pa.scalar(not dummy_prefix)).to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+    coded = lists.flatten().dictionary_encode()
+    words = [SPACE + w for w in coded.dictionary.to_pylist()]
+    counts, numbers = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), coded.indices.to_numpy()
+    if odd.any():
+        index = {w: i for i, w in enumerate(words)}
+        ends = np.cumsum(counts)
+        parts = np.split(numbers, ends[:-1])
+        for i in np.flatnonzero(odd):
+            found = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", normalised(texts[i].as_py(), dummy_prefix))
+            parts[i] = np.array([index.setdefault(w, len(index)) for w in found], np.int64)
+            counts[i] = len(found)
+        words, numbers = list(index), np.concatenate(parts)
+    return counts, numbers, words
+
+
 def distinct_units(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """(unit, n): how often each unit occurs in all texts."""
     regex, dummy = pieces.unit_regex(), pieces.dummy_prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(regex).findall
-        counts: Counter[str] = Counter()
+        held: dict[str, int] = {}
 
         def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
-            counts.clear()
-            return out
+            counts: Counter[str] = Counter()
+            for word, n in held.items():
+                for unit in find(word):
+                    counts[unit] += n
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
 
         for batch in batches:
-            for t in batch.column(0):
-                counts.update(find(normalised(t.as_py() or "", dummy)))
-                if len(counts) > 200_000:
+            for part in slices(batch, "text", rows=4096, nbytes=16 << 20):
+                _, numbers, words = coarse_words(part.column(0), dummy)
+                for word, n in zip(words, np.bincount(numbers, minlength=len(words)).tolist(), strict=True):
+                    if n:
+                        held[word] = held.get(word, 0) + n
+                if len(held) > 300_000:
                     yield rows()
-        if counts:
+        if held:
             yield rows()
 
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -126,8 +156,8 @@ def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
     spark = units.sparkSession
     vocabulary = spark.createDataFrame([(pieces.pieces[i], i, float(pieces.scores[i])) for i in pieces.usable], "piece string, id int, score float")
     size = F.length("unit")
-    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
-    spans = starts.select("unit", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + pieces.longest, size))).alias("e"))
+    ends = units.select("unit", "n", F.explode(F.sequence(F.lit(1), size)).alias("e"))
+    spans = ends.select("unit", "n", "e", F.explode(F.sequence(F.greatest(F.col("e") - pieces.longest, F.lit(0)), F.col("e") - 1)).alias("s"))
     substrings = spans.withColumn("sub", F.substr(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")))
     met = substrings.join(F.broadcast(vocabulary), F.col("sub") == F.col("piece"), "left").filter("id is not null or e = s + 1")  # the vocabulary is fixed in size
     return met.select("unit", "n", "s", "e", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown_score).cast("float")).alias("score"))
@@ -143,14 +173,14 @@ def viterbi(lattice: Column) -> Column:
         done, now = acc["done"], acc["now"]
         same = x["e"] == F.size(done)
         before = F.when(x["s"] == F.size(done), now["score"]).otherwise(F.get(done, x["s"])["score"])
-        way = F.struct((before + x["score"]).cast("float").alias("score"), (-x["s"]).alias("later"), x["id"].alias("id"))
-        return F.struct(F.when(same, done).otherwise(F.concat(done, F.array(now))).alias("done"), F.when(same, F.greatest(now, way)).otherwise(way).alias("now"))
+        way = F.struct((before + x["score"]).alias("score"), (-x["s"]).alias("later"), x["id"].alias("id"))
+        return F.when(same, F.struct(done.alias("done"), F.greatest(now, way).alias("now"))).otherwise(F.struct(F.concat(done, F.array(now)).alias("done"), way.alias("now")))
 
     def back(acc: Column, _: Column) -> Column:
         at = F.get(acc["nodes"], acc["at"])
         return F.when(acc["at"] <= 0, acc).otherwise(F.struct(acc["nodes"].alias("nodes"), (-at["later"]).alias("at"), F.concat(acc["path"], F.array(F.struct((-at["later"]).alias("s"), at["id"].alias("id")))).alias("path")))
 
-    nodes = F.aggregate(F.array_sort(lattice), empty, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    nodes = F.aggregate(F.sort_array(lattice), empty, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
     first = lambda n: F.struct(n.alias("nodes"), (F.size(n) - 1).alias("at"), F.array().cast("array<struct<s:int,id:int>>").alias("path"))
     return F.get(F.transform(F.array(nodes), lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(n) - 1, F.lit(1))), first(n), back, lambda acc: acc["path"])), 0)
 
@@ -209,87 +239,143 @@ def frequent(encoded: DataFrame, most: int) -> tuple[Dictionary, Column, bool]:
     return Dictionary(whole("k", np.uint64), whole("c", np.uint16), whole("i", np.uint32)), inside, encoded.filter(~inside).isEmpty()
 
 
-def _encoder(shared, regex: str, dummy: bool):
-    def make():
-        d: Dictionary = shared.value
-        find = re.compile(regex).findall
-
-        def run(texts: list[bytes | None]) -> list:
-            lists = [find(normalised(t.decode(errors="replace"), dummy)) if t else [] for t in texts]
-            index = {u: i for i, u in enumerate(dict.fromkeys(u for x in lists for u in x))}
-            units = list(index)
-            h = hashes(units)
-            at = np.minimum(np.searchsorted(d.keys, h), max(len(d.keys) - 1, 0))
-            known = (d.keys[at] == h if len(d.keys) else np.zeros(len(h), bool)) & np.fromiter((len(u) <= LONGEST_SHARED for u in units), bool, len(units))
-            counts = np.where(known, d.counts[at] if len(d.keys) else 0, 1).astype(np.int64)
-            starts = np.where(known, d.starts[at] if len(d.keys) else 0, 0)
-            flat = np.fromiter((index[u] for x in lists for u in x), np.int64, sum(map(len, lists)))
-            n, unit_known = counts[flat], known[flat]
-            ends = np.cumsum(n)
-            source = np.repeat(starts[flat] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-            missing: list[list[str]] = []
-            ids = (d.ids[source] if len(d.ids) else source).astype(np.int32)
-            if not known.all():
-                here = 0
-                for x in lists:
-                    own: dict[str, int] = {}
-                    for k in np.flatnonzero(~unit_known[here : here + len(x)]):
-                        ids[ends[here + k] - 1] = -1 - own.setdefault(x[k], len(own))
-                    missing.append(list(own))
-                    here += len(x)
-            bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-            offsets = np.concatenate(([0], ends))[bounds]
-            out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts]))
-            return [out, missing or [[]] * len(texts)]
-
-        return run
-
-    return make
-
-
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text", dictionary_units: int = 1 << 22) -> DataFrame:
-    """(doc struct, ids array<int>)."""
+class Encoder:
+    """Texts to ids by the dictionary, with a bounded memory of the words it has seen."""
+
+    def __init__(self, dictionary: Dictionary, regex: str, dummy_prefix: bool, most_words: int = 400_000):
+        self.d, self.find, self.dummy, self.most = dictionary, re.compile(regex).findall, dummy_prefix, most_words
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.unknown: list[str] = []  # units beyond the dictionary; their ids are -1 - place
+
+    def learn(self, words: list[str]) -> None:
+        d, lists = self.d, [self.find(w) for w in words]
+        units = list(dict.fromkeys(u for x in lists for u in x))
+        number = {u: i for i, u in enumerate(units)}
+        h = hashes(units)
+        if len(d.keys):
+            at = np.minimum(np.searchsorted(d.keys, h), len(d.keys) - 1)
+            known = (d.keys[at] == h) & np.fromiter((len(u) <= LONGEST_SHARED for u in units), bool, len(units))
+            counts, starts, source = np.where(known, d.counts[at], 1).astype(np.int64), np.where(known, d.starts[at], 0), d.ids
+        else:
+            known, counts, starts, source = np.zeros(len(units), bool), np.ones(len(units), np.int64), np.zeros(len(units), np.int64), np.zeros(1, np.uint32)
+        flat = np.fromiter((number[u] for x in lists for u in x), np.int64, sum(map(len, lists)))
+        n = counts[flat]
+        ids = source[runs(starts[flat], n)].astype(np.int32)
+        ends = np.cumsum(n)
+        for k in np.flatnonzero(~known[flat]):
+            ids[ends[k] - 1] = -1 - len(self.unknown)
+            self.unknown.append(units[flat[k]])
+        of_word = np.add.reduceat(n, np.cumsum([0, *map(len, lists[:-1])])) if len(lists) else n
+        self.counts, self.ids = np.concatenate([self.counts, of_word]), np.concatenate([self.ids, ids])
+        for w in words:
+            self.index[w] = len(self.index)
+
+    def encode(self, texts: pa.Array) -> tuple[pa.ListArray, list[list[str]] | None]:
+        """(ids, for each text the units that ids -1, -2, ... stand for; None if there are none at all)."""
+        counts, numbers, words = coarse_words(texts, self.dummy)
+        if len(self.index) > self.most:
+            self.clear()
+        if new := [w for w in words if w not in self.index]:
+            self.learn(new)
+            ends = np.cumsum(self.counts)
+            self.starts = ends - self.counts
+        at = np.fromiter((self.index[w] for w in words), np.int64, len(words))[numbers]
+        n = self.counts[at]
+        ids = self.ids[runs(self.starts[at], n)] if len(at) else np.zeros(0, np.int32)
+        offsets = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
+        missing = None
+        if (ids < 0).any():
+            missing = []
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                own: dict[str, int] = {}
+                for k in a + np.flatnonzero(ids[a:b] < 0):
+                    ids[k] = -1 - own.setdefault(self.unknown[-1 - ids[k]], len(own))
+                missing.append(list(own))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=pc.is_null(texts)), missing
+
+
+def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them, then those of starts[1] and so on."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Decoder:
+    """Lists of ids to texts."""
+
+    def __init__(self, pieces: Pieces):
+        self.parts, self.dummy = pa.array(pieces.as_bytes(), pa.binary()), pieces.dummy_prefix
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        whole = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, pc.take(self.parts, ids.values), mask=pc.is_null(ids)), b"")
+        try:
+            text = whole.cast(pa.string())
+        except pa.ArrowInvalid:  # ids that are no whole characters
+            text = pa.array([None if t is None else t.decode(errors="replace") for t in whole.to_pylist()], pa.string())
+        return pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text) if self.dummy else text
+
+
+def encode(docs: DataFrame, pieces: Pieces, keep: list[str], text: str = "text", dictionary_units: int = 1 << 22) -> DataFrame:
+    """The columns `keep` of docs with ids array<int> and round_trip: whether the ids decode to the text (spaces for any `▁` in it)."""
     spark = docs.sparkSession
     encoded = encoded_units(cut(distinct_units(docs, pieces, text)), pieces)
     dictionary, inside, complete = frequent(encoded, dictionary_units)
-    shared = spark.sparkContext.broadcast(dictionary)
-    out = map_documents(docs, _encoder(shared, pieces.unit_regex(), pieces.dummy_prefix), [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("missing", T.ArrayType(T.StringType()))], text)
+    shared = spark.sparkContext.broadcast((dictionary, pieces))
+    regex = pieces.unit_regex()
+    kept = T.StructType([docs.schema[c] for c in keep])
+    schema = T.StructType([T.StructField("kept", kept), T.StructField("h", T.LongType()), T.StructField("size", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("missing", T.ArrayType(T.StringType())), T.StructField("round_trip", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(shared.value[0], regex, shared.value[1].dummy_prefix), Decoder(shared.value[1])
+        for batch in batches:
+            for part in slices(batch, "text", rows=4096, nbytes=8 << 20):
+                texts = part.column(3)
+                ids, missing = encoder.encode(texts)
+                if missing is None:
+                    same = pc.or_kleene(pc.is_null(texts), pc.equal(decoder.decode(ids), pc.replace_substring(texts, SPACE, " ")))
+                else:
+                    same = pa.nulls(len(texts), pa.bool_())  # not whole yet
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], ids, pa.array(missing or [[]] * len(texts), pa.list_(pa.string())), same], names=schema.names)
+
+    plain = F.translate(F.col(f"`{text}`"), SPACE, " ")  # what the ids stand for
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.xxhash64(plain).alias("h"), F.octet_length(plain).cast("long").alias("size"), F.col(f"`{text}`").alias("text"))
+    out = rows.mapInArrow(run, schema)
     if complete:
-        return out.select("doc", "ids")
-    key = [F.xxhash64(f"doc.`{text}`"), F.octet_length(f"doc.`{text}`")]
-    wanted = out.filter("size(missing) > 0").select(key[0].alias("h"), key[1].alias("size"), F.posexplode("missing").alias("k", "unit")).distinct()
+        return out.select(*[F.col(f"kept.`{c}`").alias(c) for c in keep], "ids", "round_trip")
+    wanted = out.filter("size(missing) > 0").select("h", "size", F.posexplode("missing").alias("k", "unit")).distinct()
     filled = wanted.join(encoded.filter(~inside).select("unit", F.col("ids").alias("own")), "unit").groupBy("h", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "own"))), lambda x: x["own"]).alias("filled"))
-    joined = out.join(filled, (F.size("missing") > 0) & (key[0] == F.col("h")) & (key[1] == F.col("size")), "left")
     whole = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get("filled", -1 - i))))
-    return joined.select("doc", F.when(F.col("filled").isNull(), F.col("ids")).otherwise(whole).alias("ids"))
+    joined = out.join(filled, ["h", "size"], "left").withColumn("ids", F.when(F.size("missing") > 0, whole).otherwise(F.col("ids")))
+    ready = joined.select("kept", "ids", "h", "size", "round_trip")
+    later = decode(ready.filter("round_trip is null"), pieces).withColumn("round_trip", (F.octet_length("decoded") == F.col("size")) & (F.xxhash64("decoded") == F.col("h"))).drop("decoded")
+    both = ready.filter("round_trip is not null").unionByName(later)
+    return both.select(*[F.col(f"kept.`{c}`").alias(c) for c in keep], "ids", "round_trip")
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with a column of the texts that the ids stand for (null where ids is null)."""
-    shared = rows.sparkSession.sparkContext.broadcast((pieces.as_bytes(), pieces.dummy_prefix))
+    shared = rows.sparkSession.sparkContext.broadcast(pieces)
     schema = T.StructType([T.StructField("row", rows.schema), T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, dummy = shared.value
+        decoder = Decoder(shared.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
-                texts = []
-                for x in some.column(0).field(ids).to_pylist():
-                    t = None if x is None else b"".join([parts[k] for k in x]).decode(errors="replace")
-                    texts.append(t[1:] if t and dummy and t[0] == " " else t)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string())], names=["row", out])
+            for i in range(0, batch.num_rows, 512):
+                row = batch.slice(i, 512).column(0)
+                lists = pa.concat_arrays([row.field(ids)])
+                yield pa.RecordBatch.from_arrays([row, decoder.decode(lists)], names=["row", out])
 
     return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")).mapInArrow(run, schema).select("row.*", out)
 
 
-def tokenize(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
-    """docs as struct `doc`, ids, and round_trip: whether the ids decode to the text (spaces for any `▁` in it)."""
-    pieces = Pieces.load(model)
-    back = decode(encode(docs, pieces, text), pieces)
-    same = F.col("decoded").eqNullSafe(F.translate(F.col(f"doc.`{text}`"), SPACE, " "))
-    return back.select("doc", "ids", same.alias("round_trip"))
+def tokenize(docs: DataFrame, keep: list[str], model: str = MODEL, text: str = "text") -> DataFrame:
+    return encode(docs, Pieces.load(model), keep, text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc.doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "round_trip")
+    out = tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return out.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "round_trip")
