@@ -164,21 +164,25 @@ def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def viterbi(lattice: Column) -> Column:
-    """array of (e, s, id, score) -> array of (s, id) of the best path, from its end."""
-    node = "struct<score:float,later:int,id:int>"
-    start = F.struct(F.lit(0.0).cast("float").alias("score"), F.lit(0).alias("later"), F.lit(-2).alias("id"))
-    empty = F.struct(F.array().cast(f"array<{node}>").alias("done"), start.alias("now"))
+    """array of (e, s, id, score) -> array of (s, id) of the best path, from its end.
+
+    Edges come sorted by end, then start: a later one must be better than the best so far, so of equal ones the first start stays.
+    """
+    node = "struct<score:float,s:int,id:int>"
+    start = F.struct(F.lit(0.0).cast("float").alias("score"), F.lit(0).alias("s"), F.lit(-2).alias("id"))
+    empty = F.struct(F.array().cast(f"array<{node}>").alias("done"), start.alias("now"))  # nodes before this end, and this end's
 
     def step(acc: Column, x: Column) -> Column:
         done, now = acc["done"], acc["now"]
-        same = x["e"] == F.size(done)
-        before = F.when(x["s"] == F.size(done), now["score"]).otherwise(F.get(done, x["s"])["score"])
-        way = F.struct((before + x["score"]).alias("score"), (-x["s"]).alias("later"), x["id"].alias("id"))
-        return F.when(same, F.struct(done.alias("done"), F.greatest(now, way).alias("now"))).otherwise(F.struct(F.concat(done, F.array(now)).alias("done"), way.alias("now")))
+        way = lambda score: F.struct(score.alias("score"), x["s"].alias("s"), x["id"].alias("id")).alias("now")
+        score = F.get(done, x["s"])["score"] + x["score"]
+        first = F.when(x["s"] == F.size(done), now["score"]).otherwise(F.get(done, x["s"])["score"]) + x["score"]
+        same_end = F.when(score > now["score"], F.struct(done.alias("done"), way(score))).otherwise(acc)
+        return F.when(x["e"] == F.size(done), same_end).otherwise(F.struct(F.concat(done, F.array(now)).alias("done"), way(first)))
 
     def back(acc: Column, _: Column) -> Column:
         at = F.get(acc["nodes"], acc["at"])
-        return F.when(acc["at"] <= 0, acc).otherwise(F.struct(acc["nodes"].alias("nodes"), (-at["later"]).alias("at"), F.concat(acc["path"], F.array(F.struct((-at["later"]).alias("s"), at["id"].alias("id")))).alias("path")))
+        return F.when(acc["at"] <= 0, acc).otherwise(F.struct(acc["nodes"].alias("nodes"), at["s"].alias("at"), F.concat(acc["path"], F.array(F.struct(at["s"].alias("s"), at["id"].alias("id")))).alias("path")))
 
     nodes = F.aggregate(F.sort_array(lattice), empty, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
     first = lambda n: F.struct(n.alias("nodes"), (F.size(n) - 1).alias("at"), F.array().cast("array<struct<s:int,id:int>>").alias("path"))
