@@ -138,12 +138,12 @@ def distinct_units(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataF
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
 
         for batch in batches:
-            for part in slices(batch, "text", rows=4096, nbytes=16 << 20):
+            for part in slices(batch, "text", rows=4096, nbytes=8 << 20):
                 _, numbers, words = coarse_words(part.column(0), dummy)
                 for word, n in zip(words, np.bincount(numbers, minlength=len(words)).tolist(), strict=True):
                     if n:
                         held[word] = held.get(word, 0) + n
-                if len(held) > 300_000:
+                if len(held) > 150_000:
                     yield rows()
         if held:
             yield rows()
@@ -212,15 +212,25 @@ def encoded_units(units: DataFrame, pieces: Pieces, units_a_task: int = 40_000)
 
 
 class Dictionary:
-    """Sorted hashes of frequent units, and their ids end to end."""
+    """Sorted hashes of frequent units, and their ids end to end in that order: 12 bytes a unit and 2 or 4 an id."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray):
         order = np.argsort(keys, kind="stable")
-        ends = np.cumsum(counts, dtype=np.int64)
-        self.keys, self.counts, self.starts, self.ids = keys[order], counts[order], (ends - counts)[order], ids
+        starts = np.cumsum(counts, dtype=np.int64) - counts
+        self.ids = ids[runs(starts[order], counts[order].astype(np.int64))]
+        self.keys = keys[order]
+        self.bounds = np.concatenate(([0], np.cumsum(counts[order], dtype=np.int64))).astype(np.uint32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, start, count) of hashes; of unknown ones (start 0, count 1)."""
+        if not len(self.keys):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.ones(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        known, starts = self.keys[at] == h, self.bounds[at].astype(np.int64)
+        return known, np.where(known, starts, 0), np.where(known, self.bounds[at + 1] - starts, 1)
 
 
-def frequent(encoded: DataFrame, most: int) -> tuple[Dictionary, Column, bool]:
+def frequent(encoded: DataFrame, most: int, vocabulary: int) -> tuple[Dictionary, Column, bool]:
     """The dictionary, what tells its units in (unit, n), and whether it holds all units. Counts come down as a histogram of at most 512 bars."""
     bar = F.floor(F.log2(F.col("n").cast("double")) * 8)
     short = F.length("unit") <= LONGEST_SHARED
@@ -232,21 +242,26 @@ def frequent(encoded: DataFrame, most: int) -> tuple[Dictionary, Column, bool]:
         total, least = total + r.units, r.bar
     inside = short & (bar >= (least if least is not None else 1 << 30))
 
+    width = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             counts = np.diff(lists.offsets.to_numpy()).astype(np.uint16)
-            yield pa.RecordBatch.from_pylist([{"k": hashes(batch.column(0).to_pylist()).tobytes(), "c": counts.tobytes(), "i": lists.flatten().to_numpy().astype(np.uint32).tobytes()}])
+            yield pa.RecordBatch.from_pylist([{"k": hashes(batch.column(0).to_pylist()).tobytes(), "c": counts.tobytes(), "i": lists.flatten().to_numpy().astype(width).tobytes()}])
 
-    blobs = encoded.filter(inside).select("unit", "ids").mapInArrow(pack, "k binary, c binary, i binary").collect()
-    whole = lambda n, t: np.frombuffer(b"".join(bytes(r[n]) for r in blobs), t)
-    return Dictionary(whole("k", np.uint64), whole("c", np.uint16), whole("i", np.uint32)), inside, encoded.filter(~inside).isEmpty()
+    blobs: dict[str, bytearray] = {"k": bytearray(), "c": bytearray(), "i": bytearray()}
+    for r in encoded.filter(inside).select("unit", "ids").mapInArrow(pack, "k binary, c binary, i binary").toLocalIterator():
+        for n in blobs:
+            blobs[n] += r[n]
+    dictionary = Dictionary(np.frombuffer(blobs["k"], np.uint64), np.frombuffer(blobs["c"], np.uint16), np.frombuffer(blobs["i"], width))
+    return dictionary, inside, encoded.filter(~inside).isEmpty()
 
 
 class Encoder:
     """Texts to ids by the dictionary, with a bounded memory of the words it has seen."""
 
-    def __init__(self, dictionary: Dictionary, regex: str, dummy_prefix: bool, most_words: int = 400_000):
+    def __init__(self, dictionary: Dictionary, regex: str, dummy_prefix: bool, most_words: int = 250_000):
         self.d, self.find, self.dummy, self.most = dictionary, re.compile(regex).findall, dummy_prefix, most_words
         self.clear()
 
@@ -260,15 +275,12 @@ class Encoder:
         units = list(dict.fromkeys(u for x in lists for u in x))
         number = {u: i for i, u in enumerate(units)}
         h = hashes(units)
-        if len(d.keys):
-            at = np.minimum(np.searchsorted(d.keys, h), len(d.keys) - 1)
-            known = (d.keys[at] == h) & np.fromiter((len(u) <= LONGEST_SHARED for u in units), bool, len(units))
-            counts, starts, source = np.where(known, d.counts[at], 1).astype(np.int64), np.where(known, d.starts[at], 0), d.ids
-        else:
-            known, counts, starts, source = np.zeros(len(units), bool), np.ones(len(units), np.int64), np.zeros(len(units), np.int64), np.zeros(1, np.uint32)
+        known, starts, counts = d.find(h)
+        short = np.fromiter((len(u) <= LONGEST_SHARED for u in units), bool, len(units))
+        known, starts, counts = known & short, np.where(short, starts, 0), np.where(short, counts, 1)
         flat = np.fromiter((number[u] for x in lists for u in x), np.int64, sum(map(len, lists)))
         n = counts[flat]
-        ids = source[runs(starts[flat], n)].astype(np.int32)
+        ids = (d.ids if len(d.ids) else np.zeros(1, np.uint16))[runs(starts[flat], n)].astype(np.int32)
         ends = np.cumsum(n)
         for k in np.flatnonzero(~known[flat]):
             ids[ends[k] - 1] = -1 - len(self.unknown)
@@ -327,7 +339,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str], text: str = "text",
     """The columns `keep` of docs with ids array<int> and round_trip: whether the ids decode to the text (spaces for any `▁` in it)."""
     spark = docs.sparkSession
     encoded = encoded_units(cut(distinct_units(docs, pieces, text)), pieces)
-    dictionary, inside, complete = frequent(encoded, dictionary_units)
+    dictionary, inside, complete = frequent(encoded, dictionary_units, len(pieces.pieces))
     shared = spark.sparkContext.broadcast((dictionary, pieces))
     regex = pieces.unit_regex()
     kept = T.StructType([docs.schema[c] for c in keep])
