@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from syncproof.scratch import cut, shared_dir
+
+__all__ = ["ascii_lower", "cut", "map_documents", "shared_dir", "slices", "table"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,39 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="syncproof-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    base = f"{shared_dir(spark)}/syncproof-{spark.sparkContext.applicationId}"
-    if base not in _scratch:
-        _scratch[base] = spark
-        atexit.register(_remove, base)
-    path = f"{base}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_scratch: dict[str, SparkSession] = {}
-
-
-def _remove(base: str) -> None:
-    try:
-        jvm = _scratch[base].sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(base)
-        path.getFileSystem(_scratch[base].sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the JVM is gone already: the folder stays for the cluster's own clean-up
-        pass
-
-
 def ascii_lower(c):
     """A-Z to a-z, all else untouched."""
     return F.translate(c, UPPER, LOWER)
@@ -81,7 +48,7 @@ def slices(batch: pa.RecordBatch, text: str, rows: int = 256, nbytes: int = 4 <<
     """Cuts a batch so that no slice has more than so many rows or, but for a single text, bytes."""
     import pyarrow.compute as pc
 
-    field = batch.column(0).field(text) if pa.types.is_struct(batch.column(0).type) else batch.column(batch.schema.names.index(text))
+    field = batch.column(batch.schema.names.index(text)) if text in batch.schema.names else batch.column(0).field(text)
     sizes = pc.fill_null(pc.binary_length(field.cast(pa.binary())), 0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
