@@ -18,7 +18,6 @@ asks; a `▁` in a text decodes to a space, as in the library; repeated rows are
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -104,7 +103,10 @@ def coarse_words(texts: pa.Array, dummy_prefix: bool) -> tuple[np.ndarray, np.nd
     Texts whose spaces all stand alone between words are split and numbered by Arrow; others by a regular expression.
     """
     texts = pc.fill_null(texts.cast(pa.string()), "")
-    odd = pc.or_(pc.match_substring_regex(texts, "  |^ | $|^$"), pa.scalar(not dummy_prefix)).to_numpy(zero_copy_only=False)
+    odd = pc.match_substring(texts, "  ")
+    for other in (pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.equal(texts, ""), pa.scalar(not dummy_prefix)):
+        odd = pc.or_(odd, other)
+    odd = odd.to_numpy(zero_copy_only=False)
     lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
     coded = lists.flatten().dictionary_encode()
     words = [SPACE + w for w in coded.dictionary.to_pylist()]
@@ -121,34 +123,42 @@ def coarse_words(texts: pa.Array, dummy_prefix: bool) -> tuple[np.ndarray, np.nd
     return counts, numbers, words
 
 
-def distinct_units(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """(unit, n): how often each unit occurs in all texts."""
-    regex, dummy = pieces.unit_regex(), pieces.dummy_prefix
+def cutter(regex: str):
+    """f(word) -> its units. The common words, letters with at most one mark behind, need no regular expression."""
+    find = re.compile(regex).findall
+    fine = re.fullmatch(regex, f"{SPACE}a,") is None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(regex).findall
-        held: dict[str, int] = {}
+    def cut_word(w: str) -> list[str]:
+        if fine and w[0] == SPACE:
+            if w[1:].isalpha():
+                return [w]
+            if w[1:-1].isalpha() and not w[-1].isalnum() and w[-1] != SPACE:
+                return [w[:-1], w[-1]]
+        return find(w)
 
-        def rows():
-            counts: Counter[str] = Counter()
-            for word, n in held.items():
-                for unit in find(word):
-                    counts[unit] += n
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
+    return cut_word
 
+
+def distinct_units(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
+    """(unit, n): how often each unit occurs in all texts. Words are counted first, and only distinct ones are cut into units."""
+    regex, dummy = pieces.unit_regex(), pieces.dummy_prefix
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", rows=4096, nbytes=8 << 20):
+            for part in slices(batch, "text", rows=4096, nbytes=4 << 20):
                 _, numbers, words = coarse_words(part.column(0), dummy)
-                for word, n in zip(words, np.bincount(numbers, minlength=len(words)).tolist(), strict=True):
-                    if n:
-                        held[word] = held.get(word, 0) + n
-                if len(held) > 150_000:
-                    yield rows()
-        if held:
-            yield rows()
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.bincount(numbers, minlength=len(words)), pa.int64())], names=["word", "n"])
+            pa.default_memory_pool().release_unused()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut_word = cutter(regex)
+        for batch in batches:
+            lists = [cut_word(w) for w in batch.column(0).to_pylist()]
+            n = np.repeat(batch.column(1).to_numpy(), [len(x) for x in lists])
+            yield pa.RecordBatch.from_arrays([pa.array([u for x in lists for u in x], pa.string()), pa.array(n, pa.int64())], names=["unit", "n"])
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    words = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word string, n long").filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(split, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -189,7 +199,7 @@ def viterbi(lattice: Column) -> Column:
     return F.get(F.transform(F.array(nodes), lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(n) - 1, F.lit(1))), first(n), back, lambda acc: acc["path"])), 0)
 
 
-def encoded_units(units: DataFrame, pieces: Pieces, units_a_task: int = 40_000) -> DataFrame:
+def encoded_units(units: DataFrame, pieces: Pieces, units_a_task: int = 10_000) -> DataFrame:
     """(unit, n, ids) of distinct units (unit, n)."""
     spark = units.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // units_a_task))
@@ -261,8 +271,8 @@ def frequent(encoded: DataFrame, most: int, vocabulary: int) -> tuple[Dictionary
 class Encoder:
     """Texts to ids by the dictionary, with a bounded memory of the words it has seen."""
 
-    def __init__(self, dictionary: Dictionary, regex: str, dummy_prefix: bool, most_words: int = 250_000):
-        self.d, self.find, self.dummy, self.most = dictionary, re.compile(regex).findall, dummy_prefix, most_words
+    def __init__(self, dictionary: Dictionary, regex: str, dummy_prefix: bool, most_words: int = 150_000):
+        self.d, self.cut_word, self.dummy, self.most = dictionary, cutter(regex), dummy_prefix, most_words
         self.clear()
 
     def clear(self) -> None:
@@ -271,7 +281,7 @@ class Encoder:
         self.unknown: list[str] = []  # units beyond the dictionary; their ids are -1 - place
 
     def learn(self, words: list[str]) -> None:
-        d, lists = self.d, [self.find(w) for w in words]
+        d, lists = self.d, [self.cut_word(w) for w in words]
         units = list(dict.fromkeys(u for x in lists for u in x))
         number = {u: i for i, u in enumerate(units)}
         h = hashes(units)
@@ -348,7 +358,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str], text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(shared.value[0], regex, shared.value[1].dummy_prefix), Decoder(shared.value[1])
         for batch in batches:
-            for part in slices(batch, "text", rows=4096, nbytes=8 << 20):
+            for part in slices(batch, "text", rows=4096, nbytes=4 << 20):
                 texts = part.column(3)
                 ids, missing = encoder.encode(texts)
                 if missing is None:
@@ -356,6 +366,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str], text: str = "text",
                 else:
                     same = pa.nulls(len(texts), pa.bool_())  # not whole yet
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], ids, pa.array(missing or [[]] * len(texts), pa.list_(pa.string())), same], names=schema.names)
+            pa.default_memory_pool().release_unused()
 
     plain = F.translate(F.col(f"`{text}`"), SPACE, " ")  # what the ids stand for
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.xxhash64(plain).alias("h"), F.octet_length(plain).cast("long").alias("size"), F.col(f"`{text}`").alias("text"))
