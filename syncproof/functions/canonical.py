@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,8 +55,6 @@ def row_hash(df: DataFrame, columns: Sequence[str] | None = None, method: str =
 
 def fnv1a(text: Column) -> Column:
     """64-bit FNV-1a of UTF-8 text, as a signed long (an Arrow UDF: for parity checks, not for hot paths)."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def hashed(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> int | None:

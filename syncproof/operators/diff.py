@@ -29,8 +29,8 @@ def compared(source: DataFrame, destination: DataFrame, keys: Sequence[str], col
     """(id, source_hash, dest_hash, kind, key columns) of every id of either side."""
     s = with_row_digest(source, keys, columns, method, double_scale)
     d = with_row_digest(destination, keys, columns, method, double_scale)
-    s = s.select("id", F.col("hash").alias("source_hash"), F.struct(*keys).alias("source_key"))
-    d = d.select("id", F.col("hash").alias("dest_hash"), F.struct(*keys).alias("dest_key"))
+    s = s.select("id", F.col("hash").alias("source_hash"), F.col("key").alias("source_key"))
+    d = d.select("id", F.col("hash").alias("dest_hash"), F.col("key").alias("dest_key"))
     kind = F.when(F.col("source_hash").isNull(), MISSING_IN_SOURCE).when(F.col("dest_hash").isNull(), MISSING_IN_DESTINATION).when(F.col("source_hash") != F.col("dest_hash"), CHANGED).otherwise(SAME)
     return s.join(d, "id", "full_outer").select("id", "source_hash", "dest_hash", kind.alias("kind"), F.coalesce("source_key", "dest_key").alias("key"))
 
@@ -62,7 +62,7 @@ def diff_by_prefix(source: DataFrame, destination: DataFrame, keys: Sequence[str
     bad = F.broadcast(bad)  # 16 ** digits rows at most
     s, d = (x.join(bad, prefix == F.col("p"), "left_semi") for x in (s, d))
     kind = F.when(F.col("source_hash").isNull(), MISSING_IN_SOURCE).when(F.col("dest_hash").isNull(), MISSING_IN_DESTINATION).otherwise(CHANGED)
-    met = s.select("id", F.col("hash").alias("source_hash"), F.struct(*keys).alias("sk")).join(d.select("id", F.col("hash").alias("dest_hash"), F.struct(*keys).alias("dk")), "id", "full_outer")
+    met = s.select("id", F.col("hash").alias("source_hash"), F.col("key").alias("sk")).join(d.select("id", F.col("hash").alias("dest_hash"), F.col("key").alias("dk")), "id", "full_outer")
     return met.filter(~F.col("source_hash").eqNullSafe(F.col("dest_hash"))).select("id", kind.alias("kind"), F.coalesce("sk", "dk").alias("key"))
 
 

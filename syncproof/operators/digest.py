@@ -19,9 +19,9 @@ def checksum(h: Column) -> Column:
 
 
 def with_row_digest(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] | None = None, method: str = "xxhash64", double_scale: int | None = None) -> DataFrame:
-    """(id, hash, key columns): what a comparison needs of each row, and no more."""
+    """(id, hash, key: struct of the key columns): what a comparison needs of each row, and no more."""
     h = row_hash(df, columns, method, double_scale)
-    return df.select((F.col(ID) if ID in df.columns else record_id(df, keys, double_scale)).alias("id"), h.alias("hash"), *[F.col(f"`{k}`") for k in keys])
+    return df.select((F.col(ID) if ID in df.columns else record_id(df, keys, double_scale)).alias("id"), h.alias("hash"), *([F.struct(*[F.col(f"`{k}`") for k in keys]).alias("key")] if keys else []))
 
 
 def table_digest(df: DataFrame, columns: Sequence[str] | None = None, method: str = "xxhash64", double_scale: int | None = None) -> DataFrame:

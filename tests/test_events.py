@@ -80,7 +80,7 @@ def test_enrichment(spark):
 
 def test_anomalies(spark):
     stable = [100.0, 102, 98, 101, 99, 100, 103, 97, 100, 101, 99, 100]
-    rows = [("up", i, v) for i, v in enumerate([*stable, 100000.0])] + [("ok", i, v) for i, v in enumerate([*stable, 100.0])] + [("few", 0, 1.0), ("few", 1, 9.0), ("flat", 99, 6.0)] + [("flat", i, 5.0) for i in range(10)]
+    rows = [("up", i, v) for i, v in enumerate([*map(float, stable), 100000.0])] + [("ok", i, v) for i, v in enumerate([*map(float, stable), 100.0])] + [("few", 0, 1.0), ("few", 1, 9.0), ("flat", 99, 6.0)] + [("flat", i, 5.0) for i in range(10)]
     df = spark.createDataFrame(rows, "p string, i long, v double")
     assert sorted(r.p for r in anomaly.anomaly_latest(df, ["p"], ["i"], "v").collect()) == ["flat", "up"]
     got = {(r.p, r.i): (r.status, r.anomaly) for r in anomaly.anomaly_mad(df, ["p"], ["i"], "v").collect()}

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from syncproof.operators import diff, load, log
 from syncproof.sources import connect, files, sinks
 
-NOW = F.lit(datetime(2024, 1, 1)).cast("timestamp")
+
+
+def now():
+    return F.lit(datetime(2024, 1, 1)).cast("timestamp")
 
 
 @pytest.fixture()
@@ -39,18 +42,18 @@ def test_resume_loads_each_row_once(spark, folder):
     path, ledger = f"{folder}/out", f"{folder}/ledger"
     load.chunk_plan(rows, "id", 2).coalesce(1).write.parquet(f"{ledger}/plan")
     spark.createDataFrame([(0,), (1,)], "chunk_no long").write.parquet(f"{ledger}/done")  # died after the second chunk
-    log.inject_metadata(rows.filter("id < 3"), ["id"], "r", NOW).write.parquet(path)
-    done = load.full_load(rows, "id", path, ledger, NOW, step=2)
+    log.inject_metadata(rows.filter("id < 3"), ["id"], "r", now()).write.parquet(path)
+    done = load.full_load(rows, "id", path, ledger, now(), step=2)
     assert done.count() == 2
     got = spark.read.parquet(path)
     assert sorted(r.id for r in got.collect()) == [1, 2, 3, 4, 5, 6]
-    assert load.full_load(rows, "id", path, ledger, NOW, step=2).count() == 0
+    assert load.full_load(rows, "id", path, ledger, now(), step=2).count() == 0
     assert spark.read.parquet(path).count() == 6
 
 
 def test_incremental(spark, folder):
     rows = spark.createDataFrame([(i, i * 10) for i in range(1, 7)], "id long, at long")
-    args = (["id"], "at", f"{folder}/out", f"{folder}/ledger", NOW)
+    args = (["id"], "at", f"{folder}/out", f"{folder}/ledger", now())
     assert load.incremental_load(rows.filter("id <= 4"), *args) == "40"
     assert load.incremental_load(rows, *args) == "60"
     assert load.incremental_load(rows, *args) == "60"
@@ -72,10 +75,10 @@ def test_offsets(spark):
 
 
 def test_changes_over_a_snapshot(spark):
-    snapshot = log.inject_metadata(table(spark, [1, 2, 3]), ["id"], "r", NOW).withColumn("_sys_seq", F.lit(0))
+    snapshot = log.inject_metadata(table(spark, [1, 2, 3]), ["id"], "r", now()).withColumn("_sys_seq", F.lit(0))
     changes = spark.createDataFrame([(4, "v4", "insert", 1), (1, "v1b", "update", 2), (2, None, "delete", 3)], "id long, val string, kind string, n int")
     coded = log.cdc_apply(changes.withColumn("stream", F.lit("s")), spark.createDataFrame([("s",)], "stream string"))
-    replay = log.inject_metadata(coded.select("id", "val", "_sys_op", "n"), ["id"], F.col("_sys_op"), NOW).withColumnRenamed("n", "_sys_seq")
+    replay = log.inject_metadata(coded.select("id", "val", "_sys_op", "n"), ["id"], F.col("_sys_op"), now()).withColumnRenamed("n", "_sys_seq")
     both = snapshot.unionByName(replay, allowMissingColumns=True)
     assert {r._sys_op: r.n for r in both.groupBy("_sys_op").agg(F.count("*").alias("n")).collect()} == {"r": 3, "i": 1, "u": 1, "d": 1}
     assert sorted((r.id, r.val) for r in log.cdc_converge(snapshot, replay).collect()) == [(1, "v1b"), (3, "v3"), (4, "v4")]
@@ -94,8 +97,8 @@ def test_merge(spark):
 
 def test_backfill_repairs(spark):
     source = table(spark, [1, 2, 3])
-    landed = log.inject_metadata(source.withColumn("val", F.when(F.col("id") == 2, "bad").otherwise(F.col("val"))), ["id"], "r", NOW).withColumn("_sys_seq", F.lit(0))
-    fixed = load.backfill_range(source, "id", 2, 3, NOW).withColumn("_sys_seq", F.lit(1))
+    landed = log.inject_metadata(source.withColumn("val", F.when(F.col("id") == 2, "bad").otherwise(F.col("val"))), ["id"], "r", now()).withColumn("_sys_seq", F.lit(0))
+    fixed = load.backfill_range(source, "id", 2, 3, now()).withColumn("_sys_seq", F.lit(1))
     assert not diff.verify_stream(diff.compared(source, log.current_state(landed), ["id"])).first().match
     assert diff.verify_stream(diff.compared(source, log.current_state(landed.unionByName(fixed)), ["id"])).first().match
 
