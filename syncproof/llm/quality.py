@@ -175,7 +175,7 @@ def _features(docs: DataFrame, text: str) -> DataFrame:
 
 def _collected(found: DataFrame, doc_id: str):
     has_label = "_y" in found.schema["doc"].dataType.names
-    got = sorted(found.select(F.col(f"doc.{doc_id}").cast("string").alias("k"), (F.col("doc._y") if has_label else F.lit(0)).alias("y"), "content", "metadata").toLocalIterator(), key=lambda r: r.k)
+    got = sorted(found.select(F.col(f"doc.{doc_id}").cast("string").alias("k"), (F.col("doc._y") if has_label else F.lit(0)).alias("y"), "content", "metadata").toLocalIterator(), key=lambda r: (r.k is None, r.k or ""))
     shape = lambda name, width: np.frombuffer(b"".join(bytes(r[name]) for r in got), np.float16).reshape(-1, width).astype(np.float32)
     return (shape("content", WORD_BUCKETS + 10), shape("metadata", META_BUCKETS)), np.array([r.y for r in got], int), [r.k for r in got]
 

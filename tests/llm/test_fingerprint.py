@@ -41,7 +41,7 @@ def test_edges(spark, edges):
     assert len(got) == edges.count() and all(0 <= r.near_edited <= 1 for r in got)
     assert P.fingerprint_with_next(edges.select("doc_id", "text").limit(0)).count() == 0
     one = P.fingerprint_with_next(edges.select("doc_id", "text").filter("doc_id = 4")).first()
-    assert one.edited_sha256 == hashlib.sha256(b"onon").hexdigest() and one.near_next == 1.0
+    assert one.edited_sha256 == hashlib.sha256(b"ono").hexdigest() and one.near_next == 1.0
 
 
 def test_near_duplicate_classes(spark, documents):
