@@ -378,7 +378,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str], text: str = "text",
     whole = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get("filled", -1 - i))))
     joined = out.join(filled, ["h", "size"], "left").withColumn("ids", F.when(F.size("missing") > 0, whole).otherwise(F.col("ids")))
     ready = joined.select("kept", "ids", "h", "size", "round_trip")
-    later = decode(ready.filter("round_trip is null"), pieces).withColumn("round_trip", (F.octet_length("decoded") == F.col("size")) & (F.xxhash64("decoded") == F.col("h"))).drop("decoded")
+    later = decode(ready.filter("round_trip is null"), pieces).withColumn("round_trip", F.col("ids").isNull() | ((F.octet_length("decoded") == F.col("size")) & (F.xxhash64("decoded") == F.col("h")))).drop("decoded")
     both = ready.filter("round_trip is not null").unionByName(later)
     return both.select(*[F.col(f"kept.`{c}`").alias(c) for c in keep], "ids", "round_trip")
 
