@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding as a relational lattice, with a Viterbi fold in Spark's higher-order functions.
 
 Texts are cut into units that no piece of the vocabulary spans. The distinct units of the corpus are exploded into their
-substrings of bounded length, which an equi-join with the piece table turns into lattice edges; edges are grouped by unit and
-a fold over them by end position keeps the best path (largest sum of scores; of equal ones the edge that starts first).
+substrings of bounded length, which an equi-join with the piece table turns into lattice edges; the table leaves out pieces
+that lose to a split of themselves, as no best path holds them. Edges are grouped by unit and a fold over them by end
+position keeps the best path (largest sum of scores; of equal ones the edge that starts first).
 A character without a piece gets an edge of the least score less ten and becomes its UTF-8 bytes (or the unknown piece).
 
 Applying the units' pieces to documents needs no shuffle of texts: the most frequent units (at most `dictionary_units`, each
@@ -34,6 +35,7 @@ from syncproof.llm.common import cut, slices, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST_SHARED = 48
+HEAD = 4
 
 
 @dataclass
@@ -58,9 +60,10 @@ class Pieces:
     def usable(self) -> list[int]:
         return [i for i, k in enumerate(self.kinds) if k in (1, 4)]
 
-    @property
-    def longest(self) -> int:
-        return max(len(self.pieces[i]) for i in self.usable)
+    def useful(self) -> list[int]:
+        """The usable pieces but for those that some split into others beats by its sum: no best path can hold them."""
+        score = {self.pieces[i]: float(self.scores[i]) for i in self.usable}
+        return [i for i in self.usable if self.kinds[i] == 4 or best_split(self.pieces[i], score) <= self.scores[i] + 1e-4 * abs(self.scores[i])]
 
     @property
     def unknown_score(self) -> float:
@@ -86,57 +89,78 @@ class Pieces:
         return [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
 
 
+def best_split(piece: str, score: dict[str, float]) -> float:
+    """The largest sum of scores over the splits of a piece into two or more others (minus infinity: none)."""
+    best = [0.0] + [-np.inf] * len(piece)
+    for e in range(1, len(piece) + 1):
+        best[e] = max((best[s] + score.get(piece[s:e], -np.inf) for s in range(1 if e == len(piece) else 0, e)), default=-np.inf)
+    return best[-1]
+
+
 def normalised(text: str, dummy_prefix: bool) -> str:
     return (SPACE if dummy_prefix else "") + text.replace(" ", SPACE) if text else ""
 
 
-def hashes(units: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(u.encode()) for u in units), np.uint64, len(units))
+def hashes(units: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, units.cast(pa.binary()).to_pylist()), np.uint64, len(units))
 
 
 # --- lattice and Viterbi over distinct units -----------------------------------------------------------------------
 
 
-def coarse_words(texts: pa.Array, dummy_prefix: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(words of each text, their numbers end to end, distinct words): words start with the spaces before them, as `▁`.
+def coarse_words(texts: pa.Array, dummy_prefix: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(words of each text, their numbers end to end, the words): words start with the spaces before them, as `▁`.
 
-    Texts whose spaces all stand alone between words are split and numbered by Arrow; others by a regular expression.
+    Texts whose spaces all stand alone between words are split and numbered by Arrow, the others by a regular expression;
+    a word that both hold is there twice.
     """
     texts = pc.fill_null(texts.cast(pa.string()), "")
     odd = pc.match_substring(texts, "  ")
     for other in (pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.equal(texts, ""), pa.scalar(not dummy_prefix)):
         odd = pc.or_(odd, other)
-    odd = odd.to_numpy(zero_copy_only=False)
-    lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+    lists = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
     coded = lists.flatten().dictionary_encode()
-    words = [SPACE + w for w in coded.dictionary.to_pylist()]
-    counts, numbers = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), coded.indices.to_numpy()
-    if odd.any():
-        index = {w: i for i, w in enumerate(words)}
-        ends = np.cumsum(counts)
-        parts = np.split(numbers, ends[:-1])
-        for i in np.flatnonzero(odd):
-            found = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", normalised(texts[i].as_py(), dummy_prefix))
-            parts[i] = np.array([index.setdefault(w, len(index)) for w in found], np.int64)
-            counts[i] = len(found)
-        words, numbers = list(index), np.concatenate(parts)
-    return counts, numbers, words
+    words, numbers = pc.binary_join_element_wise(SPACE, coded.dictionary, ""), coded.indices.to_numpy()
+    found = [re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", normalised(x, dummy_prefix)) for x in texts.filter(odd).to_pylist()]
+    if not found:
+        return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), numbers, words
+    other = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
+    is_odd, counts = odd.to_numpy(zero_copy_only=False), np.zeros(len(texts), np.int64)
+    counts[~is_odd], counts[is_odd] = pc.list_value_length(lists).to_numpy(zero_copy_only=False), [len(x) for x in found]
+    starts = np.zeros(len(texts), np.int64)
+    for side, first in ((~is_odd, 0), (is_odd, len(numbers))):
+        starts[side] = first + np.cumsum(counts[side]) - counts[side]
+    both = np.concatenate([numbers, other.indices.to_numpy() + np.int64(len(words))])
+    return counts, both[runs(starts, counts)], pa.concat_arrays([words, other.dictionary])
 
 
 def cutter(regex: str):
-    """f(word) -> its units. The common words, letters with at most one mark behind, need no regular expression."""
+    """f(words) -> (units of each word, the units end to end). The common words, letters with at most one mark behind, are cut by Arrow."""
     find = re.compile(regex).findall
     fine = re.fullmatch(regex, f"{SPACE}a,") is None
 
-    def cut_word(w: str) -> list[str]:
-        if fine and w[0] == SPACE:
-            if w[1:].isalpha():
-                return [w]
-            if w[1:-1].isalpha() and not w[-1].isalnum() and w[-1] != SPACE:
-                return [w[:-1], w[-1]]
-        return find(w)
+    def cut_words(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        if not fine:
+            lists = pa.array([find(w) for w in words.to_pylist()], pa.list_(pa.string()))
+            return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+        spaced = pc.starts_with(words, SPACE)
+        last = pc.utf8_slice_codeunits(words, -1)
+        head = pc.utf8_slice_codeunits(words, 0, -1)
+        as_mask = lambda x: x.to_numpy(zero_copy_only=False)
+        one = as_mask(pc.and_(spaced, pc.utf8_is_alpha(pc.utf8_slice_codeunits(words, 1))))
+        marked = pc.and_(pc.invert(pc.utf8_is_alnum(last)), pc.not_equal(last, SPACE))
+        two = ~one & as_mask(pc.and_(pc.and_(spaced, marked), pc.utf8_is_alpha(pc.utf8_slice_codeunits(head, 1))))
+        lists = [find(w) for w in words.filter(pa.array(~(one | two))).to_pylist()]
+        counts = np.where(one, 1, 2).astype(np.int64)
+        counts[~(one | two)] = [len(x) for x in lists]
+        parts = [words.filter(pa.array(one)), head.filter(pa.array(two)), last.filter(pa.array(two)), pa.array([u for x in lists for u in x], pa.string())]
+        ends = np.cumsum(counts)
+        place = [(ends - counts)[one], (ends - counts)[two], (ends - 1)[two], runs((ends - counts)[~(one | two)], counts[~(one | two)])]
+        order = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        order[np.concatenate(place)] = np.arange(len(order))
+        return counts, pa.concat_arrays(parts).take(pa.array(order))
 
-    return cut_word
+    return cut_words
 
 
 def distinct_units(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
@@ -147,30 +171,34 @@ def distinct_units(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataF
         for batch in batches:
             for part in slices(batch, "text", rows=4096, nbytes=4 << 20):
                 _, numbers, words = coarse_words(part.column(0), dummy)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.bincount(numbers, minlength=len(words)), pa.int64())], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(numbers, minlength=len(words)), pa.int64())], names=["word", "n"])
             pa.default_memory_pool().release_unused()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut_word = cutter(regex)
+        cut_words = cutter(regex)
         for batch in batches:
-            lists = [cut_word(w) for w in batch.column(0).to_pylist()]
-            n = np.repeat(batch.column(1).to_numpy(), [len(x) for x in lists])
-            yield pa.RecordBatch.from_arrays([pa.array([u for x in lists for u in x], pa.string()), pa.array(n, pa.int64())], names=["unit", "n"])
+            counts, units = cut_words(batch.column(0))
+            yield pa.RecordBatch.from_arrays([units, pa.array(np.repeat(batch.column(1).to_numpy(), counts), pa.int64())], names=["unit", "n"])
 
     words = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word string, n long").filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
     return words.mapInArrow(split, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n, s, e, id, score): a row for each substring that is a piece, and for each lone character that is none (id -1)."""
+    """(unit, n, s, e, id, score): a row for each substring that is a useful piece, and for each lone character that is none (id -1).
+
+    Substrings of at most HEAD characters meet the heads of the pieces; of longer pieces the rest is compared after the join.
+    """
     spark = units.sparkSession
-    vocabulary = spark.createDataFrame([(pieces.pieces[i], i, float(pieces.scores[i])) for i in pieces.usable], "piece string, id int, score float")
-    size = F.length("unit")
-    ends = units.select("unit", "n", F.explode(F.sequence(F.lit(1), size)).alias("e"))
-    spans = ends.select("unit", "n", "e", F.explode(F.sequence(F.greatest(F.col("e") - pieces.longest, F.lit(0)), F.col("e") - 1)).alias("s"))
-    substrings = spans.withColumn("sub", F.substr(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")))
-    met = substrings.join(F.broadcast(vocabulary), F.col("sub") == F.col("piece"), "left").filter("id is not null or e = s + 1")  # the vocabulary is fixed in size
-    return met.select("unit", "n", "s", "e", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown_score).cast("float")).alias("score"))
+    rows = [(pieces.pieces[i][:HEAD], pieces.pieces[i], len(pieces.pieces[i]), i, float(pieces.scores[i])) for i in pieces.useful()]
+    vocabulary = spark.createDataFrame(rows, "head string, piece string, size int, id int, score float")
+    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    spans = starts.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.length("unit") - F.col("s"), F.lit(HEAD)))).alias("len"))
+    substrings = spans.withColumn("sub", F.substr(F.col("unit"), F.col("s") + 1, F.col("len")))
+    met = substrings.join(F.broadcast(vocabulary), F.col("sub") == F.col("head"), "left")  # the vocabulary is fixed in size
+    whole = (F.col("size") <= HEAD) | (F.substr(F.col("unit"), F.col("s") + 1, F.col("size")) == F.col("piece"))
+    edge = met.filter(F.when(F.col("id").isNull(), F.col("len") == 1).otherwise(whole))
+    return edge.select("unit", "n", "s", (F.col("s") + F.coalesce("size", F.lit(1))).alias("e"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown_score).cast("float")).alias("score"))
 
 
 def viterbi(lattice: Column) -> Column:
@@ -258,7 +286,7 @@ def frequent(encoded: DataFrame, most: int, vocabulary: int) -> tuple[Dictionary
         for batch in batches:
             lists = batch.column(1)
             counts = np.diff(lists.offsets.to_numpy()).astype(np.uint16)
-            yield pa.RecordBatch.from_pylist([{"k": hashes(batch.column(0).to_pylist()).tobytes(), "c": counts.tobytes(), "i": lists.flatten().to_numpy().astype(width).tobytes()}])
+            yield pa.RecordBatch.from_pylist([{"k": hashes(batch.column(0)).tobytes(), "c": counts.tobytes(), "i": lists.flatten().to_numpy().astype(width).tobytes()}])
 
     blobs: dict[str, bytearray] = {"k": bytearray(), "c": bytearray(), "i": bytearray()}
     for r in encoded.filter(inside).select("unit", "ids").mapInArrow(pack, "k binary, c binary, i binary").toLocalIterator():
@@ -269,49 +297,28 @@ def frequent(encoded: DataFrame, most: int, vocabulary: int) -> tuple[Dictionary
 
 
 class Encoder:
-    """Texts to ids by the dictionary, with a bounded memory of the words it has seen."""
-
-    def __init__(self, dictionary: Dictionary, regex: str, dummy_prefix: bool, most_words: int = 150_000):
-        self.d, self.cut_word, self.dummy, self.most = dictionary, cutter(regex), dummy_prefix, most_words
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.unknown: list[str] = []  # units beyond the dictionary; their ids are -1 - place
-
-    def learn(self, words: list[str]) -> None:
-        d, lists = self.d, [self.cut_word(w) for w in words]
-        units = list(dict.fromkeys(u for x in lists for u in x))
-        number = {u: i for i, u in enumerate(units)}
-        h = hashes(units)
-        known, starts, counts = d.find(h)
-        short = np.fromiter((len(u) <= LONGEST_SHARED for u in units), bool, len(units))
-        known, starts, counts = known & short, np.where(short, starts, 0), np.where(short, counts, 1)
-        flat = np.fromiter((number[u] for x in lists for u in x), np.int64, sum(map(len, lists)))
-        n = counts[flat]
-        ids = (d.ids if len(d.ids) else np.zeros(1, np.uint16))[runs(starts[flat], n)].astype(np.int32)
+    """Texts to ids by the dictionary; it keeps nothing from one call to the next."""
+
+    def __init__(self, dictionary: Dictionary, regex: str, dummy_prefix: bool):
+        self.d, self.cut_words, self.dummy = dictionary, cutter(regex), dummy_prefix
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(ids of each word, the ids end to end, units): an id of -1 - k stands for units[k], which the dictionary has not."""
+        cuts, units = self.cut_words(words)
+        short = pc.less_equal(pc.utf8_length(units), LONGEST_SHARED).to_numpy(zero_copy_only=False)
+        known, starts, n = self.d.find(hashes(units))
+        known, starts, n = known & short, np.where(short, starts, 0), np.where(short, n, 1)
+        ids = (self.d.ids if len(self.d.ids) else np.zeros(1, np.uint16))[runs(starts, n)].astype(np.int32)
         ends = np.cumsum(n)
-        for k in np.flatnonzero(~known[flat]):
-            ids[ends[k] - 1] = -1 - len(self.unknown)
-            self.unknown.append(units[flat[k]])
-        of_word = np.add.reduceat(n, np.cumsum([0, *map(len, lists[:-1])])) if len(lists) else n
-        self.counts, self.ids = np.concatenate([self.counts, of_word]), np.concatenate([self.ids, ids])
-        for w in words:
-            self.index[w] = len(self.index)
+        ids[ends[~known] - 1] = -1 - np.flatnonzero(~known)
+        return (np.add.reduceat(n, np.cumsum(cuts) - cuts) if len(cuts) else n), ids, units
 
     def encode(self, texts: pa.Array) -> tuple[pa.ListArray, list[list[str]] | None]:
         """(ids, for each text the units that ids -1, -2, ... stand for; None if there are none at all)."""
         counts, numbers, words = coarse_words(texts, self.dummy)
-        if len(self.index) > self.most:
-            self.clear()
-        if new := [w for w in words if w not in self.index]:
-            self.learn(new)
-            ends = np.cumsum(self.counts)
-            self.starts = ends - self.counts
-        at = np.fromiter((self.index[w] for w in words), np.int64, len(words))[numbers]
-        n = self.counts[at]
-        ids = self.ids[runs(self.starts[at], n)] if len(at) else np.zeros(0, np.int32)
+        word_sizes, word_ids, units = self.of_words(words)
+        n = word_sizes[numbers]
+        ids = word_ids[runs((np.cumsum(word_sizes) - word_sizes)[numbers], n)]
         offsets = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
         missing = None
         if (ids < 0).any():
@@ -319,7 +326,7 @@ class Encoder:
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 own: dict[str, int] = {}
                 for k in a + np.flatnonzero(ids[a:b] < 0):
-                    ids[k] = -1 - own.setdefault(self.unknown[-1 - ids[k]], len(own))
+                    ids[k] = -1 - own.setdefault(units[-1 - int(ids[k])].as_py(), len(own))
                 missing.append(list(own))
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=pc.is_null(texts)), missing
 
