@@ -48,6 +48,16 @@ def test_units_are_never_crossed():
     import re
 
     p = S.Pieces.load()
-    assert all(re.fullmatch(p.unit_regex(), p.pieces[i]) for i in p.usable)
+    regex = p.unit_regex()
+    assert all(re.fullmatch(regex, p.pieces[i]) for i in p.usable)
     p.pieces[p.usable[0]] = "a,b"
     assert re.findall(p.unit_regex(), "▁x,y▁z") == ["▁x,y", "▁z"]
+
+
+def test_only_beaten_pieces_are_left_out():
+    p = S.Pieces(["ab", "cd", "abcd", "abc", "d", "▁ab"], [-1.0, -2.0, -5.0, -3.0, -9.0, -4.0], [1] * 6, True)
+    assert [p.pieces[i] for i in p.useful()] == ["ab", "cd", "abc", "d", "▁ab"]
+    p.scores[2] = -3.0  # as good as its split: it stays, the fold decides
+    assert len(p.useful()) == 6
+    p.scores[2], p.kinds[2] = -5.0, 4
+    assert len(p.useful()) == 6
