@@ -6,7 +6,9 @@ a hash of member and key are paired with all others (linear, whatever the postin
 or more), the exact Jaccard similarity of every such pair is verified on the texts, and verified links are joined to
 components by distributed union-find. A component keeps its first line by (doc_id, line number).
 
-Lines shorter than `min_chars` (normalised) are left alone, as headings and closing brackets are.
+All lines that are not blank are compared; lines shorter than a shingle are near no other, so they meet by their hash alone.
+drop_lines() leaves lines shorter than `min_chars` (normalised) alone unless told otherwise; the query and the pipeline
+give it as 1.
 
 Defined cases: a null text stays null and has no lines; null doc_ids come last; rows repeated with id and text are one
 document, whose lines stay or go in all copies; equal ids of unlike texts are ordered by a hash of the text.
@@ -27,7 +29,7 @@ from syncproof.llm.common import cut, slices, table
 from syncproof.llm.components import components
 from syncproof.llm.minhash import band_keys, mixed, permutations, signatures
 
-SHINGLE, BANDS, ROWS, SIMILAR, MIN_CHARS = 8, 6, 4, 0.8, 24
+SHINGLE, BANDS, ROWS, SIMILAR, MIN_CHARS = 8, 6, 4, 0.8, 1
 
 
 def normalised(line: bytes) -> bytes:
@@ -70,7 +72,7 @@ def _bands(texts: list[str], k: int, a: np.ndarray, b: np.ndarray, rows: int) ->
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = 10) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, h: hash of the text, line_no, line: hash, bands: keys)."""
+    """docs (doc_id, text) -> (doc_id, h: hash of the text, line_no, line: hash, bands: keys, none for lines shorter than a shingle)."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("h", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +81,9 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, shingle: int = SHIN
             for part in slices(batch, "text"):
                 of, numbers, lines = _lines(part, min_chars)
                 hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines)).view(np.int64)
-                keys = line_bands(lines, shingle, a, b, rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1), pa.int64()))
+                long = [len(x) >= shingle and len(x.decode(errors="replace")) >= shingle for x in lines]
+                keys = line_bands([x for x, is_long in zip(lines, long, strict=True) if is_long], shingle, a, b, rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long)]) * bands, pa.int32()), pa.array(keys.reshape(-1), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(numbers, pa.int32()), pa.array(hashes), lists], names=schema.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema)
@@ -124,7 +127,6 @@ def similar_lines(docs: DataFrame, found: DataFrame, similar: float = SIMILAR, s
     needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
     texts = cut(texts_of(docs, min_chars).join(bounded(needed, max_broadcast_rows), "line", "left_semi").groupBy("line").agg(F.first("content").alias("content")))
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("content").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("content").alias("y")), "b")
-    both = both.filter(F.least(F.length("x"), F.length("y")) >= similar * 0.5 * F.greatest(F.length("x"), F.length("y")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,11 +155,11 @@ def jaccard_at_least(p: set, q: set, least: float) -> bool:
     return common >= least * (len(p) + len(q) - common)
 
 
-def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast_rows: int = 1_000_000, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, h: xxhash64 of the text, dropped: sorted line numbers from 0), for the documents that lose any."""
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    found = cut(occurrences(slim))
-    linked = components(similar_lines(slim, found, max_broadcast_rows=max_broadcast_rows))
+    found = cut(occurrences(slim, min_chars))
+    linked = components(similar_lines(slim, found, min_chars=min_chars, max_broadcast_rows=max_broadcast_rows))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "line_no")
     first = found.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     roots = cut(first.join(linked, F.col("line") == F.col("node"), "left").filter("component is not null or first <> last").select("line", F.coalesce("component", "line").alias("root"), "first"))
@@ -167,9 +169,9 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
-def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 24) -> DataFrame:
     """docs with the repeated lines taken out of the texts; all rows and columns stay."""
-    gone = dropped_lines(docs, doc_id, text).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"), "dropped")
+    gone = dropped_lines(docs, doc_id, text, min_chars=min_chars).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"), "dropped")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     at = F.col(f"doc.`{text}`")
     joined = rows.join(gone, F.col(f"doc.`{doc_id}`").eqNullSafe(F.col("gone_id")) & (F.xxhash64(at) == F.col("gone_h")), "left")

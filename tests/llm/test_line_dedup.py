@@ -60,3 +60,20 @@ def test_edges(spark, edges):
     assert sorted(map(str, both)) == sorted(map(str, L.dropped_lines(edges).collect()))
     repeated = edges.filter("doc_id = 8 and text like 'the same%'")
     assert L.drop_lines(repeated).filter("text <> ''").count() == 2  # one document, given twice
+
+
+def test_short_lines_are_compared(spark, sf, documents):
+    import corpus_pipeline as P
+
+    texts = ["All rights reserved.\nend\nfirst own words", " all  rights RESERVED.\n\nEND\nsecond own words", "语\nabcdefg\nabcdefgh", "语\nabcdefh\nabcdefgh", "menu item number one 23", "menu item number one 24"]
+    docs = documents(texts)
+    want = brute(list(enumerate(texts)))
+    assert want == {(1, 0), (1, 2), (3, 0), (3, 2), (5, 0)}
+    assert {(r.doc_id, i) for r in L.dropped_lines(docs).collect() for i in r.dropped} == want
+    out = {r.doc_id: r.text for r in P.lines(spark, docs, sf).collect()}
+    assert out == dict(enumerate(texts)) | {1: "\nsecond own words", 3: "abcdefh", 5: ""}
+
+
+def test_lengths_of_similar_lines_may_differ(spark, documents):
+    gone = L.dropped_lines(documents(["-" * 30, "-" * 400])).collect()
+    assert [(r.doc_id, r.dropped) for r in gone] == [(1, [0])]
