@@ -1,10 +1,12 @@
 """Line deduplication: one line stays of each set of equal or nearly equal lines over all documents.
 
 Lines are compared with A-Z lowered and white space runs as one space. Equal lines meet by their 64-bit hash. Others meet by
-MinHash: signatures over character shingles, bands of them as posting keys; in each posting two members drawn by
-a hash of member and key are paired with all others (linear, whatever the posting's size, and over the bands twelve draws
-or more), the exact Jaccard similarity of every such pair is verified on the texts, and verified links are joined to
-components by distributed union-find. A component keeps its first line by (doc_id, line number).
+MinHash: signatures over character shingles, bands of them as posting keys. First, in each posting two members drawn by
+member and key are paired with all others (linear, so that large families become one component at once). Where a posting
+still holds several components, all its pairs across them are tried as well: by themselves up to `dense` members; the lines of
+larger postings meet again by their rarest shingles, of which any two similar lines share one, in the same two passes. The
+exact Jaccard similarity of every pair is verified on the texts, and verified links are joined to components by
+distributed union-find. So no pair that shares a posting is lost. A component keeps its first line by (doc_id, line number).
 
 All lines that are not blank are compared; lines shorter than a shingle are near no other, so they meet by their hash alone.
 drop_lines() leaves lines shorter than `min_chars` (normalised) alone unless told otherwise; the query and the pipeline
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +31,7 @@ from syncproof.llm.common import cut, slices, table
 from syncproof.llm.components import components
 from syncproof.llm.minhash import band_keys, mixed, permutations, signatures
 
-SHINGLE, BANDS, ROWS, SIMILAR, MIN_CHARS = 8, 6, 4, 0.8, 1
+SHINGLE, BANDS, ROWS, SIMILAR, MIN_CHARS = 8, 9, 4, 0.8, 1
 
 
 def normalised(line: bytes) -> bytes:
@@ -116,16 +118,70 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def similar_lines(docs: DataFrame, found: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, min_chars: int = MIN_CHARS, max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(a, b): verified links between unlike lines."""
-    postings = found.select("line", F.explode("bands").alias("key"))
-    draw = F.struct(F.xxhash64("line", "key").alias("d"), F.col("line"))
-    drawn = postings.groupBy("key").agg(F.min(draw).alias("lo"), F.max(draw).alias("hi")).filter("lo.line <> hi.line")
-    drawn = cut(drawn.select("key", F.col("lo.line").alias("lo"), F.col("hi.line").alias("hi")))
-    members = postings.join(bounded(drawn, max_broadcast_rows), "key").select("line", F.explode(F.array("lo", "hi")).alias("drawn")).filter("line <> drawn")
-    pairs = cut(members.select(F.least("line", "drawn").alias("a"), F.greatest("line", "drawn").alias("b")).distinct())
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
+def similar_lines(docs: DataFrame, found: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, min_chars: int = MIN_CHARS, max_broadcast_rows: int = 1_000_000, dense: int = 64) -> DataFrame:
+    """(a, b): verified links between unlike lines; enough of them to connect all similar lines that share a band."""
+    members = drawn(found.select("line", F.explode("bands").alias("key")), max_broadcast_rows)
+    needed = cut(members.select("line").distinct())
     texts = cut(texts_of(docs, min_chars).join(bounded(needed, max_broadcast_rows), "line", "left_semi").groupBy("line").agg(F.first("content").alias("content")))
+    links = cut(verified(drawn_pairs(members), texts, similar, shingle))
+    several = cut(unsettled(members, components(links), max_broadcast_rows))
+    pairs = across(several.filter(F.col("n") <= dense))
+    large = several.filter(F.col("n") > dense).select("line").distinct()
+    if not large.isEmpty():
+        members = drawn(rare_postings(large.join(texts, "line"), similar, shingle), max_broadcast_rows)
+        pairs = pairs.unionByName(drawn_pairs(members)).distinct()
+    links = links.unionByName(cut(verified(pairs, texts, similar, shingle)))
+    if not large.isEmpty():
+        several = cut(unsettled(members, components(links), max_broadcast_rows))
+        links = links.unionByName(verified(across(several), texts, similar, shingle))
+    return links
+
+
+def drawn(postings: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """(line, key) -> (line, key, lo, hi: two lines drawn from the posting), for the postings of several lines."""
+    draw = F.col("line").bitwiseXOR(F.col("key"))
+    ends = postings.groupBy("key").agg(F.min(draw).alias("lo"), F.max(draw).alias("hi")).filter("lo <> hi")
+    ends = cut(ends.select("key", *[F.col(c).bitwiseXOR(F.col("key")).alias(c) for c in ("lo", "hi")]))
+    return cut(postings.join(bounded(ends, max_broadcast_rows), "key").select("line", "key", "lo", "hi").distinct())
+
+
+def drawn_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): the drawn lines of each posting with all its others."""
+    each = members.select("line", F.explode(F.array("lo", "hi")).alias("other")).filter("line <> other")
+    return each.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
+
+
+def unsettled(members: DataFrame, roots: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """members of the postings that hold several components, with root and n: the posting's size."""
+    rooted = members.join(roots, F.col("line") == F.col("node"), "left").select("line", "key", "lo", "hi", F.coalesce("component", "line").alias("root"))
+    sizes = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most and n > 3")
+    return rooted.join(bounded(cut(sizes.select("key", "n")), max_broadcast_rows), "key")
+
+
+def across(several: DataFrame, block: int = 256) -> DataFrame:
+    """(a, b): the pairs of a posting across its components, without those of the drawn lines; large postings are dealt out in blocks."""
+    rest = several.filter("line <> lo and line <> hi").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    x = rest.select("key", F.col("line").alias("a"), F.col("root").alias("root_a"), F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int").alias("block"))
+    y = rest.select("key", F.col("line").alias("b"), F.col("root").alias("root_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return x.join(y, ["key", "block"]).filter("a < b and root_a <> root_b").select("a", "b").distinct()
+
+
+def rare_postings(texts: DataFrame, similar: float, shingle: int) -> DataFrame:
+    """(line, content) -> (line, key: hash of a shingle): each line's rarest shingles, so many that two similar lines share one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for line, content in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                keys = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in shingles(content, shingle)), np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), line)), pa.array(keys), pa.array(np.full(len(keys), len(keys)))], names=["line", "key", "size"])
+
+    each = cut(texts.select("line", "content").mapInArrow(run, "line long, key long, size long"))
+    counted = each.join(each.groupBy("key").agg(F.count("*").alias("held")), "key")
+    place = F.row_number().over(Window.partitionBy("line").orderBy("held", "key"))
+    return counted.withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similar - 1e-9) + 1).select("line", "key")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similar: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose texts have that Jaccard similarity or more."""
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("content").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("content").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,3 +77,16 @@ def test_short_lines_are_compared(spark, sf, documents):
 def test_lengths_of_similar_lines_may_differ(spark, documents):
     gone = L.dropped_lines(documents(["-" * 30, "-" * 400])).collect()
     assert [(r.doc_id, r.dropped) for r in gone] == [(1, [0])]
+
+
+def test_pairs_that_share_a_passage_are_found(spark, documents):
+    import random
+
+    rng = random.Random(1)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n)).replace("  ", "xy").strip().ljust(n, "z")
+    passage = some(150)
+    texts = [f"{own}{end}" for own in (passage + some(48) for _ in range(150)) for end in (some(8), some(8))]
+    want = brute(list(enumerate(texts)))
+    assert want == {(d, 0) for d in range(1, 300, 2)}
+    assert (1 - L.SIMILAR**L.ROWS) ** L.BANDS < 0.01
+    assert {(r.doc_id, i) for r in L.dropped_lines(documents(texts)).collect() for i in r.dropped} == want
