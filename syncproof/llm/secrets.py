@@ -5,8 +5,10 @@ credential stand within `scope` code points of each other in a document: an iden
 key) and an unlabelled secret (16 characters or more of mixed letters and digits) confirm each other, base matches
 counting as parts too, and an endpoint (url or host with port) is reported where both others are near.
 
-The interval join meets parts by (document, scope bucket): per bucket and kind only the first and last start are kept, so
-each weak part meets at most three rows a kind, however many parts a document has.
+The interval join meets parts by (document, scope bucket): per bucket and side the first and last of the starts and of the
+ends that lie in it are kept, and each weak part meets the buckets from one before its start to one after its end. That is
+enough to tell exactly whether a part ends or starts within the scope. An identifier and a secret must not overlap to
+confirm each other; an endpoint may hold its parts.
 
 Defined cases: null text counts as empty; a document without matches has empty strings and zero counts; rows repeated with
 id and text are judged alike; extra columns do not enter.
@@ -14,7 +16,7 @@ id and text are judged alike; extra columns do not enter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syncproof.llm.common import cut, table
@@ -54,13 +56,21 @@ def linked(found: DataFrame, scope: int = 200) -> DataFrame:
     """(doc_id, h, added): the weak spans whose complements stand within the scope."""
     sides = F.array(*[F.lit(s) for s in SIDE])
     has_weak = found.filter("size(weak) > 0").select("doc_id", "h", "base", "weak").dropDuplicates(["doc_id", "h"])
-    every = cut(has_weak.select("doc_id", "h", F.explode(F.concat("base", "weak")).alias("x")).select("doc_id", "h", "x.start", "x.kind", "x.end", F.get(sides, F.col("x.kind")).alias("side")).withColumn("bucket", F.floor(F.col("start") / scope).cast("long")))
-    held = every.groupBy("doc_id", "h", "bucket", "side").agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    held = held.groupBy("doc_id", "h", "bucket").agg(*[getattr(F, f)(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for s in (0, 1, 2) for f, c in (("min", "first"), ("max", "last"))])
-    held = held.select(F.col("doc_id").alias("held_id"), F.col("h").alias("held_h"), F.col("bucket").alias("held_bucket"), *[f"{c}_{s}" for s in (0, 1, 2) for c in ("first", "last")])
-    weak = every.filter(F.col("kind") >= len(BASE)).withColumn("near_bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
+    every = cut(has_weak.select("doc_id", "h", F.explode(F.concat("base", "weak")).alias("x")).select("doc_id", "h", "x.start", "x.kind", "x.end", F.get(sides, F.col("x.kind")).alias("side")))
+    bucket = lambda c: F.floor(F.col(c) / scope).cast("long")
+    ends = every.filter("side < 2").select("doc_id", "h", "side", F.explode(F.array(*[F.struct(bucket(c).alias("bucket"), *[(F.col(c) if c == d else F.lit(None).cast("int")).alias(d) for d in ("start", "end")]) for c in ("start", "end")])).alias("x")).select("doc_id", "h", "side", "x.*")
+    held = ends.groupBy(F.col("doc_id").alias("held_id"), F.col("h").alias("held_h"), F.col("bucket").alias("held_bucket")).agg(*[getattr(F, f)(F.when(F.col("side") == s, F.col(c))).alias(f"{f}_{c}_{s}") for s in (0, 1) for f in ("min", "max") for c in ("start", "end")])
+    weak = every.filter(F.col("kind") >= len(BASE)).withColumns({"lo": bucket("start"), "hi": bucket("end")}).withColumn("near_bucket", F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)))
     met = weak.join(held, F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.col("h") == F.col("held_h")) & (F.col("near_bucket") == F.col("held_bucket")))
-    near = lambda s: F.coalesce((F.col("near_bucket") == F.col("bucket")) & F.col(f"first_{s}").isNotNull() | (F.col("near_bucket") < F.col("bucket")) & (F.col(f"last_{s}") >= F.col("start") - scope) | (F.col("near_bucket") > F.col("bucket")) & (F.col(f"first_{s}") <= F.col("end") + scope), F.lit(False))
+    at = F.col("near_bucket")
+
+    def near(s: int) -> Column:
+        """A part of the side ends at most the scope before, or starts at most the scope after; endpoints may also hold it."""
+        before = (at == F.col("lo")) & (F.col(f"min_end_{s}") <= F.col("start")) | (at == F.col("lo") - 1) & (F.col(f"max_end_{s}") >= F.col("start") - scope)
+        after = (at == F.col("hi")) & (F.col(f"max_start_{s}") >= F.col("end")) | (at == F.col("hi") + 1) & (F.col(f"min_start_{s}") <= F.col("end") + scope)
+        within = (F.col("side") == 2) & at.between(F.col("lo"), F.col("hi")) & F.coalesce(f"min_start_{s}", f"min_end_{s}").isNotNull()
+        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)) | within
+
     seen = met.groupBy("doc_id", "h", "start", "kind", "end", "side").agg(*[F.bool_or(near(s)).alias(f"near_{s}") for s in (0, 1)])
     complete = seen.filter(F.when(F.col("side") == 0, F.col("near_1")).when(F.col("side") == 1, F.col("near_0")).otherwise(F.col("near_0") & F.col("near_1")))
     return complete.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))

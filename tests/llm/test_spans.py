@@ -74,3 +74,14 @@ def test_parts_of_a_credential_meet(spark, documents):
     assert got == {0: ["identifier", "secret", "endpoint"], 1: [], 2: [], 3: [], 4: ["identifier", "secret"], 5: ["identifier", "secret"]}
     base_part = documents([f"AKIA{'A1' * 8} {key}"])
     assert [x.kind for x in secrets.find(base_part).first().spans] == [1, 4]
+
+
+def test_long_parts_meet_at_their_ends(spark, documents):
+    key, long = "Xk39dkLs02kd93Kd", "Xk39dkLs02kd93Kd" * 40
+    texts = [
+        f"{long} user=bob", f"user=bob {long}", f"password={long} user=bob", f"user=bob https://a.example/{'x/' * 300} {key}",
+        f"client_id={key}", f"client_id={key} {key}", f"user=bob {'z ' * 99}{key}", f"user=bob {'z ' * 100}{key}", f"https://a.example/?{'x=y&' * 200}user=bob&k={key}",
+    ]
+    found = secrets.find(documents(texts)).withColumn("s", secrets.listed([*secrets.BASE, *secrets.WEAK], F.col("spans")))
+    got = {r.doc_id: [x.split(":")[0] for x in r.s.split(",") if x] for r in found.collect()}
+    assert got == {0: ["secret", "identifier"], 1: ["identifier", "secret"], 2: ["assign", "identifier"], 3: ["endpoint"], 4: [], 5: ["identifier", "secret"], 6: ["identifier", "secret"], 7: [], 8: ["endpoint", "identifier", "secret"]}
