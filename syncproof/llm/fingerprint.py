@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from syncproof.llm.common import cut, map_documents, table
 from syncproof.llm.components import components
-from syncproof.llm.line_dedup import bounded, jaccard_at_least
+from syncproof.llm.linking import bounded
 from syncproof.llm.minhash import band_keys, mixed, permutations, signatures
 
 SHINGLE, PLACES, SIMILAR, SEED = 5, 128, 0.8, 4

@@ -1,19 +1,19 @@
 """Line deduplication: one line stays of each set of equal or nearly equal lines over all documents.
 
-Lines are compared with A-Z lowered and white space runs as one space. Equal lines meet by their 64-bit hash. Others meet by
-MinHash: signatures over character shingles, bands of them as posting keys. First, in each posting two members drawn by
-member and key are paired with all others (linear, so that large families become one component at once). Where a posting
-still holds several components, all its pairs across them are tried as well: by themselves up to `dense` members; the lines of
-larger postings meet again by their rarest shingles, of which any two similar lines share one, in the same two passes. The
-exact Jaccard similarity of every pair is verified on the texts, and verified links are joined to components by
-distributed union-find. So no pair that shares a posting is lost. A component keeps its first line by (doc_id, line number).
+Lines are compared with A-Z lowered and white space runs as one space. Equal lines meet by their 128-bit hash and are one
+row from there on. Distinct lines meet by MinHash: signatures over character shingles, bands of them as posting keys,
+of which every pair across components is tried (see linking). The exact Jaccard similarity of every pair is verified on
+the texts, and verified links are joined to components by distributed union-find. A component keeps its first line by
+(doc_id, line number).
 
 All lines that are not blank are compared; lines shorter than a shingle are near no other, so they meet by their hash alone.
 drop_lines() leaves lines shorter than `min_chars` (normalised) alone unless told otherwise; the query and the pipeline
 give it as 1.
 
 Defined cases: a null text stays null and has no lines; null doc_ids come last; rows repeated with id and text are one
-document, whose lines stay or go in all copies; equal ids of unlike texts are ordered by a hash of the text.
+document, whose lines stay or go in all copies; equal ids of unlike texts are ordered by a hash of the text; texts and lines
+of any length are worked whole, a single line in one piece; documents with extra columns keep them, whatever their names;
+no documents give no rows.
 """
 
 from __future__ import annotations
@@ -23,33 +23,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from syncproof.llm.common import cut, slices, table
 from syncproof.llm.components import components
+from syncproof.llm.linking import bounded, drawn, links
 from syncproof.llm.minhash import band_keys, mixed, permutations, signatures
+from syncproof.llm.sets import char_shingles, elements, similar_pairs, with_texts
 
 SHINGLE, BANDS, ROWS, SIMILAR, MIN_CHARS = 8, 9, 4, 0.8, 1
-
-
-def normalised(line: bytes) -> bytes:
-    return b" ".join(line.lower().split())
+FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\v\f\r", b"abcdefghijklmnopqrstuvwxyz    ")
 
 
 def eligible(text: bytes | None, min_chars: int) -> list[tuple[int, bytes]]:
     """(line number, normalised line) of the lines that are compared."""
-    out = []
-    for i, line in enumerate(text.split(b"\n") if text else ()):
-        if len(line) >= min_chars and len(n := normalised(line)) >= min_chars and (len(n) >= 4 * min_chars or len(n.decode(errors="replace")) >= min_chars):
-            out.append((i, n))
-    return out
+    if not text:
+        return []
+    text = text.translate(FOLD)
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    lines = [(i, x.strip(b" ")) for i, x in enumerate(text.split(b"\n"))]
+    return [(i, x) for i, x in lines if len(x) >= min_chars and (len(x) >= 4 * min_chars or len(x.decode(errors="replace")) >= min_chars)]
 
 
-def line_bands(lines: list[bytes], shingle: int, a: np.ndarray, b: np.ndarray, rows: int, block: int = 1 << 15) -> np.ndarray:
+def line_bands(texts: list[str], shingle: int, a: np.ndarray, b: np.ndarray, rows: int, block: int = 1 << 16) -> np.ndarray:
     """Band keys of lines of at least `shingle` characters, worked in blocks that fit a processor's cache."""
-    texts = [x.decode(errors="replace") for x in lines]
     out, start, total = [np.empty((0, len(a) // rows), np.int64)], 0, 0
     for i, t in enumerate(texts):
         total += len(t)
@@ -73,20 +73,27 @@ def _bands(texts: list[str], k: int, a: np.ndarray, b: np.ndarray, rows: int) ->
     return band_keys(signatures(mixed(h[inside]), np.cumsum(counts) - counts, a, b), rows)
 
 
+def hashes(lines: list[bytes]) -> np.ndarray:
+    """(lines, 2): the halves of their 128-bit hashes."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
+
+
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = 10) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, h: hash of the text, line_no, line: hash, bands: keys, none for lines shorter than a shingle)."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("h", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """docs (doc_id, text) -> (doc_id, h: hash of the text, line_no, line and mark: halves of its hash, k0, k1, ...: band keys, null for lines shorter than a shingle)."""
+    long = lambda name: T.StructField(name, T.LongType())
+    schema = T.StructType([docs.schema["doc_id"], long("h"), T.StructField("line_no", T.IntegerType()), long("line"), long("mark"), *[long(f"k{j}") for j in range(bands)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = permutations(bands * rows, seed)
         for batch in batches:
             for part in slices(batch, "text"):
                 of, numbers, lines = _lines(part, min_chars)
-                hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines)).view(np.int64)
-                long = [len(x) >= shingle and len(x.decode(errors="replace")) >= shingle for x in lines]
-                keys = line_bands([x for x, is_long in zip(lines, long, strict=True) if is_long], shingle, a, b, rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long)]) * bands, pa.int32()), pa.array(keys.reshape(-1), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(numbers, pa.int32()), pa.array(hashes), lists], names=schema.names)
+                both = hashes(lines)
+                texts = [x.decode(errors="replace") if len(x) >= shingle else "" for x in lines]
+                short = np.fromiter(map(len, texts), np.int64, len(texts)) < shingle
+                keys = np.zeros((len(lines), bands), np.int64)
+                keys[~short] = line_bands([t for t, s in zip(texts, short, strict=True) if not s], shingle, a, b, rows)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(numbers, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), *[pa.array(keys[:, j], mask=short) for j in range(bands)]], names=schema.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema)
 
@@ -101,137 +108,71 @@ def _lines(part: pa.RecordBatch, min_chars: int) -> tuple[pa.Array, list[int], l
     return pa.array(of, pa.int32()), numbers, lines
 
 
-def texts_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(line, content): a row for each compared line."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                lines = list(dict.fromkeys(_lines(part, min_chars)[2]))
-                hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array([x.decode(errors="replace") for x in lines], pa.string())], names=["line", "content"])
-
-    return docs.select("text").mapInArrow(run, "line long, content string")
-
-
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows; df must be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def similar_lines(docs: DataFrame, found: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, min_chars: int = MIN_CHARS, max_broadcast_rows: int = 1_000_000, dense: int = 64) -> DataFrame:
-    """(a, b): verified links between unlike lines; enough of them to connect all similar lines that share a band."""
-    members = drawn(found.select("line", F.explode("bands").alias("key")), max_broadcast_rows)
-    needed = cut(members.select("line").distinct())
-    texts = cut(texts_of(docs, min_chars).join(bounded(needed, max_broadcast_rows), "line", "left_semi").groupBy("line").agg(F.first("content").alias("content")))
-    links = cut(verified(drawn_pairs(members), texts, similar, shingle))
-    several = cut(unsettled(members, components(links), max_broadcast_rows))
-    pairs = across(several.filter(F.col("n") <= dense))
-    large = several.filter(F.col("n") > dense).select("line").distinct()
-    if not large.isEmpty():
-        members = drawn(rare_postings(large.join(texts, "line"), similar, shingle), max_broadcast_rows)
-        pairs = pairs.unionByName(drawn_pairs(members)).distinct()
-    links = links.unionByName(cut(verified(pairs, texts, similar, shingle)))
-    if not large.isEmpty():
-        several = cut(unsettled(members, components(links), max_broadcast_rows))
-        links = links.unionByName(verified(across(several), texts, similar, shingle))
-    return links
-
+def distinct_lines(found: DataFrame) -> DataFrame:
+    """(id, line, mark, n: occurrences, k0, k1, ...): a row for each distinct line; ids are given once and written."""
+    keys = [c for c in found.columns if c not in ("doc_id", "h", "line_no", "line", "mark")]
+    each = found.groupBy("line", "mark").agg(F.count("*").alias("n"), *[F.first(k).alias(k) for k in keys])
+    return cut(each.withColumn("id", F.monotonically_increasing_id()))
 
-def drawn(postings: DataFrame, max_broadcast_rows: int) -> DataFrame:
-    """(line, key) -> (line, key, lo, hi: two lines drawn from the posting), for the postings of several lines."""
-    draw = F.col("line").bitwiseXOR(F.col("key"))
-    ends = postings.groupBy("key").agg(F.min(draw).alias("lo"), F.max(draw).alias("hi")).filter("lo <> hi")
-    ends = cut(ends.select("key", *[F.col(c).bitwiseXOR(F.col("key")).alias(c) for c in ("lo", "hi")]))
-    return cut(postings.join(bounded(ends, max_broadcast_rows), "key").select("line", "key", "lo", "hi").distinct())
 
+def texts_of(docs: DataFrame, needed: DataFrame, min_chars: int, max_broadcast_rows: int) -> DataFrame:
+    """needed (id, line, mark) -> (id, content) of these lines. Up to the bound their hashes go to the tasks, which pass on no other lines."""
+    few = needed.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    wanted = docs.sparkSession.sparkContext.broadcast(np.unique(needed.select("line").toArrow().column(0).to_numpy())) if few else None
 
-def drawn_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): the drawn lines of each posting with all its others."""
-    each = members.select("line", F.explode(F.array("lo", "hi")).alias("other")).filter("line <> other")
-    return each.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
-
-
-def unsettled(members: DataFrame, roots: DataFrame, max_broadcast_rows: int) -> DataFrame:
-    """members of the postings that hold several components, with root and n: the posting's size."""
-    rooted = members.join(roots, F.col("line") == F.col("node"), "left").select("line", "key", "lo", "hi", F.coalesce("component", "line").alias("root"))
-    sizes = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most and n > 3")
-    return rooted.join(bounded(cut(sizes.select("key", "n")), max_broadcast_rows), "key")
-
-
-def across(several: DataFrame, block: int = 256) -> DataFrame:
-    """(a, b): the pairs of a posting across its components, without those of the drawn lines; large postings are dealt out in blocks."""
-    rest = several.filter("line <> lo and line <> hi").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    x = rest.select("key", F.col("line").alias("a"), F.col("root").alias("root_a"), F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int").alias("block"))
-    y = rest.select("key", F.col("line").alias("b"), F.col("root").alias("root_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return x.join(y, ["key", "block"]).filter("a < b and root_a <> root_b").select("a", "b").distinct()
-
-
-def rare_postings(texts: DataFrame, similar: float, shingle: int) -> DataFrame:
-    """(line, content) -> (line, key: hash of a shingle): each line's rarest shingles, so many that two similar lines share one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for line, content in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                keys = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in shingles(content, shingle)), np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), line)), pa.array(keys), pa.array(np.full(len(keys), len(keys)))], names=["line", "key", "size"])
-
-    each = cut(texts.select("line", "content").mapInArrow(run, "line long, key long, size long"))
-    counted = each.join(each.groupBy("key").agg(F.count("*").alias("held")), "key")
-    place = F.row_number().over(Window.partitionBy("line").orderBy("held", "key"))
-    return counted.withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similar - 1e-9) + 1).select("line", "key")
-
+            for part in slices(batch, "text"):
+                lines = list(dict.fromkeys(_lines(part, min_chars)[2]))
+                both = hashes(lines)
+                if wanted is not None:
+                    keep = np.flatnonzero(np.isin(both[:, 0], wanted.value))
+                    lines, both = [lines[i] for i in keep], both[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([x.decode(errors="replace") for x in lines], pa.string())], names=["line", "mark", "content"])
 
-def verified(pairs: DataFrame, texts: DataFrame, similar: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose texts have that Jaccard similarity or more."""
-    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("content").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("content").alias("y")), "b")
+    every = docs.select("text").mapInArrow(run, "line long, mark long, content string")
+    return cut(every.join(F.broadcast(needed) if few else needed, ["line", "mark"]).groupBy("id").agg(F.first("content").alias("content")))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, xs, ys = (batch.column(i).to_pylist() for i in range(4))
-            sets: dict[str, set[str]] = {}
-            keep = []
-            for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
-                p, q = (sets[t] if t in sets else sets.setdefault(t, shingles(t, shingle)) for t in (x, y))
-                if jaccard_at_least(p, q, similar):
-                    keep.append(i)
-                if len(sets) > 4096:
-                    sets.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+def similar_lines(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, min_chars: int = MIN_CHARS, max_broadcast_rows: int = 1_000_000, dense: int = 64) -> DataFrame:
+    """(a, b): verified links between the ids of distinct lines; enough of them to connect all similar lines that share a band."""
+    keys = [c for c in lines.columns if c not in ("id", "line", "mark", "n")]
+    members = drawn(lines.select("id", F.explode(F.array(*keys)).alias("key")).filter("key is not null"), max_broadcast_rows)
+    needed = cut(lines.select("id", "line", "mark").join(bounded(cut(members.select("id").distinct()), max_broadcast_rows), "id"))
+    texts = texts_of(docs, needed, min_chars, max_broadcast_rows)
+    of = lambda t: char_shingles(t, shingle)
+    return links(members, lambda pairs: similar_pairs(with_texts(pairs, texts), of, similar), lambda ids: elements(ids.join(texts, "id"), of), similar, max_broadcast_rows, dense)
 
 
 def shingles(t: str, k: int) -> set[str]:
     return {t[i : i + k] for i in range(max(len(t) - k, 0) + 1)}
 
 
-def jaccard_at_least(p: set, q: set, least: float) -> bool:
-    if min(len(p), len(q)) < least * max(len(p), len(q)):
-        return False
-    common = len(p & q)
-    return common >= least * (len(p) + len(q) - common)
-
-
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast_rows: int = 1_000_000, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, h: xxhash64 of the text, dropped: sorted line numbers from 0), for the documents that lose any."""
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     found = cut(occurrences(slim, min_chars))
-    linked = components(similar_lines(slim, found, min_chars=min_chars, max_broadcast_rows=max_broadcast_rows))
+    lines = distinct_lines(found)
+    linked = components(similar_lines(slim, lines, min_chars=min_chars, max_broadcast_rows=max_broadcast_rows))
+    rooted = lines.select("id", "line", "mark", "n").join(bounded(linked, max_broadcast_rows), F.col("id") == F.col("node"), "left")
+    judged = cut(rooted.filter("component is not null or n > 1").select("line", "mark", F.coalesce("component", "id").alias("root")))
+    hits = cut(found.select("doc_id", "h", "line_no", "line", "mark").join(bounded(judged, max_broadcast_rows), ["line", "mark"]).select("doc_id", "h", "line_no", "root"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "line_no")
-    first = found.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    roots = cut(first.join(linked, F.col("line") == F.col("node"), "left").filter("component is not null or first <> last").select("line", F.coalesce("component", "line").alias("root"), "first"))
-    keeper = roots.groupBy("root").agg(F.min("first").alias("keeper"))
-    judged = cut(roots.join(keeper, "root").select("line", "keeper"))
-    gone = found.join(bounded(judged, max_broadcast_rows), "line").filter(place != F.col("keeper"))
+    keeper = cut(hits.groupBy("root").agg(F.min(place).alias("keeper")))
+    gone = hits.join(bounded(keeper, max_broadcast_rows), "root").filter(place != F.col("keeper"))
     return gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
-def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 24) -> DataFrame:
+def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 24, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs with the repeated lines taken out of the texts; all rows and columns stay."""
-    gone = dropped_lines(docs, doc_id, text, min_chars=min_chars).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"), "dropped")
+    gone = cut(dropped_lines(docs, doc_id, text, max_broadcast_rows, min_chars).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"), "dropped"))
+    if (gone.agg(F.sum(F.size("dropped"))).first()[0] or 0) <= max_broadcast_rows:  # then the texts stay where they are
+        gone = F.broadcast(gone)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     at = F.col(f"doc.`{text}`")
     joined = rows.join(gone, F.col(f"doc.`{doc_id}`").eqNullSafe(F.col("gone_id")) & (F.xxhash64(at) == F.col("gone_h")), "left")
-    kept = F.array_join(F.filter(F.split(at, "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    lines = F.split(at, "\n", -1)
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "dropped"), lambda i: F.get(lines, i)), "\n")
     return joined.select(*[F.when(F.col("dropped").isNull(), at).otherwise(kept).alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
