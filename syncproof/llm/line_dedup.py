@@ -31,7 +31,7 @@ from syncproof.llm.common import cut, slices, table
 from syncproof.llm.components import components
 from syncproof.llm.linking import bounded, drawn, links
 from syncproof.llm.minhash import band_keys, mixed, permutations, signatures
-from syncproof.llm.sets import char_shingles, elements, similar_pairs, with_texts
+from syncproof.llm.sets import char_shingles
 
 SHINGLE, BANDS, ROWS, SIMILAR, MIN_CHARS = 8, 9, 4, 0.8, 1
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\v\f\r", b"abcdefghijklmnopqrstuvwxyz    ")
@@ -48,7 +48,7 @@ def eligible(text: bytes | None, min_chars: int) -> list[tuple[int, bytes]]:
     return [(i, x) for i, x in lines if len(x) >= min_chars and (len(x) >= 4 * min_chars or len(x.decode(errors="replace")) >= min_chars)]
 
 
-def line_bands(texts: list[str], shingle: int, a: np.ndarray, b: np.ndarray, rows: int, block: int = 1 << 16) -> np.ndarray:
+def line_bands(texts: list[str], shingle: int, a: np.ndarray, b: np.ndarray, rows: int, block: int = 1 << 17) -> np.ndarray:
     """Band keys of lines of at least `shingle` characters, worked in blocks that fit a processor's cache."""
     out, start, total = [np.empty((0, len(a) // rows), np.int64)], 0, 0
     for i, t in enumerate(texts):
@@ -64,7 +64,8 @@ def _bands(texts: list[str], k: int, a: np.ndarray, b: np.ndarray, rows: int) ->
     n = len(codes) - k + 1
     h = np.zeros(n, np.uint32)
     for j in range(k):
-        h = h * np.uint32(0x01000193) + codes[j : j + n]
+        h *= np.uint32(0x01000193)
+        h += codes[j : j + n]
     ends = np.cumsum([len(t) for t in texts])
     inside = np.ones(n, bool)
     for j in range(1, k):
@@ -126,7 +127,7 @@ def texts_of(docs: DataFrame, needed: DataFrame, min_chars: int, max_broadcast_r
                 lines = list(dict.fromkeys(_lines(part, min_chars)[2]))
                 both = hashes(lines)
                 if wanted is not None:
-                    keep = np.flatnonzero(np.isin(both[:, 0], wanted.value))
+                    keep = np.flatnonzero(wanted.value[np.searchsorted(wanted.value[:-1], both[:, 0])] == both[:, 0]) if len(wanted.value) else []
                     lines, both = [lines[i] for i in keep], both[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([x.decode(errors="replace") for x in lines], pa.string())], names=["line", "mark", "content"])
 
@@ -140,8 +141,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, s
     members = drawn(lines.select("id", F.explode(F.array(*keys)).alias("key")).filter("key is not null"), max_broadcast_rows)
     needed = cut(lines.select("id", "line", "mark").join(bounded(cut(members.select("id").distinct()), max_broadcast_rows), "id"))
     texts = texts_of(docs, needed, min_chars, max_broadcast_rows)
-    of = lambda t: char_shingles(t, shingle)
-    return links(members, lambda pairs: similar_pairs(with_texts(pairs, texts), of, similar), lambda ids: elements(ids.join(texts, "id"), of), similar, max_broadcast_rows, dense)
+    return links(members, texts, lambda t: char_shingles(t, shingle), similar, max_broadcast_rows, dense)
 
 
 def shingles(t: str, k: int) -> set[str]:

@@ -1,9 +1,9 @@
 """Verified links among the members of postings, in passes that leave no pair of a posting out.
 
 First, in each posting two members drawn by member and key are paired with all others (linear, so that large families
-become one component at once). Where a posting still holds several components, all its pairs across them are tried as well:
-by themselves up to `dense` members; the members of larger postings meet again by keys of their rarest elements, of which any
-two similar ones share one, in the same two passes. So no similar pair that shares a posting is lost.
+become one component at once). Where a posting still holds several components, its other pairs across them are tried as well:
+one by one up to `dense` members; in larger postings by blocks of some hundred members, whose sets are compared all at once
+in numpy, so that no row is made for a pair. So no similar pair that shares a posting is lost.
 
 Defined cases: no postings give no links; a member that stands in no posting with another has no link.
 """
@@ -12,11 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from syncproof.llm.common import cut
 from syncproof.llm.components import components
+from syncproof.llm.sets import common_values, distinct, similar_pairs, with_texts
+
+Shingles = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -45,36 +50,63 @@ def unsettled(members: DataFrame, roots: DataFrame, max_broadcast_rows: int) ->
     return rooted.join(bounded(cut(sizes.select("key", "n")), max_broadcast_rows), "key")
 
 
-def across(several: DataFrame, block: int = 256) -> DataFrame:
-    """(a, b): the pairs of a posting across its components, without those of the drawn ids; large postings are dealt out in blocks."""
-    rest = several.filter("id <> lo and id <> hi").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    x = rest.select("key", F.col("id").alias("a"), F.col("root").alias("root_a"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    y = rest.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return x.join(y, ["key", "block"]).filter("a < b and root_a <> root_b").select("a", "b").distinct()
-
-
-def rarest(elements: DataFrame, similar: float, max_broadcast_rows: int) -> DataFrame:
-    """(id, key: an element of its set, size of the set) -> (id, key): each set's rarest elements, so many that two sets of that Jaccard similarity share one."""
-    common = cut(elements.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"))  # an element of one set alone is no meeting point, but takes its place among the rarest
-    counted = elements.join(bounded(common, max_broadcast_rows), "key", "left").withColumn("held", F.coalesce("held", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("held", "key"))
-    return counted.withColumn("place", place).filter((F.col("place") <= F.col("size") - F.ceil(F.col("size") * similar - 1e-9) + 1) & (F.col("held") > 1)).select("id", "key")
-
-
-def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], similar: float, max_broadcast_rows: int = 1_000_000, dense: int = 64) -> DataFrame:
+def across(several: DataFrame) -> DataFrame:
+    """(a, b): the pairs of a posting across its components, without those of the drawn ids."""
+    rest = several.filter("id <> lo and id <> hi")
+    x, y = (rest.select("key", F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+    return x.join(y, "key").filter("a < b and root_a <> root_b").select("a", "b").distinct()
+
+
+def in_blocks(several: DataFrame, texts: DataFrame, shingles: Shingles, similar: float, members: int = 256, chars: int = 1 << 22) -> DataFrame:
+    """(a, b): links that connect what is similar across the components of each posting, found in pairs of blocks of so many members and characters."""
+    long = cut(several.select("key", "id", "root", "n").join(texts, "id"))
+    sizes = long.groupBy("key").agg(F.sum(F.length("content")).alias("chars"))
+    blocks = F.ceil(F.greatest(F.col("n") / members, F.col("chars") / chars)).cast("int")
+    dealt = long.join(F.broadcast(sizes) if sizes.count() < 100_000 else sizes, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = each.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "root", "content")
+
+    def compare(group: pa.Table) -> pa.Table:
+        own, ids, roots = (group.column(c).to_numpy() for c in ("own", "id", "root"))
+        lo, hi = (group.column(c)[0].as_py() for c in ("lo", "hi"))
+        x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        found = []
+        if len(np.unique(roots)) > 1:
+            common, sizes = common_values(*distinct(*shingles(group.column("content").combine_chunks())), x, y)
+            near = common >= similar * (sizes[x][:, None] + sizes[y] - common)
+            p, q = np.nonzero(near & (roots[x][:, None] != roots[y]))
+            found = forest(x[p], y[q], roots)
+        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+
+    return met.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def forest(p: np.ndarray, q: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (p[i], q[i]) so many as connect their members' components."""
+    boss: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while (up := boss.get(r, r)) != r:
+            boss[r] = boss.get(up, up)
+            r = up
+        return r
+
+    out = []
+    for i, j in zip(p.tolist(), q.tolist(), strict=True):
+        if (a := find(int(roots[i]))) != (b := find(int(roots[j]))):
+            boss[a] = b
+            out.append((i, j))
+    return out
+
+
+def links(members: DataFrame, texts: DataFrame, shingles: Shingles, similar: float, max_broadcast_rows: int = 1_000_000, dense: int = 64) -> DataFrame:
     """(a, b): verified links; enough of them to connect all similar ids that share a posting.
 
-    members: drawn()'s. verify: pairs (a, b) to those that are similar. elements: (id) to (id, key, size), the sets' elements.
+    members: drawn()'s. texts: (id, content) of them. shingles: texts to (hashes of their elements end to end, counts).
     """
+    verify = lambda pairs: similar_pairs(with_texts(pairs, texts), shingles, similar)
     found = cut(verify(drawn_pairs(members)))
     several = cut(unsettled(members, components(found), max_broadcast_rows))
-    if several.isEmpty():
-        return found
-    pairs = across(several.filter(F.col("n") <= dense))
-    large = cut(several.filter(F.col("n") > dense).select("id").distinct())
-    if large.isEmpty():
-        return found.unionByName(cut(verify(pairs)))
-    members = drawn(rarest(cut(elements(large)), similar, max_broadcast_rows), max_broadcast_rows)
-    found = found.unionByName(cut(verify(pairs.unionByName(drawn_pairs(members)).distinct())))
-    several = cut(unsettled(members, components(found), max_broadcast_rows))
-    return found.unionByName(cut(verify(across(several))))
+    large = several.filter(F.col("n") > dense)
+    rest = verify(across(several.filter(F.col("n") <= dense)))
+    return found.unionByName(cut(rest if large.isEmpty() else rest.unionByName(in_blocks(large, texts, shingles, similar))))

@@ -22,13 +22,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def signatures(elements: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(sets, permutations) minima; set i is elements[offsets[i]:offsets[i + 1]], none empty. Repeats do not matter."""
-    out = np.empty((len(offsets), len(a)), np.uint32)
+    out = np.empty((len(a), len(offsets)), np.uint32)
     buffer = np.empty_like(elements)
     for k in range(len(a)):
         np.multiply(elements, a[k], out=buffer)
         np.add(buffer, b[k], out=buffer)
-        out[:, k] = np.minimum.reduceat(buffer, offsets)
-    return out
+        np.minimum.reduceat(buffer, offsets, out=out[k])
+    return np.ascontiguousarray(out.T)
 
 
 def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:

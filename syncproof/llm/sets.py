@@ -86,15 +86,23 @@ def similar_pairs(both: DataFrame, shingles: Callable[[pa.Array], tuple[np.ndarr
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def elements(texts: DataFrame, shingles: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """texts (id, content) -> (id, key: value of an element, size: of the text's set)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "content", rows=MOST, nbytes=1 << 20):
-                values, sizes = distinct(*shingles(part.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(values.view(np.int64)), pa.array(np.repeat(sizes, sizes))], names=["id", "key", "size"])
-
-    return texts.select("id", "content").mapInArrow(run, "id long, key long, size long")
+def common_values(values: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, width: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """(how many values the sets x[i] and y[j] have in common, all sets' sizes), by products of 0/1 matrices of so many values at a time."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, number, held = np.unique(values, return_inverse=True, return_counts=True)
+    several = held > 1
+    column = (np.cumsum(several) - 1)[number]
+    keep = several[number]
+    owner, column = owner[keep], column[keep]
+    common = np.zeros((len(x), len(y)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    bounds = np.searchsorted(column, np.arange(0, int(several.sum()) + width, width))
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        held_by = np.zeros((len(sizes), width), np.float32)
+        held_by[owner[a:b], column[a:b] - k * width] = 1
+        common += held_by[x] @ held_by[y].T
+    return common, sizes
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
