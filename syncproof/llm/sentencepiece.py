@@ -13,7 +13,8 @@ joined: their occurrences by unit, then back to the documents that hold them.
 Units have 64-bit hashes; ids are those of the model file, read as plain pieces with scores (path is a parameter).
 
 Defined cases: null text gives null ids, empty text no ids; spaces become `▁` after one is put in front, as the model
-asks; a `▁` in a text decodes to a space, as in the library; repeated rows are encoded alike; extra columns stay.
+asks; a `▁` in a text decodes to a space, as in the library; repeated rows are encoded alike; extra columns stay, but for kept
+columns named `ids` or `round_trip`, which give way to the results; texts and units of any length cost their length.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from syncproof.llm.common import cut, slices, table
+from syncproof.llm.sets import runs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST_SHARED = 48
-HEAD = 4
+HEAD, BLOCK, LONG = 4, 256, 64
 
 
 @dataclass
@@ -185,65 +187,99 @@ def distinct_units(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataF
 
 
 def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n, s, e, id, score): a row for each substring that is a useful piece, and for each lone character that is none (id -1).
+    """(uid, unit: struct) -> (uid, unit: in one row of each uid, e, n, s, id, score, sub): a row for each substring of n characters from s up to e that is
+    a useful piece, and for each lone character that is none (id -1, sub: the character).
 
-    Substrings of at most HEAD characters meet the heads of the pieces; of longer pieces the rest is compared after the join.
+    Substrings of at most HEAD characters meet the heads of the pieces; of longer pieces the rest is compared after the join. Units are cut into
+    blocks first, and a row holds no more than the longest piece could cover, so that long units cost their length, not its square.
     """
     spark = units.sparkSession
     rows = [(pieces.pieces[i][:HEAD], pieces.pieces[i], len(pieces.pieces[i]), i, float(pieces.scores[i])) for i in pieces.useful()]
     vocabulary = spark.createDataFrame(rows, "head string, piece string, size int, id int, score float")
-    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    spans = starts.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.length("unit") - F.col("s"), F.lit(HEAD)))).alias("len"))
-    substrings = spans.withColumn("sub", F.substr(F.col("unit"), F.col("s") + 1, F.col("len")))
+    longest = max([HEAD, *(r[2] for r in rows)])
+    blocks = units.select("uid", "unit", F.explode(F.sequence(F.lit(0), F.length("unit.unit") - 1, F.lit(BLOCK))).alias("base"))
+    texts = blocks.select("uid", F.when(F.col("base") == 0, F.col("unit")).alias("unit"), "base", F.substr(F.col("unit.unit"), F.col("base") + 1, F.lit(BLOCK + longest)).alias("block"))
+    starts = texts.select("uid", "unit", "base", "block", F.explode(F.sequence(F.lit(0), F.least(F.length("block"), F.lit(BLOCK)) - 1)).alias("at"))
+    rests = starts.select("uid", F.when(F.col("at") == 0, F.col("unit")).alias("unit"), (F.col("base") + F.col("at")).alias("s"), F.substr(F.col("block"), F.col("at") + 1, F.lit(longest)).alias("rest"))
+    spans = rests.select("uid", F.col("unit"), "s", "rest", F.explode(F.sequence(F.lit(1), F.least(F.length("rest"), F.lit(HEAD)))).alias("len"))
+    substrings = spans.withColumn("sub", F.substr(F.col("rest"), F.lit(1), F.col("len")))
     met = substrings.join(F.broadcast(vocabulary), F.col("sub") == F.col("head"), "left")  # the vocabulary is fixed in size
-    whole = (F.col("size") <= HEAD) | (F.substr(F.col("unit"), F.col("s") + 1, F.col("size")) == F.col("piece"))
+    whole = (F.col("size") <= HEAD) | F.col("rest").startswith(F.col("piece"))
     edge = met.filter(F.when(F.col("id").isNull(), F.col("len") == 1).otherwise(whole))
-    return edge.select("unit", "n", "s", (F.col("s") + F.coalesce("size", F.lit(1))).alias("e"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown_score).cast("float")).alias("score"))
+    size = F.coalesce("size", F.lit(1))
+    return edge.select("uid", F.when(F.col("len") == 1, F.col("unit")).alias("unit"), (F.col("s") + size).alias("e"), size.alias("n"), "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown_score).cast("float")).alias("score"), F.when(F.col("id").isNull(), F.col("sub")).alias("sub"))
 
 
 def viterbi(lattice: Column) -> Column:
-    """array of (e, s, id, score) -> array of (s, id) of the best path, from its end.
+    """array of (e, n, s, id, score), sorted -> array of (id, s) of the best path, from its end; of equal ones the first start wins.
 
-    Edges come sorted by end, then start: a later one must be better than the best so far, so of equal ones the first start stays.
+    A first fold, by ends, leaves the best score up to each character; a second, from the end backwards, walks along the edges that reach it.
     """
-    node = "struct<score:float,s:int,id:int>"
-    start = F.struct(F.lit(0.0).cast("float").alias("score"), F.lit(0).alias("s"), F.lit(-2).alias("id"))
-    empty = F.struct(F.array().cast(f"array<{node}>").alias("done"), start.alias("now"))  # nodes before this end, and this end's
+    start = F.struct(F.array().cast("array<float>").alias("done"), F.lit(0.0).cast("float").alias("now"))  # scores before this end, and this end's
 
     def step(acc: Column, x: Column) -> Column:
         done, now = acc["done"], acc["now"]
-        way = lambda score: F.struct(score.alias("score"), x["s"].alias("s"), x["id"].alias("id")).alias("now")
-        score = F.get(done, x["s"])["score"] + x["score"]
-        first = F.when(x["s"] == F.size(done), now["score"]).otherwise(F.get(done, x["s"])["score"]) + x["score"]
-        same_end = F.when(score > now["score"], F.struct(done.alias("done"), way(score))).otherwise(acc)
-        return F.when(x["e"] == F.size(done), same_end).otherwise(F.struct(F.concat(done, F.array(now)).alias("done"), way(first)))
+        same_end = F.struct(done.alias("done"), F.greatest(now, F.get(done, x["s"]) + x["score"]).alias("now"))
+        next_end = F.struct(F.concat(done, F.array(now)).alias("done"), (F.coalesce(F.get(done, x["s"]), now) + x["score"]).alias("now"))
+        return F.when(x["e"] == F.size(done), same_end).otherwise(next_end)
 
-    def back(acc: Column, _: Column) -> Column:
-        at = F.get(acc["nodes"], acc["at"])
-        return F.when(acc["at"] <= 0, acc).otherwise(F.struct(acc["nodes"].alias("nodes"), at["s"].alias("at"), F.concat(acc["path"], F.array(F.struct(at["s"].alias("s"), at["id"].alias("id")))).alias("path")))
+    def back(best: Column):
+        def walk(acc: Column, x: Column) -> Column:
+            on = (x["e"] == acc["at"]) & (F.get(best, x["s"]) + x["score"] == F.get(best, x["e"]))
+            return F.when(on, F.struct(x["s"].alias("at"), F.concat(acc["path"], F.array(F.struct(x["id"].alias("id"), x["s"].alias("s")))).alias("path"))).otherwise(acc)
 
-    nodes = F.aggregate(F.sort_array(lattice), empty, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
-    first = lambda n: F.struct(n.alias("nodes"), (F.size(n) - 1).alias("at"), F.array().cast("array<struct<s:int,id:int>>").alias("path"))
-    return F.get(F.transform(F.array(nodes), lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(n) - 1, F.lit(1))), first(n), back, lambda acc: acc["path"])), 0)
+        end = F.struct((F.size(best) - 1).alias("at"), F.array().cast("array<struct<id:int,s:int>>").alias("path"))
+        return F.aggregate(F.reverse(lattice), end, walk, lambda acc: acc["path"])
+
+    scores = F.aggregate(lattice, start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    return F.get(F.transform(F.array(scores), back), 0)
+
+
+def best_path(e: np.ndarray, s: np.ndarray, score: np.ndarray) -> list[int]:
+    """viterbi() of one long unit: the places of the best path's edges, from its start; edges come sorted by e, then s."""
+    length = int(e[-1])
+    best, by = np.full(length + 1, -np.inf, np.float32), [0] * (length + 1)
+    best[0] = 0
+    for k, (i, j, x) in enumerate(zip(s.tolist(), e.tolist(), score, strict=True)):
+        if (way := best[i] + x) > best[j]:
+            best[j], by[j] = way, k
+    out, at = [], length
+    while at:
+        out.append(by[at])
+        at = int(s[by[at]])
+    return out[::-1]
 
 
 def encoded_units(units: DataFrame, pieces: Pieces, units_a_task: int = 10_000) -> DataFrame:
-    """(unit, n, ids) of distinct units (unit, n)."""
+    """(unit, n, ids) of distinct units (unit, n). Units over LONG characters are folded one by one in Arrow, so that they cost their length."""
     spark = units.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // units_a_task))
-    dealt = edges(units.repartition(tasks, "unit"), pieces)  # the groups below stay in these partitions: edges are not shuffled
-    lattice = dealt.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(F.struct("e", "s", "id", "score")).alias("lattice"))
+    numbered = cut(units.select(F.struct("unit", "n").alias("unit"), F.monotonically_increasing_id().alias("uid"), (F.length("unit") > LONG).alias("long")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-numbered.count() // units_a_task))
+    dealt = edges(numbered.filter("not long").repartition(tasks, "uid"), pieces)  # the groups below stay in these partitions: edges are not shuffled
+    lattice = dealt.groupBy("uid").agg(F.max("unit").alias("unit"), F.sort_array(F.collect_list(F.struct("e", "n", "s", "id", "score"))).alias("lattice"))
     codes = F.array(*[F.lit(i) for i in pieces.fallback])
-    character = lambda s: F.encode(F.substr(F.col("unit"), s + 1, F.lit(1)), "UTF-8")
+    character = lambda s: F.encode(F.substr(F.col("unit.unit"), s + 1, F.lit(1)), "UTF-8")
     as_bytes = lambda s: F.transform(F.sequence(F.lit(1), F.octet_length(character(s))), lambda k: F.get(codes, F.conv(F.hex(F.substring(character(s), k, F.lit(1))), 16, 10).cast("int")))
     unknown = as_bytes if len(pieces.fallback) == 256 else lambda s: F.array(F.lit(pieces.fallback[0]))
-    ids = F.flatten(F.transform(F.reverse("path"), lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(unknown(p["s"]))))
-    before = spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold")
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * units_a_task))  # a task's units are bounded: no need to sort their edges
-    try:
-        return cut(lattice.select("unit", "n", viterbi(F.col("lattice")).alias("path")).select("unit", "n", ids.alias("ids")))
-    finally:
-        spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", before)
+    known = F.forall("path", lambda p: p["id"] >= 0)
+    ids = F.when(known, F.reverse(F.transform("path", lambda p: p["id"]))).otherwise(F.flatten(F.transform(F.reverse("path"), lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(unknown(p["s"])))))
+    done = cut(lattice.select("unit", viterbi(F.col("lattice")).alias("path")).select("unit", ids.alias("ids")).select("unit.unit", "unit.n", "ids"))
+    long = numbered.filter("long")
+    if not long.isEmpty():
+        fallback = pieces.fallback
+
+        def fold(group: pa.Table) -> pa.Table:
+            group = group.sort_by([("e", "ascending"), ("s", "ascending")])
+            path = best_path(*(group.column(c).to_numpy() for c in ("e", "s", "score")))
+            taken = group.take(pa.array(path))
+            out = []
+            for i, sub in zip(taken.column("id").to_pylist(), taken.column("sub").to_pylist(), strict=True):
+                out += [i] if i >= 0 else [fallback[b] for b in sub.encode()] if len(fallback) == 256 else fallback
+            return pa.table({"uid": group.column("uid").slice(0, 1), "ids": pa.array([out], pa.list_(pa.int32()))})
+
+        found = edges(long.repartition("uid"), pieces).drop("unit").groupBy("uid").applyInArrow(fold, "uid long, ids array<int>")
+        done = done.unionByName(cut(found.join(long, "uid").select("unit.unit", "unit.n", "ids")))
+    return done
 
 
 # --- documents -----------------------------------------------------------------------------------------------------
@@ -331,12 +367,6 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=pc.is_null(texts)), missing
 
 
-def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... counts[0] of them, then those of starts[1] and so on."""
-    ends = np.cumsum(counts)
-    return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 class Decoder:
     """Lists of ids to texts."""
 
@@ -355,45 +385,53 @@ class Decoder:
 def encode(docs: DataFrame, pieces: Pieces, keep: list[str], text: str = "text", dictionary_units: int = 1 << 22) -> DataFrame:
     """The columns `keep` of docs with ids array<int> and round_trip: whether the ids decode to the text (spaces for any `▁` in it)."""
     spark = docs.sparkSession
-    encoded = encoded_units(cut(distinct_units(docs, pieces, text)), pieces)
+    encoded = encoded_units(distinct_units(docs, pieces, text), pieces)
     dictionary, inside, complete = frequent(encoded, dictionary_units, len(pieces.pieces))
     shared = spark.sparkContext.broadcast((dictionary, pieces))
     regex = pieces.unit_regex()
-    kept = T.StructType([docs.schema[c] for c in keep])
-    schema = T.StructType([T.StructField("kept", kept), T.StructField("h", T.LongType()), T.StructField("size", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("missing", T.ArrayType(T.StringType())), T.StructField("round_trip", T.BooleanType())])
+    plain = F.translate(F.col(f"`{text}`"), SPACE, " ")  # what the ids stand for
+    match = [] if complete else [F.xxhash64(plain).alias("h"), F.octet_length(plain).cast("long").alias("size")]  # to check texts that join their units
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), *match, F.col(f"`{text}`").alias("text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("missing", T.ArrayType(T.StringType())), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(shared.value[0], regex, shared.value[1].dummy_prefix), Decoder(shared.value[1])
         for batch in batches:
             for part in slices(batch, "text", rows=4096, nbytes=4 << 20):
-                texts = part.column(3)
+                texts = part.columns[-1]
                 ids, missing = encoder.encode(texts)
                 if missing is None:
                     same = pc.or_kleene(pc.is_null(texts), pc.equal(decoder.decode(ids), pc.replace_substring(texts, SPACE, " ")))
                 else:
                     same = pa.nulls(len(texts), pa.bool_())  # not whole yet
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], ids, pa.array(missing or [[]] * len(texts), pa.list_(pa.string())), same], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array(missing or [[]] * len(texts), pa.list_(pa.string())), same], names=schema.names)
             pa.default_memory_pool().release_unused()
 
-    plain = F.translate(F.col(f"`{text}`"), SPACE, " ")  # what the ids stand for
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.xxhash64(plain).alias("h"), F.octet_length(plain).cast("long").alias("size"), F.col(f"`{text}`").alias("text"))
     out = rows.mapInArrow(run, schema)
+    columns = [F.col(f"kept.`{c}`").alias(c) for c in keep if c not in ("ids", "round_trip")]
     if complete:
-        return out.select(*[F.col(f"kept.`{c}`").alias(c) for c in keep], "ids", "round_trip")
+        return out.select(*columns, "ids", "round_trip")
     wanted = out.filter("size(missing) > 0").select("h", "size", F.posexplode("missing").alias("k", "unit")).distinct()
     filled = wanted.join(encoded.filter(~inside).select("unit", F.col("ids").alias("own")), "unit").groupBy("h", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "own"))), lambda x: x["own"]).alias("filled"))
     whole = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get("filled", -1 - i))))
     joined = out.join(filled, ["h", "size"], "left").withColumn("ids", F.when(F.size("missing") > 0, whole).otherwise(F.col("ids")))
     ready = joined.select("kept", "ids", "h", "size", "round_trip")
-    later = decode(ready.filter("round_trip is null"), pieces).withColumn("round_trip", F.col("ids").isNull() | ((F.octet_length("decoded") == F.col("size")) & (F.xxhash64("decoded") == F.col("h")))).drop("decoded")
+    again = _decoded(ready.filter("round_trip is null"), pieces, "ids")
+    own = lambda c: F.col(f"row.{c}")
+    later = again.select(own("kept"), own("ids"), own("h"), own("size"), (own("ids").isNull() | ((F.octet_length("decoded") == own("size")) & (F.xxhash64("decoded") == own("h")))).alias("round_trip"))
     both = ready.filter("round_trip is not null").unionByName(later)
-    return both.select(*[F.col(f"kept.`{c}`").alias(c) for c in keep], "ids", "round_trip")
+    return both.select(*columns, "ids", "round_trip")
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """rows with a column of the texts that the ids stand for (null where ids is null)."""
+    """rows with a column of the texts that the ids stand for (null where ids is null). A column of that name is replaced."""
+    return _decoded(rows, pieces, ids).select(*[F.col(f"row.`{c}`").alias(c) for c in rows.columns if c != out], F.col("decoded").alias(out))
+
+
+def _decoded(rows: DataFrame, pieces: Pieces, ids: str) -> DataFrame:
+    """(row struct, decoded)."""
     shared = rows.sparkSession.sparkContext.broadcast(pieces)
-    schema = T.StructType([T.StructField("row", rows.schema), T.StructField(out, T.StringType())])
+    schema = T.StructType([T.StructField("row", rows.schema), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
@@ -401,9 +439,9 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decode
             for i in range(0, batch.num_rows, 512):
                 row = batch.slice(i, 512).column(0)
                 lists = pa.concat_arrays([row.field(ids)])
-                yield pa.RecordBatch.from_arrays([row, decoder.decode(lists)], names=["row", out])
+                yield pa.RecordBatch.from_arrays([row, decoder.decode(lists)], names=["row", "decoded"])
 
-    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")).mapInArrow(run, schema).select("row.*", out)
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")).mapInArrow(run, schema)
 
 
 def tokenize(docs: DataFrame, keep: list[str], model: str = MODEL, text: str = "text") -> DataFrame:

@@ -61,3 +61,31 @@ def test_only_beaten_pieces_are_left_out():
     assert len(p.useful()) == 6
     p.scores[2], p.kinds[2] = -5.0, 4
     assert len(p.useful()) == 6
+
+
+def test_long_units_cost_their_length(documents):
+    import random
+    import time
+
+    rng = random.Random(3)
+    letters = "".join(rng.choices("etaoinshrdlu", k=200_000))
+    began = time.time()
+    out = {r.doc_id: r for r in S.tokenize(documents([letters, letters[:3000], letters[:200], "a" * 100_000]), ["doc_id"]).collect()}
+    assert time.time() - began < 60 and all(r.round_trip for r in out.values())
+    pieces = S.Pieces.load()
+    score = {pieces.pieces[i]: pieces.scores[i] for i in pieces.usable}
+    for k, n in ((1, 3000), (2, 200)):
+        text, best = S.SPACE + letters[:n], [0.0]
+        for e in range(1, n + 2):
+            best.append(max(best[s] + score[text[s:e]] for s in range(max(0, e - 16), e) if text[s:e] in score))
+        assert "".join(pieces.pieces[i] for i in out[k].ids) == text
+        assert abs(sum(pieces.scores[i] for i in out[k].ids) - best[-1]) < 1e-4 * abs(best[-1])
+
+
+def test_kept_columns_of_clashing_names(documents):
+    from pyspark.sql import functions as F
+
+    docs = documents(["some words", None]).select("doc_id", "text", F.lit("x").alias("ids"), F.lit("y").alias("round_trip"), F.lit("z").alias("decoded"), F.lit("k").alias("kept"))
+    out = S.tokenize(docs, docs.columns)
+    assert out.columns == ["doc_id", "text", "decoded", "kept", "ids", "round_trip"]
+    assert {r.doc_id: r.decoded for r in S.decode(out, S.Pieces.load()).collect()} == {0: "some words", 1: None}
