@@ -8,13 +8,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _bases: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    """spark.checkpoint.dir, or a temporary folder where that is unset and all runs in this process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="syncproof-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -29,10 +33,22 @@ def new_path(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written as Parquet and read back: its lineage ends there and survives lost executors."""
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
+def cut(df: DataFrame, free_shuffles: bool = False) -> DataFrame:
+    """df, written as Parquet and read back: its lineage ends there and survives lost executors.
+
+    With free_shuffles its shuffle files go when the write has ended (they are of no use then), not when the driver next collects
+    garbage. Spark takes that from a session setting, which stands during the write alone; of other queries that end meanwhile it
+    changes no result.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession)
+    before = spark.conf.get(FREE, None)
+    if free_shuffles:
+        spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free_shuffles:
+            spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
