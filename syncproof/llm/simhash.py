@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from syncproof.llm.common import cut, map_documents, table
 from syncproof.llm.components import components
+from syncproof.llm.linking import bounded
 
 
 def quadruples() -> list[tuple[int, ...]]:
@@ -132,16 +133,26 @@ def forest(members: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc struct, fingerprint long, component_id): component_id is the smallest doc_id reachable over links."""
-    return _classed(cut(with_fingerprints(docs, text=text)), doc_id)
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(doc struct, fingerprint long, root: a fingerprint of the component, component_id): component_id is the smallest doc_id reachable over links."""
+    out = _classed(cut(with_fingerprints(docs, text=text)), doc_id, max_broadcast_rows)
+    return out.withColumn("root", F.coalesce("root", "fingerprint"))
 
 
-def _classed(found: DataFrame, doc_id: str) -> DataFrame:
-    roots = components(links(found))
-    rooted = found.join(roots, found["fingerprint"] == roots["node"], "left").withColumn("root", F.coalesce("component", "fingerprint"))
-    ids = rooted.groupBy("root").agg(F.min(F.col(f"doc.`{doc_id}`")).alias("component_id"))
-    return rooted.join(ids, "root").select("doc", "fingerprint", "root", "component_id")
+def _classed(found: DataFrame, doc_id: str, max_broadcast_rows: int) -> DataFrame:
+    """found (doc, fingerprint) with root and component_id; root is null where a fingerprint is held once and has no link.
+
+    Documents become one row a fingerprint before anything is joined, and only fingerprints of several documents or of links go on,
+    so that neither a text with many copies nor a large component brings its documents together.
+    """
+    each = cut(found.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(F.col(f"doc.`{doc_id}`")).alias("least")))
+    roots = bounded(components(links(each)), max_broadcast_rows)
+    several = each.join(roots, each["fingerprint"] == roots["node"], "left").filter("component is not null or n > 1")
+    several = cut(several.select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("root")))
+    ids = cut(several.groupBy("root").agg(F.min("least").alias("component_id")))
+    judged = cut(several.select("fingerprint", "root").join(bounded(ids, max_broadcast_rows), "root").select("fingerprint", "root", "component_id"))
+    joined = found.join(bounded(judged, max_broadcast_rows), "fingerprint", "left")
+    return joined.select("doc", "fingerprint", "root", F.when(F.col("root").isNull(), F.col(f"doc.`{doc_id}`")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -151,9 +162,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_br
     """
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     found = with_fingerprints(slim).select(F.struct("doc.doc_id", F.xxhash64("doc.text").alias("h")).alias("doc"), "fingerprint")
-    each = cut(_classed(cut(found), "doc_id").groupBy("root", "component_id", "doc.doc_id", "doc.h").agg(F.count("*").alias("copies")))
-    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("h"))).alias("first"))
-    judged = each.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")))
+    each = cut(_classed(cut(found), "doc_id", max_broadcast_rows).filter("root is not null").groupBy("root", "doc.doc_id", "doc.h").agg(F.count("*").alias("copies")))
+    first = cut(each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("h"))).alias("first")))
+    judged = each.join(bounded(first, max_broadcast_rows), "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")))
     gone = cut(judged.filter(~F.col("stays") | (F.col("copies") > 1)).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"), "stays"))
     n, repeated = gone.agg(F.count("*"), F.count_if("stays")).first()
     side = F.broadcast(gone) if n <= max_broadcast_rows else gone
