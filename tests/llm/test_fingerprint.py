@@ -50,3 +50,25 @@ def test_near_duplicate_classes(spark, documents):
     texts = [base, *family, base, "something else altogether " * 3, None, ""]
     got = {r.doc_id: r.class_id for r in P.near_duplicates(documents(texts)).collect()}
     assert [got[i] for i in range(10)] == [0] * 10 and got[10] == 10 and got[11] == got[12] == 11
+
+
+def test_classes_against_all_pairs(spark, sf):
+    from collections import Counter
+
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    boss, index, sets = {d: d for d, _ in docs}, {}, {d: P.shingle_set(t, 5) for d, t in docs}
+
+    def find(d):
+        while boss[d] != d:
+            d = boss[d]
+        return d
+
+    for d, t in docs:
+        for other, n in Counter(o for g in sets[d] for o in index.get(g, ())).items():
+            if n >= 0.8 * (len(sets[d]) + len(sets[other]) - n):
+                a, b = sorted((find(d), find(other)))
+                boss[b] = a
+        for g in sets[d]:
+            index.setdefault(g, []).append(d)
+    got = {r.doc_id: r.class_id for r in P.query(spark, sf).collect()}
+    assert got == {d: find(d) for d, _ in docs} and len(set(got.values())) < len(docs)
