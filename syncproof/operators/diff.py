@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from syncproof.functions.canonical import as_text, data_columns
+from syncproof.functions.joins import bounded
 from syncproof.operators.digest import checksum, with_row_digest
+from syncproof.scratch import cut
 
 MISSING_IN_DESTINATION, MISSING_IN_SOURCE, CHANGED, SAME = "missing_in_destination", "missing_in_source", "changed", "same"
 
@@ -67,12 +69,18 @@ def diff_by_prefix(source: DataFrame, destination: DataFrame, keys: Sequence[str
 
 
 def diff_columns(source: DataFrame, destination: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, n): in how many rows of both sides a column's values differ."""
+    """(column, n): in how many rows of both sides a column's values differ; NULL keys meet.
+
+    Keys meet with two hashes of their rows first; the wide rows of unlike ones alone are read again and compared.
+    """
     names = [c for c in (columns or data_columns(source)) if c not in keys]
-    s = source.select(*keys, F.struct(*names).alias("s"))
-    d = destination.select(*keys, F.struct(*names).alias("d"))
-    unlike = F.array_compact(F.array(*[F.when(~F.col(f"s.`{c}`").eqNullSafe(F.col(f"d.`{c}`")), F.lit(c)) for c in names]))
-    return s.join(d, list(keys)).select(F.explode(unlike).alias("column")).groupBy("column").agg(F.count("*").alias("n"))
+    hashed = lambda df, n: df.select(*[F.col(f"`{k}`").alias(f"{n}_{i}") for i, k in enumerate(keys)], *[F.xxhash64(F.lit(j), *[F.col(f"`{c}`") for c in names]).alias(f"{n}h{j}") for j in (0, 1)])
+    same = lambda x, y: [F.col(f"{x}_{i}").eqNullSafe(F.col(f"{y}_{i}")) for i in range(len(keys))]
+    unlike = hashed(source, "s").join(hashed(destination, "d"), same("s", "d")).filter("sh0 <> dh0 or sh1 <> dh1").select(*[F.col(f"s_{i}").alias(f"u_{i}") for i in range(len(keys))])
+    bad = bounded(cut(unlike.distinct()))
+    side = lambda df, n: df.select(*[F.col(f"`{k}`").alias(f"{n}_{i}") for i, k in enumerate(keys)], F.struct(*[F.col(f"`{c}`") for c in names]).alias(n)).join(bad, same(n, "u"), "left_semi")
+    found = F.array_compact(F.array(*[F.when(~F.col(f"s.`{c}`").eqNullSafe(F.col(f"d.`{c}`")), F.lit(c)) for c in names]))
+    return side(source, "s").join(side(destination, "d"), same("s", "d")).select(F.explode(found).alias("column")).groupBy("column").agg(F.count("*").alias("n"))
 
 
 def id_union(source: DataFrame, destination: DataFrame, id_column: str = "id") -> DataFrame:

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from syncproof.operators.log import inject_metadata
+from syncproof.scratch import cut
 
 PLAN = "chunk_no long, lo long, hi long"
 
@@ -33,11 +34,19 @@ def chunk_plan(df: DataFrame, key: str, step: int = 50_000) -> DataFrame:
     return planned.select(F.inline(F.concat(first, F.transform("starts", chunk))))
 
 
+def chunk_of(plan: DataFrame, key: str) -> Column:
+    """The number of the chunk that a key falls in, by arithmetic; NULL for a NULL key. The plan gives three numbers: first key, width and last chunk."""
+    at = plan.agg(F.max(F.when(F.col("chunk_no") == 0, F.col("hi"))).alias("least"), F.max(F.when(F.col("chunk_no") == 1, F.col("hi") - F.col("lo"))).alias("step"), F.max("chunk_no").alias("last")).first()
+    k = F.col(f"`{key}`").cast("long")
+    if at.least is None:  # a plan without keys: one open chunk
+        return F.when(k.isNotNull(), F.lit(0).cast("long"))
+    inside = F.lit(1).cast("long") if at.step is None else F.floor((k - at.least) / F.lit(at.step)).cast("long") + 1
+    return F.when(k < at.least, F.lit(0).cast("long")).when(k.isNotNull(), F.least(inside, F.lit(at.last).cast("long")))
+
+
 def chunk_assign(df: DataFrame, plan: DataFrame, key: str) -> DataFrame:
-    """(chunk_no, n_rows): rows in each chunk, chunks without any too. The plan is small: one row a chunk."""
-    k = F.col(f"`{key}`")
-    inside = (F.col("lo").isNull() | (k >= F.col("lo"))) & (F.col("hi").isNull() | (k < F.col("hi")))
-    counts = df.select(k).join(F.broadcast(plan), inside).groupBy("chunk_no").agg(F.count("*").alias("n"))
+    """(chunk_no, n_rows): rows in each chunk, chunks without any too."""
+    counts = df.groupBy(chunk_of(plan, key).alias("chunk_no")).agg(F.count("*").alias("n"))
     return plan.join(counts, "chunk_no", "left").select("chunk_no", F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
@@ -45,11 +54,20 @@ def chunk_remaining(plan: DataFrame, done: DataFrame) -> DataFrame:
     return plan.join(done.select("chunk_no"), "chunk_no", "left_anti")
 
 
-def in_chunks(df: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
-    """The rows of df that belong to any of the chunks."""
+def chunk_runs(chunks: DataFrame, most: int) -> DataFrame:
+    """(first, last, lo, hi): chunks that follow each other as one key range, cut so that no range has over `most` chunks."""
+    numbered = chunks.withColumn("run", F.col("chunk_no") - F.row_number().over(Window.orderBy("chunk_no")))  # one row a chunk, 50 000 keys or more each
+    edge = lambda c, by, f: F.max_by(F.col(c), F.col(by)) if f == "last" else F.min_by(F.col(c), F.col(by))
+    pieces = numbered.groupBy("run", F.floor(F.col("chunk_no") / most).alias("piece"))
+    return pieces.agg(F.min("chunk_no").alias("first"), F.max("chunk_no").alias("last"), edge("lo", "chunk_no", "first").alias("lo"), edge("hi", "chunk_no", "last").alias("hi")).select("first", "last", "lo", "hi")
+
+
+def in_range(df: DataFrame, key: str, lo: int | None, hi: int | None) -> DataFrame:
+    """Rows of lo <= key < hi; None leaves that end open. A plain filter, which reaches the scan."""
     k = F.col(f"`{key}`")
-    inside = (F.col("lo").isNull() | (k >= F.col("lo"))) & (F.col("hi").isNull() | (k < F.col("hi")))
-    return df.join(F.broadcast(chunks), inside, "left_semi")
+    for side in ([] if lo is None else [k >= lo]) + ([] if hi is None else [k < hi]):
+        df = df.filter(side)
+    return df
 
 
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -59,10 +77,11 @@ def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def full_load(source: DataFrame, key: str, path: str, ledger_path: str, ingested_at: Column, step: int = 50_000, keys: Sequence[str] | None = None) -> DataFrame:
-    """Writes the chunks that the ledger does not hold yet to path (op `r`), then enters them; gives the chunks written.
+def full_load(source: DataFrame, key: str, path: str, ledger_path: str, ingested_at: Column, step: int = 50_000, keys: Sequence[str] | None = None, commits: int = 8) -> DataFrame:
+    """Writes the chunks that the ledger does not hold yet to path (op `r`), in about `commits` ranges that are each entered when
+    they are written; gives the chunks written.
 
-    A load that has finished reads no chunk when it is run again.
+    A load that dies repeats its last range only; one that has finished reads no chunk when it is run again.
     """
     spark = source.sparkSession
     plan_path = f"{ledger_path}/plan"
@@ -70,13 +89,20 @@ def full_load(source: DataFrame, key: str, path: str, ledger_path: str, ingested
     if plan.isEmpty():  # the plan is kept first: chunks stay the same when the source grows
         chunk_plan(source, key, step).coalesce(1).write.mode("append").parquet(plan_path)
         plan = read_ledger(spark, plan_path, PLAN)
-    left = chunk_remaining(plan, read_ledger(spark, f"{ledger_path}/done", "chunk_no long"))
-    chunks = spark.createDataFrame(left.collect(), PLAN)  # one row a chunk
-    if chunks.isEmpty():
-        return chunks
-    inject_metadata(in_chunks(source, chunks, key), list(keys or [key]), "r", ingested_at).write.mode("append").parquet(path)
-    chunks.select("chunk_no").coalesce(1).write.mode("append").parquet(f"{ledger_path}/done")
-    return chunks
+    left = cut(chunk_remaining(plan, read_ledger(spark, f"{ledger_path}/done", "chunk_no long")))
+    for r in chunk_runs(left, max(1, -(-left.count() // commits))).orderBy("first").collect():  # a row a range
+        inject_metadata(in_range(source, key, r.lo, r.hi), list(keys or [key]), "r", ingested_at).write.mode("append").parquet(path)
+        left.filter(F.col("chunk_no").between(r.first, r.last)).select("chunk_no").coalesce(1).write.mode("append").parquet(f"{ledger_path}/done")
+    return left
+
+
+def load_verified(source: DataFrame, key: str, path: str, ledger_path: str, ingested_at: Column, columns: Sequence[str], **settings) -> DataFrame:
+    """full_load(), then one row: rows and checksums of the source and of the re-read destination, and whether they match."""
+    from syncproof.operators.digest import digest_compare, table_digest
+
+    full_load(source, key, path, ledger_path, ingested_at, **settings)
+    written = source.sparkSession.read.parquet(path)
+    return digest_compare(table_digest(source, columns), table_digest(written, columns))
 
 
 def max_cursor(df: DataFrame, cursor: str) -> DataFrame:
@@ -131,3 +157,38 @@ def backfill_window(source: DataFrame, ts: str, start: object, end: object, keys
     """Rows of start <= ts < end."""
     t = F.col(f"`{ts}`")
     return inject_metadata(source.filter((t >= F.lit(start)) & (t < F.lit(end))), keys, "u", ingested_at)
+
+
+def cdc_group(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str], position: str, path: str, ledger_path: str, ingested_at: Column, kind: str = "op") -> int | None:
+    """One run of a change-data group: the anchor is entered first, the table is copied once, then changes are replayed; gives the position reached.
+
+    The anchor is the last position there is before the copy, so that no change between copy and replay is lost. Each run replays
+    what lies past the last position entered, up to the position found at its start, and enters that when it is written. Rows
+    carry `_sys_seq`, their position; a run that dies is repeated, and rows that then come twice are the same to log.current_state().
+    """
+    spark = changes.sparkSession
+    ledger = "seq long, step string, position long"
+    kept = read_ledger(spark, ledger_path, ledger).orderBy("seq").collect()  # a row or two a run
+
+    def enter(step: str, at: int | None) -> None:
+        spark.createDataFrame([(len(kept), step, at)], ledger).coalesce(1).write.mode("append").parquet(ledger_path)
+        kept.append((len(kept), step, at))
+
+    target = changes.agg(F.max(position)).first()[0]
+    if not kept:
+        enter("anchor", target)
+    anchor = kept[0][2]
+    if all(step != "snapshot" for _, step, _ in kept):
+        rows = inject_metadata(snapshot, keys, "r", ingested_at).withColumn("_sys_seq", F.lit(-1 if anchor is None else anchor).cast("long"))
+        rows.write.mode("append").parquet(path)
+        enter("snapshot", anchor)
+    reached = kept[-1][2]
+    if target is None or (reached is not None and target <= reached):
+        return reached
+    p = F.col(f"`{position}`")
+    fresh = changes.filter(p <= target) if reached is None else changes.filter((p > reached) & (p <= target))
+    replayed = inject_metadata(fresh.drop(kind, position), keys, F.lit("u"), ingested_at)
+    coded = inject_metadata(fresh, keys, F.col(kind), ingested_at).withColumn("_sys_seq", p.cast("long"))
+    coded.select(*replayed.columns, "_sys_seq").write.mode("append").parquet(path)
+    enter("replay", target)
+    return target

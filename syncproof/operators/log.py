@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from syncproof.functions.canonical import CHANGED, ID, INGESTED, OP, data_columns, record_id
+from syncproof.functions.joins import bounded
 
 OPS = {"insert": "i", "update": "u", "delete": "d", "read": "r"}
 
@@ -46,7 +47,7 @@ def cdc_images(changes: DataFrame, op: str = "op", before: str = "before", after
 def cdc_apply(changes: DataFrame, selected: DataFrame, kind: str = "kind", stream: str = "stream") -> DataFrame:
     """Change rows of the selected streams as log rows: op by kind, an unknown kind counts as an insert."""
     code = F.coalesce(*[F.when(F.col(kind) == k, v) for k, v in OPS.items()], F.lit("i"))
-    return changes.join(F.broadcast(selected.select(stream)), stream, "left_semi").withColumn(OP, code)
+    return changes.join(bounded(selected.select(stream)), stream, "left_semi").withColumn(OP, code)
 
 
 def cdc_unavailable_patch(log: DataFrame, columns: Sequence[str], sentinel: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

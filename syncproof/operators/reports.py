@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from syncproof.functions.joins import bounded
+
 COST_PER_GB, COST_PER_HOUR = 0.023, 0.10
 
 
@@ -26,7 +28,7 @@ def cost_total(costs: DataFrame) -> DataFrame:
 
 def monthly_rollup(pipelines: DataFrame, metrics: DataFrame) -> DataFrame:
     """(month, name, n_rows, seconds), with totals by month (NULL name) and over all (NULL month)."""
-    joined = metrics.join(F.broadcast(pipelines), "pipeline_id").withColumn("month", F.date_format(F.date_trunc("month", F.col("ts")), "yyyy-MM"))
+    joined = metrics.join(bounded(pipelines), "pipeline_id").withColumn("month", F.date_format(F.date_trunc("month", F.col("ts")), "yyyy-MM"))
     return joined.rollup("month", "name").agg(F.sum("rows_written").alias("n_rows"), F.sum("duration_seconds").alias("seconds"))
 
 

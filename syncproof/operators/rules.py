@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from syncproof.functions.joins import bounded
+
 #: Error codes with their causes and fixes, as users read them (fixed values).
 KNOWN_CAUSES = [
     ("connection_refused", "The pipeline could not reach the source database.", "Verify the source is running and reachable, then check host/port/credentials in the pipeline config."),
@@ -26,7 +28,7 @@ def in_scope(rules: DataFrame) -> DataFrame:
 
 def rules_for_pipeline(rules: DataFrame, pipelines: DataFrame) -> DataFrame:
     """(pipeline_id, rule columns): each pipeline's own enabled rules and the global ones."""
-    return pipelines.join(F.broadcast(in_scope(rules)), F.col("rule_pipeline").isNull() | (F.col("rule_pipeline") == F.col("pipeline_id")))
+    return pipelines.join(bounded(in_scope(rules)), F.col("rule_pipeline").isNull() | (F.col("rule_pipeline") == F.col("pipeline_id")))
 
 
 def json_kind(value: Column) -> Column:
@@ -39,18 +41,17 @@ def rule_match(events: DataFrame, rules: DataFrame) -> DataFrame:
 
     rules: (id, pipeline_id, stream, name, enabled, event, field, op, value, ...); a NULL or empty event, stream or field does not
     restrict. Ops eq, ne and contains compare texts; gt, gte, lt and lte only compare JSON numbers with numbers; exists,
-    is_true and is_false look at the field itself. Rules are few and bounded by their table's own size check: they are
-    broadcast and joined by kind, so an event meets the rules of its kind only.
+    is_true and is_false look at the field itself. A payload is parsed once, then each event meets the rules of its kind and those of
+    any kind in one equi-join; rules are broadcast up to a counted number of them.
     """
-    scoped = in_scope(rules)
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    of_kind = events.join(F.broadcast(scoped.filter(~blank("rule_event"))), F.col("event") == F.col("rule_event"))
-    of_any = events.join(F.broadcast(scoped.filter(blank("rule_event"))))
-    met = of_kind.unionByName(of_any)
+    scoped = in_scope(rules).withColumn("_kind", F.coalesce("rule_event", F.lit("")))
     fields = F.coalesce(F.from_json("payload", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    raw = F.to_json(F.try_element_at("_fields", F.col("rule_field")))
+    parsed = events.withColumn("_fields", fields).withColumn("_kind", F.explode(F.array_distinct(F.array(F.coalesce("event", F.lit("")), F.lit("")))))
+    met = parsed.join(bounded(scoped), "_kind").drop("_kind")
     met = met.filter((F.col("rule_pipeline").isNull() | (F.col("rule_pipeline") == F.col("pipeline_id"))) & (blank("rule_stream") | (F.col("rule_stream") == F.col("stream"))))
-    met = met.withColumn("_fields", fields).withColumn("_there", F.coalesce(F.map_contains_key("_fields", F.col("rule_field")), F.lit(False))).withColumn("_raw", F.coalesce(raw, F.lit("null")))
+    raw = F.to_json(F.try_element_at("_fields", F.col("rule_field")))
+    met = met.withColumn("_there", F.coalesce(F.map_contains_key("_fields", F.col("rule_field")), F.lit(False))).withColumn("_raw", F.coalesce(raw, F.lit("null")))
     text = F.when(json_kind(F.col("_raw")) == "string", F.get_json_object(F.concat(F.lit('{"x":'), F.col("_raw"), F.lit("}")), "$.x")).when(F.col("_raw") == "null", "<nil>").otherwise(F.col("_raw"))
     number = F.when(json_kind(F.col("_raw")) == "number", F.col("_raw").try_cast("double"))
     want_text = F.when(json_kind(F.col("rule_value")) == "string", F.get_json_object(F.concat(F.lit('{"x":'), F.col("rule_value"), F.lit("}")), "$.x")).otherwise(F.col("rule_value"))
@@ -146,10 +147,10 @@ def escalation_due(incidents: DataFrame, policies: DataFrame, now: Column, oncal
     policies: (policy_id, steps); oncall: (schedule_id, channel_ids) of who is on call now. An exhausted policy gives no targets and
     no next time.
     """
-    due = incidents.filter((F.col("status") == "open") & F.col("policy_id").isNotNull() & (F.col("next_escalation_at") <= now)).join(F.broadcast(policies), "policy_id")
+    due = incidents.filter((F.col("status") == "open") & F.col("policy_id").isNotNull() & (F.col("next_escalation_at") <= now)).join(bounded(policies), "policy_id")
     due = due.withColumn("this", F.get("steps", F.col("step"))).withColumn("after", F.get("steps", F.col("step") + 1))
     if oncall is not None:
-        due = due.join(F.broadcast(oncall.select(F.col("schedule_id").alias("_schedule"), F.col("channel_ids").alias("_oncall"))), F.col("this.oncall_schedule_id") == F.col("_schedule"), "left")
+        due = due.join(bounded(oncall.select(F.col("schedule_id").alias("_schedule"), F.col("channel_ids").alias("_oncall"))), F.col("this.oncall_schedule_id") == F.col("_schedule"), "left")
     else:
         due = due.withColumn("_oncall", F.lit(None).cast("array<long>"))
     none = F.array().cast("array<long>")
@@ -164,8 +165,8 @@ def oncall_current(at: DataFrame, schedules: DataFrame, overrides: DataFrame, ts
 
     schedules: (schedule_id, responders array); overrides: (schedule_id, position, start, end, responder).
     """
-    o = F.broadcast(overrides.groupBy("schedule_id").agg(F.array_sort(F.collect_list(F.struct("position", "start", "end", "responder"))).alias("_overrides")))
-    met = at.join(F.broadcast(schedules), "schedule_id", "left").join(o, "schedule_id", "left")
+    o = bounded(overrides.groupBy("schedule_id").agg(F.array_sort(F.collect_list(F.struct("position", "start", "end", "responder"))).alias("_overrides")))
+    met = at.join(bounded(schedules), "schedule_id", "left").join(o, "schedule_id", "left")
     active = F.get(F.filter("_overrides", lambda x: (F.col(ts) >= x["start"]) & (F.col(ts) < x["end"])), F.lit(0))["responder"]
     turn = F.get("responders", F.pmod(F.weekofyear(ts), F.size("responders")))
     return met.select(*at.columns, F.coalesce(active, F.when(F.size("responders") > 0, turn)).alias("responder"))
@@ -174,7 +175,7 @@ def oncall_current(at: DataFrame, schedules: DataFrame, overrides: DataFrame, ts
 def incident_enrich(failures: DataFrame) -> DataFrame:
     """failures (.., code, message, retryable) with root_cause, suggested_fix and severity."""
     known = failures.sparkSession.createDataFrame(KNOWN_CAUSES, "code string, _cause string, _fix string")
-    met = failures.join(F.broadcast(known), "code", "left")
+    met = failures.join(bounded(known), "code", "left")
     said = F.when(F.coalesce("message", F.lit("")) != "", F.concat(F.lit("The sync failed with: "), F.col("message"))).otherwise(NO_CAUSE)
     retry = F.coalesce("retryable", F.lit(False))
     return met.select(*failures.columns, F.coalesce("_cause", said).alias("root_cause"), F.coalesce("_fix", F.when(retry, RETRY_FIX).otherwise(OTHER_FIX)).alias("suggested_fix"), F.when(retry, "warning").otherwise("critical").alias("severity"))

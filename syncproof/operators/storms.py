@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from syncproof.functions.joins import bounded
+from syncproof.scratch import cut
+
+#: The patterns that a message's variable parts are told by, the gap and the likeness of a storm's messages.
 GAP_SECONDS, ALIKE = 300, 0.6
 
 
@@ -63,20 +67,28 @@ class Clusters:
 def storm_fuzzy(signals: DataFrame, connector: str = "connector", ts: str = "ts", seq: str = "seq") -> DataFrame:
     """(connector, seq, cluster, is_new): signals without a code also join a live cluster of alike words (its first message's).
 
-    Order matters, so a connector's signals go through one fold; they come sorted by the shuffle and stream through it,
-    with only the live clusters in memory.
+    Order matters, but no cluster outlives a silence longer than the gap: a connector's signals are cut at its silences, each
+    stretch goes through a fold of its own with only the live clusters in memory, and clusters are numbered on from the stretches before.
     """
     slim = signals.select(F.col(connector).alias("connector"), F.col(seq).alias("seq"), (F.unix_micros(F.col(ts)) / 1e6).alias("at"), F.coalesce("code", F.lit("")).alias("code"), normalize(F.coalesce("message", F.lit(""))).alias("normal"), signature(F.col(connector), F.col("code"), F.col("message")).alias("sig"))
+    w = Window.partitionBy("connector").orderBy("at", "seq")
+    silent = F.coalesce(F.col("at") - F.lag("at").over(w) > GAP_SECONDS, F.lit(False)).cast("long")
+    cut_up = slim.withColumn("_silent", silent).withColumn("stretch", F.sum("_silent").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_silent")
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, clusters = None, None
         for part in parts:
             out = []
             for r in part.itertuples(index=False):
-                if clusters is None or r.connector != now:
-                    now, clusters = r.connector, Clusters()
-                out.append((r.connector, r.seq, *clusters.add(r.at, r.sig, r.code, r.normal)))
-            yield pd.DataFrame(out, columns=["connector", "seq", "cluster", "is_new"])
-
-    dealt = slim.repartition("connector").sortWithinPartitions("connector", "at", "seq")
-    return dealt.mapInPandas(fold, "connector string, seq long, cluster long, is_new boolean")
+                if clusters is None or (r.connector, r.stretch) != now:
+                    now, clusters = (r.connector, r.stretch), Clusters()
+                out.append((r.connector, r.stretch, r.seq, *clusters.add(r.at, r.sig, r.code, r.normal)))
+            yield pd.DataFrame(out, columns=["connector", "stretch", "seq", "cluster", "is_new"])
+
+    dealt = cut_up.repartition("connector", "stretch").sortWithinPartitions("connector", "stretch", "at", "seq")
+    found = cut(dealt.mapInPandas(fold, "connector string, stretch long, seq long, cluster long, is_new boolean"))
+    made = found.groupBy("connector", "stretch").agg(F.max("cluster").alias("made"))
+    earlier = F.coalesce(F.sum("made").over(Window.partitionBy("connector").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = made.select(F.col("connector").alias("_connector"), F.col("stretch").alias("_stretch"), earlier.alias("_earlier"))
+    joined = found.join(bounded(starts), F.col("connector").eqNullSafe(F.col("_connector")) & (F.col("stretch") == F.col("_stretch")))
+    return joined.select("connector", "seq", (F.col("cluster") + F.col("_earlier")).alias("cluster"), "is_new")

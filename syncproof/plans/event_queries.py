@@ -25,13 +25,18 @@ def text(c):
 @R.query("src_events_jsonl", f"select {_TS} ts, event, sync_id, cast(pipeline_id as varchar) pipeline_id, stream, payload from {{event_log}} where seq % 100 <> 0")
 def _(t):
     log = t("event_log")
-    line = F.to_json(F.struct("v", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), "event", "sync_id", "pipeline_id", "stream"))
-    whole = F.concat(F.substr(line, F.lit(1), F.length(line) - 1), F.lit(',"payload":'), "payload", F.lit("}"))
     path = new_path(log.sparkSession)
-    log.select(F.when(F.col("seq") % 100 == 0, F.substring(whole, 1, 40)).otherwise(whole).alias("value")).write.text(path)
+    log_lines(log).write.text(path)
     return files.events_jsonl(log.sparkSession, path)[0].select(text("ts").alias("ts"), "event", "sync_id", "pipeline_id", "stream", "payload")
 
 
+def log_lines(log):
+    """Events as JSON lines; one in a hundred is torn."""
+    line = F.to_json(F.struct("v", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), "event", "sync_id", "pipeline_id", "stream"))
+    whole = F.concat(F.substr(line, F.lit(1), F.length(line) - 1), F.lit(',"payload":'), "payload", F.lit("}"))
+    return log.select(F.when(F.col("seq") % 100 == 0, F.substring(whole, 1, 40)).otherwise(whole).alias("value"))
+
+
 @R.query("derive_metrics", "select pipeline_id, sync_id, cast(k * 10 as bigint) rows_read, cast(k * 9 as bigint) rows_written, k * 1000 bytes_written, floor(value) + 0.5 duration_seconds from {event_log} where event = 'sync_finished'")
 def _(t):
     return events.derive_metrics(t("event_log")).drop("ts")
@@ -128,14 +133,14 @@ def _(t):
     return rules.alert_fanout(incidents(t), muted).select("fingerprint", "island", "channel_id")
 
 
-@R.query("incident_transitions", """with recursive a as (select user_id incident_id, case k % 4 when 0 then 'resolve' when 1 then 'ack' when 2 then 'snooze' else 'ack' end act, row_number() over (partition by user_id order by event_id) i from {ev} where event_id % 23 = 0),
+@R.query("incident_transitions", """with recursive a as (select user_id incident_id, case k % 4 when 0 then 'resolve' when 1 then 'ack' when 2 then 'snooze' else 'ack' end act, row_number() over (partition by user_id order by event_id) i from {ev}),
 f as (select incident_id, cast(0 as bigint) i, 'open' status, cast(0 as bigint) applied, cast(0 as bigint) rejected from (select distinct incident_id from a)
 union all select a.incident_id, a.i, case when act = 'ack' and status in ('open', 'snoozed') then 'acked' when act = 'snooze' and status in ('open', 'acked') then 'snoozed' when act = 'resolve' and status <> 'resolved' then 'resolved' else status end,
 applied + case when (act = 'ack' and status in ('open', 'snoozed')) or (act = 'snooze' and status in ('open', 'acked')) or (act = 'resolve' and status <> 'resolved') then 1 else 0 end,
 rejected + case when (act = 'ack' and status in ('open', 'snoozed')) or (act = 'snooze' and status in ('open', 'acked')) or (act = 'resolve' and status <> 'resolved') then 0 else 1 end from f join a on a.incident_id = f.incident_id and a.i = f.i + 1)
 select incident_id, arg_max(status, i) status, max(applied) applied, max(rejected) rejected from f group by 1""")
 def _(t):
-    actions = t("ev").filter("event_id % 23 = 0").select(F.col("user_id").alias("incident_id"), F.col("event_id").alias("seq"), F.expr("case k % 4 when 0 then 'resolve' when 1 then 'ack' when 2 then 'snooze' else 'ack' end").alias("action"))
+    actions = t("ev").select(F.col("user_id").alias("incident_id"), F.col("event_id").alias("seq"), F.expr("case k % 4 when 0 then 'resolve' when 1 then 'ack' when 2 then 'snooze' else 'ack' end").alias("action"))
     return rules.incident_transitions(actions)
 
 

@@ -73,7 +73,7 @@ def _(t):
     return files.object_csv(rows.sparkSession, path)
 
 
-@R.query("src_object_incremental")
+@R.query("src_object_incremental", "select event_id, event_type from {ev}")
 def _(t):
     rows = t("ev").select("event_id", "event_type")
     path = new_path(rows.sparkSession)

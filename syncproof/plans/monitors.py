@@ -57,7 +57,7 @@ def _(t):
 _BADGE = """badge as (select d.pipeline_id, bool_and("match") diff_verified, cast(coalesce(sum(case when "match" then dest_rows end), 0) as bigint) verified_rows from {diff_runs} d
 join (select pipeline_id, arg_max(sync_id, seq) sync_id from {diff_runs} group by 1) l on l.pipeline_id = d.pipeline_id and l.sync_id = d.sync_id group by 1)"""
 _HEALTH = f"""with {_BADGE}, f as (select pipeline_id, bool_or(event = 'sync_failed') recent_failure from {{event_log}} where ts > {_NOW} - interval 1 day and ts <= {_NOW} group by 1),
-i as (select pipeline_id, count(*) n from {{incidents}} where status in ('open', 'acked', 'snoozed') and incident_id % 40 = 0 group by 1),
+i as (select pipeline_id, count(*) n from {{incidents}} where status in ('open', 'acked', 'snoozed') group by 1),
 h as (select pipeline_id, coalesce(recent_failure, false) recent_failure, coalesce(diff_verified, true) diff_verified, coalesce(verified_rows, 0) verified_rows, coalesce(n, 0) open_incidents from {{pipelines}} left join f using (pipeline_id) left join badge using (pipeline_id) left join i using (pipeline_id)),
 s as (select *, cast(greatest(100 - case when recent_failure then 40 else 0 end - case when diff_verified then 0 else 25 end - least(open_incidents * 10, 30), 0) as bigint) health_score from h)
 """
@@ -69,7 +69,7 @@ def _(t):
 
 
 def health(t):
-    return reports.health_score(t("pipelines"), t("event_log"), t("diff_runs"), t("incidents").filter("incident_id % 40 = 0"), now())
+    return reports.health_score(t("pipelines"), t("event_log"), t("diff_runs"), t("incidents"), now())
 
 
 @R.query("health_score", _HEALTH + "select * from s")
@@ -230,6 +230,6 @@ def _(t):
     return reports.with_pipeline_name(t("rules"), names).select(F.col("id").cast("int").alias("id"), "name", "pipeline_name")
 
 
-@R.query("monitors_list", "select i.incident_id, coalesce(p.name, '') pipeline_name from {incidents} i left join (select * from {pipelines} where pipeline_id < 15) p on p.pipeline_id = i.pipeline_id")
+@R.query("monitors_list", "select i.incident_id, coalesce(p.name, '') pipeline_name from {incidents} i left join {pipelines} p on p.pipeline_id = i.pipeline_id")
 def _(t):
-    return reports.with_pipeline_name(t("incidents"), t("pipelines").filter("pipeline_id < 15")).select("incident_id", "pipeline_name")
+    return reports.with_pipeline_name(t("incidents"), t("pipelines")).select("incident_id", "pipeline_name")
