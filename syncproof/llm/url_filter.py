@@ -6,10 +6,10 @@ Of the fitting rules the longest (host and path together) wins; of equal ones `b
 Every distinct url is expanded into (host suffix, directory prefix) expressions; a rule's key is its host with its path up
 to the last slash. The equi-join is on the first four bytes of the SHA-256 of such an expression; the full digest and
 the rest of the rule's path are then confirmed. Expressions are made distinct before the join, so a common host costs
-one row; rules are broadcast only up to `max_broadcast_rules` of them, else both sides are shuffled.
+one row; rules and judged urls are broadcast only up to a counted bound, else both sides are shuffled. Null urls are not joined.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule and gets the default verdict;
-repeated urls and pages each keep their row; a rule of null host or path is ignored; other columns are kept as they are.
+repeated urls and pages each keep their row; urls of any length are judged whole; a rule of null host or path is ignored; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syncproof.llm.common import ascii_lower, table
+from syncproof.llm.common import ascii_lower, cut, table
+from syncproof.llm.linking import bounded
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -45,7 +46,7 @@ def digest(host: Column, directory: Column) -> Column:
     return F.unhex(F.sha2(F.concat(host, F.lit("\n"), directory), 256))
 
 
-def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", max_broadcast_rules: int = 200_000) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", max_broadcast_rules: int = 200_000, max_broadcast_urls: int = 200_000) -> DataFrame:
     """(page struct, host, path, rule, verdict). rules: (host, path, verdict)."""
     keyed = rules.filter("host is not null and path is not null").select(
         ascii_lower(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict")
@@ -64,7 +65,10 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     best = hits.groupBy("url").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), precedence).alias("won"))
     pages = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"))
     at = F.col(f"page.`{url}`")
-    return pages.join(best, at == F.col("url"), "left").select("page", host_of(at).alias("host"), path_of(at).alias("path"), F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
+    best = cut(best)  # urls that a rule fits; beyond the bound a plain shuffle, of which a frequent url's share can be split
+    met = pages.filter(at.isNotNull()).join(bounded(best, max_broadcast_urls), at == F.col("url"), "left")
+    none = pages.filter(at.isNull()).select("page", *[F.lit(None).cast(best.schema[c].dataType).alias(c) for c in ("url", "won")])
+    return met.select("page", "url", "won").unionByName(none).select("page", host_of(at).alias("host"), path_of(at).alias("path"), F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
