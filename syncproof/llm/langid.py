@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from syncproof.llm.common import map_documents, table
+from syncproof.llm.common import cut, map_documents, table
+from syncproof.llm.linking import bounded
 
 WINDOW = 96
 UNKNOWN = "und"
@@ -192,19 +193,23 @@ def labeller(net: Network | None, width: int = WINDOW, block: int = 2048):
     return run
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, most_languages: int = 200, most_chars: int = 20_000, **settings) -> Network | None:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, most_documents: int = 80_000, most_chars: int = 20_000, total_chars: int = 200_000_000, **settings) -> Network | None:
     """Trains on documents that are not held out and have a language, a text and a letter in it.
 
-    The sample is bounded by per_language x most_languages documents, of texts over most_chars evenly spread pieces.
+    Every language is learned. The sample is bounded: per_language documents of each, fewer of each where that would be over most_documents, and of long
+    texts evenly spread pieces, up to most_chars each and total_chars in all.
     """
     rows = docs.filter(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.lit(7)).alias("draw"), F.col(text).alias("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
-    if not counts:
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = counts.count()
+    if not languages:
         return None
-    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * per_language / n))])
+    per_language = max(1, min(per_language, most_documents // languages))
+    most_chars = min(most_chars, max(200, total_chars // (per_language * languages)))
+    shares = bounded(counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), 1.2 * per_language / F.col("n")).alias("share")), most_documents)
     long = F.length("text") > most_chars
     spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.substr(F.col("text"), (i * (F.length("text") / 20)).cast("int") + 1, F.lit(most_chars // 20))), "")
-    drawn = rows.filter((F.pmod("draw", F.lit(1 << 30)) / (1 << 30)) < shares[F.col("lang")]).select("lang", "draw", F.when(long, spread).otherwise(F.col("text")).alias("text"))
+    drawn = rows.join(shares, F.col("lang") == F.col("_lang")).filter((F.pmod("draw", F.lit(1 << 30)) / (1 << 30)) < F.col("share")).select("lang", "draw", F.when(long, spread).otherwise(F.col("text")).alias("text"))
     taken: dict[str, int] = {}
     texts, labels = [], []
     for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.draw, r.text)):
