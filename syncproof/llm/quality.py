@@ -152,8 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, most_pool
     ids = docs.filter(F.col(doc_id).isNotNull()).select(doc_id)
     n_labelled, n_all = judged.count(), ids.count()
     draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
-    rows = docs.select(doc_id, text, *[c for c in META if c in docs.columns]).join(F.broadcast(judged.filter(draw < most_labelled / max(n_labelled, 1)).limit(2 * most_labelled)), doc_id)
-    others = docs.select(doc_id, text, *[c for c in META if c in docs.columns]).filter(draw < (most_pool + 1.2 * most_labelled) / max(n_all, 1)).join(judged, doc_id, "left_anti").limit(2 * most_pool)
+    slim = docs.select(doc_id, text, *[c for c in META if c in docs.columns])
+    # drawn by a hash of the id, each id once, so that no repeated row and no order of partitions has a say
+    rows = slim.join(F.broadcast(judged.filter(draw < most_labelled / max(n_labelled, 1)).limit(2 * most_labelled)), doc_id).dropDuplicates([doc_id])
+    others = slim.filter(draw < most_pool / max(n_all - n_labelled, 1)).join(judged, doc_id, "left_anti").dropDuplicates([doc_id])
     drawn = [_features(d, text) for d in (rows, others)]
     (x, y, key), (pool, _, _) = (_collected(d, doc_id) for d in drawn)
     calibrating = np.array([xxhash.xxh32_intdigest(str(k)) % 4 == 0 for k in key], bool)
