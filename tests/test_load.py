@@ -147,3 +147,31 @@ def test_sinks_read_back(spark, folder):
     updates = spark.createDataFrame([(2, 9.0, "c", 2, "u")], "id long, x double, t string, seq int, _sys_op string")
     sinks.write_merged(rows.withColumns({"seq": F.lit(1), "_sys_op": F.lit("r")}), updates, f"{folder}/m", ["id"], ["seq"])
     assert sorted((r.id, r.t) for r in spark.read.parquet(f"{folder}/m").collect()) == [(1, "a"), (2, "c")]
+
+
+def test_a_load_that_dies_goes_on_after_its_last_range(spark, folder, monkeypatch):
+    source, calls, real = table(spark, range(1, 101)), [], load.inject_metadata
+
+    def dying(*args):
+        calls.append(args)
+        if len(calls) == 3:
+            raise RuntimeError("dead")
+        return real(*args)
+
+    monkeypatch.setattr(load, "inject_metadata", dying)
+    with pytest.raises(RuntimeError, match="dead"):
+        load.full_load(source, "id", f"{folder}/out", f"{folder}/ledger", now(), step=10, commits=5)
+    assert 0 < spark.read.parquet(f"{folder}/out").count() < 100
+    load.full_load(source, "id", f"{folder}/out", f"{folder}/ledger", now(), step=10, commits=5)
+    assert sorted(r.id for r in spark.read.parquet(f"{folder}/out").collect()) == list(range(1, 101))
+    assert load.full_load(source, "id", f"{folder}/out", f"{folder}/ledger", now()).count() == 0
+
+
+def test_a_change_group_without_changes_copies_once(spark, folder):
+    changes = spark.createDataFrame([(2, "new", "u", 7)], "id long, val string, op string, at long")
+    args = (["id"], "at", f"{folder}/out", f"{folder}/ledger", now())
+    assert load.cdc_group(table(spark, [1, 2]), changes.limit(0), *args) is None
+    assert load.cdc_group(table(spark, [1, 2]), changes, *args) == 7
+    assert load.cdc_group(table(spark, [1, 2]), changes, *args) == 7
+    rows = spark.read.parquet(f"{folder}/out")
+    assert rows.count() == 3 and sorted((r.id, r.val) for r in log.current_state(rows, ["id"], ["_sys_seq"]).collect()) == [(1, "v1"), (2, "new")]
