@@ -8,10 +8,11 @@ counting as parts too, and an endpoint (url or host with port) is reported where
 The interval join meets parts by (document, scope bucket): per bucket and side the first and last of the starts and of the
 ends that lie in it are kept, and each weak part meets the buckets from one before its start to one after its end. That is
 enough to tell exactly whether a part ends or starts within the scope. An identifier and a secret must not overlap to
-confirm each other; an endpoint may hold its parts.
+confirm each other; an endpoint may hold or cross its parts, but is not found within one.
 
 Defined cases: null text counts as empty; a document without matches has empty strings and zero counts; rows repeated with
-id and text are judged alike; extra columns do not enter.
+id and text are judged alike; spans of unlike kinds at one place all stay; a text's work grows with its length times the logarithm
+of its matches; extra columns do not enter.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syncproof.llm.common import cut, table
-from syncproof.llm.spans import as_spans, listed, overlaps, places
+from syncproof.llm.spans import as_spans, clear_of, listed, places
 
 BASE = ["assign", "access", "hex"]
 WEAK = ["identifier", "secret", "endpoint"]
@@ -48,8 +49,8 @@ def parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         "access": F.filter("access", lambda x: F.length(x["hit"]) >= 20),
     })
     base = F.concat(*[as_spans(F.col(k), i) for i, k in enumerate(BASE)])
-    weak = F.concat(*[as_spans(F.col(k), len(BASE) + i) for i, k in enumerate(WEAK)])
-    return valid.withColumn("base", base).select("doc_id", F.xxhash64("text").alias("h"), *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], "base", F.filter(weak, lambda x: ~overlaps(x, F.col("base"))).alias("weak"))
+    weak = F.concat(*[as_spans(clear_of(F.col(k), *[F.col(b) for b in BASE]), len(BASE) + i) for i, k in enumerate(WEAK)])
+    return valid.select("doc_id", F.xxhash64("text").alias("h"), *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], base.alias("base"), weak.alias("weak"))
 
 
 def linked(found: DataFrame, scope: int = 200) -> DataFrame:

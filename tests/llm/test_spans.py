@@ -85,3 +85,104 @@ def test_long_parts_meet_at_their_ends(spark, documents):
     found = secrets.find(documents(texts)).withColumn("s", secrets.listed([*secrets.BASE, *secrets.WEAK], F.col("spans")))
     got = {r.doc_id: [x.split(":")[0] for x in r.s.split(",") if x] for r in found.collect()}
     assert got == {0: ["secret", "identifier"], 1: ["identifier", "secret"], 2: ["assign", "identifier"], 3: ["endpoint"], 4: [], 5: ["identifier", "secret"], 6: ["identifier", "secret"], 7: [], 8: ["endpoint", "identifier", "secret"]}
+
+
+def accepted(seeds, others, rounds, support, confident):
+    """Pattern scores by loops. seeds: {(left, kind, value)}, others: {(left, value)}; gives {left: kind}."""
+    n = {}
+    for x in [*seeds, *others]:
+        n[x[0]] = n.get(x[0], 1) + 1
+    kinds = {k for _, k, _ in seeds}
+    scores = {}
+    for r in range(rounds):
+        held = {(w, k): [1.0 for a, b, _ in seeds if (a, b) == (w, k)] for w in n for k in kinds}
+        for (w, k), got in held.items():
+            for value in [v for a, v in others if a == w] if r else []:
+                near = [scores[a, k] for a, v in others if v == value and (a, k) in scores]
+                got += [sum(near) / len(near)] if near else []
+        scores = {p: sum(got) / n[p[0]] for p, got in held.items() if sum(x >= confident for x in got) >= support}
+    best = {}
+    for (w, k), score in scores.items():
+        if score >= confident and (w not in best or (score, -k) > best[w]):
+            best[w] = (score, -k)
+    return {w: -k for w, (_, k) in best.items()}
+
+
+def test_pattern_scores_against_loops(spark):
+    import random
+
+    rng = random.Random(4)
+    seen = 0
+    for trial in range(6):
+        lefts = [f"w{i}" for i in range(6)]
+        seeds = {(rng.choice(lefts[:3]), rng.choice([0, 3]), f"s{rng.randrange(40)}") for _ in range(25)}
+        others = {(rng.choice(lefts), f"v{rng.randrange(12)}") for _ in range(rng.choice([8, 25]))}
+        rows = [(sorted(seeds), sorted(others))]
+        found = spark.createDataFrame(rows, "seeds array<struct<left:string,kind:int,value:string>>, candidates array<struct<left:string,value:string>>")
+        found = found.withColumn("seeds", F.transform("seeds", lambda x: F.struct(x["kind"].alias("kind"), x["left"].alias("left"), x["value"].alias("value"))))
+        got = {r.left: r.kind for r in pii.patterns(found, rounds=3, support=3, confident=0.4).collect()}
+        assert got == accepted(seeds, others, 3, 3, 0.4), trial
+        seen += len(got)
+    assert seen
+
+
+def test_shapes_of_candidates_and_induced_patterns(spark, documents):
+    seeds = [f"phone +1 (988) 555-24{i:02}" for i in range(20)]
+    # "ring" stands before no seed, only before numbers that "phone" found
+    texts = [*seeds, *[f"phone 555 123 45{i:02} or ring 555 123 45{i:02}, maybe" for i in range(8)], "ring (555) 987-6543.", "phone 4111 1111 1111 1112; phone no 7", "phone 1234", "count 555 123 4567"]
+    got = {r.doc_id: [(s.start, s.end) for s in sorted(r.spans)] for r in pii.find(documents(texts)).collect()}
+    assert [got[20], got[28], got[29], got[30], got[31]] == [[(6, 18), (27, 39)], [(6, 19)], [(6, 25)], [(6, 10)], []]
+    mails = [f"mail u{i}@a.example" for i in range(9)] + ["mail john-at-host", "mail jo@host", "mail jo at host dot example", "mail look"]
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in pii.find(documents(mails)).collect()}
+    assert [got[9], got[10], got[11], got[12]] == [[(5, 0, 17)], [(5, 0, 12)], [(5, 0, 27)], []]
+
+
+@pytest.mark.parametrize("many", [1, 128, 129, 700])
+def test_overlaps_and_places_of_many(spark, many):
+    import random
+
+    from syncproof.llm.spans import clear_of, places
+
+    rng = random.Random(many)
+    text = "".join(rng.choice(["é1", "b2 ", "c ", "33", " "]) for _ in range(many * 3)) + "1"
+    df = spark.createDataFrame([(text,)], "text string").withColumns({"a": places(F.col("text"), "[0-9]+"), "b": places(F.col("text"), r"[a-z]"), "w": places(F.col("text"), r"[^ ]+")})
+    r = df.select("a", "b", "w", clear_of(F.col("w"), F.col("a"), F.col("b")).alias("free"), clear_of(F.col("w"), F.col("b")).alias("no_b")).first()
+    for name, regex in (("a", "[0-9]+"), ("b", "[a-z]"), ("w", "[^ ]+")):
+        assert [(x.start, x.end, x.hit) for x in r[name]] == [(m.start(), m.end(), m[0]) for m in re.finditer(regex, text)]
+    meets = lambda x, spans: any(s.start < x.end and x.start < s.end for s in spans)
+    assert r.free == [x for x in r.w if not meets(x, r.a) and not meets(x, r.b)]
+    assert r.no_b == [x for x in r.w if not meets(x, r.b)]
+
+
+def linked_by_loops(parts, scope):
+    """parts: (start, kind, end), base kinds under 3; the weak ones whose complements stand within the scope."""
+    def near(x, side):
+        for s, k, e in parts:
+            if secrets.SIDE[k] == side and (s, k, e) != x:
+                apart = s >= x[2] or e <= x[0]
+                gap = max(s - x[2], x[0] - e)
+                within = s < x[0] and e > x[2]
+                if apart and gap <= scope or not apart and secrets.SIDE[x[1]] == 2 and not within:
+                    return True
+        return False
+
+    needs = {0: [1], 1: [0], 2: [0, 1]}
+    return {x for x in parts if x[1] >= 3 and all(near(x, s) for s in needs[secrets.SIDE[x[1]]])}
+
+
+def test_links_against_loops(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for d in range(60):
+        parts = set()
+        for _ in range(rng.randrange(1, 9)):
+            start = rng.randrange(0, 400)
+            parts.add((start, rng.randrange(6), start + rng.choice([3, 10, 45, 130])))
+        rows.append((d, d, [p for p in parts if p[1] < 3], [p for p in parts if p[1] >= 3]))
+    spans = "array<struct<start:int,kind:int,end:int>>"
+    found = spark.createDataFrame(rows, f"doc_id long, h long, base {spans}, weak {spans}")
+    got = {r.doc_id: {tuple(x) for x in r.added} for r in secrets.linked(found, scope=40).collect()}
+    for d, _, base_parts, weak in rows:
+        assert got.get(d, set()) == linked_by_loops([*base_parts, *weak], 40), rows[d]
