@@ -69,8 +69,10 @@ def linked(found: DataFrame, scope: int = 200) -> DataFrame:
         """A part of the side ends at most the scope before, or starts at most the scope after; endpoints may also hold it."""
         before = (at == F.col("lo")) & (F.col(f"min_end_{s}") <= F.col("start")) | (at == F.col("lo") - 1) & (F.col(f"max_end_{s}") >= F.col("start") - scope)
         after = (at == F.col("hi")) & (F.col(f"max_start_{s}") >= F.col("end")) | (at == F.col("hi") + 1) & (F.col(f"min_start_{s}") <= F.col("end") + scope)
-        within = (F.col("side") == 2) & at.between(F.col("lo"), F.col("hi")) & F.coalesce(f"min_start_{s}", f"min_end_{s}").isNotNull()
-        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)) | within
+        starts_in = (at == F.col("lo")) & (F.col(f"max_start_{s}") >= F.col("start")) | (at > F.col("lo")) & (at <= F.col("hi")) & F.col(f"max_start_{s}").isNotNull()
+        ends_in = (at == F.col("hi")) & (F.col(f"min_end_{s}") <= F.col("end")) | (at >= F.col("lo")) & (at < F.col("hi")) & F.col(f"min_end_{s}").isNotNull()
+        held = (F.col("side") == 2) & (F.coalesce(starts_in, F.lit(False)) | F.coalesce(ends_in, F.lit(False)))
+        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)) | held
 
     seen = met.groupBy("doc_id", "h", "start", "kind", "end", "side").agg(*[F.bool_or(near(s)).alias(f"near_{s}") for s in (0, 1)])
     complete = seen.filter(F.when(F.col("side") == 0, F.col("near_1")).when(F.col("side") == 1, F.col("near_0")).otherwise(F.col("near_0") & F.col("near_1")))
