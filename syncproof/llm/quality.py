@@ -1,9 +1,10 @@
 """Quality classifier by co-training: a text-content view and a page-metadata view teach each other.
 
 Content: hashed word counts and character shares of the whole text. Metadata: language, source, length and line layout.
-Each view has a logistic regression. In every round both are trained on their labelled rows, judge a pool of unlabelled
-documents, and hand those they are sure of, with the label they give, to the other view. After the last round each
-view is calibrated (Platt) on labelled rows kept out of the training; the calibrated log odds, less the prior that both
+Each view has a logistic regression. In every round both are trained on their labelled rows, calibrated, and judge a pool of
+unlabelled documents. For each class a view hands its most confident documents to the other view: those whose calibrated odds
+are `lift` times the class's own odds or more, each with its calibrated probability as label, so that a weak view
+teaches both classes without claiming to be sure. After the last round each view is calibrated (Platt) on labelled rows kept out of the training; the calibrated log odds, less the prior that both
 hold, are added up, calibrated once more, and score all documents over their whole texts.
 
 The fit is bounded: `most_labelled` labelled and `most_pool` unlabelled documents, drawn by a hash of doc_id over
@@ -103,6 +104,7 @@ class Model:
     calibration: list[tuple[float, float]]  # content, metadata, both
     prior: float  # log odds
     constant: float | None = None
+    handed: dict | None = None  # (teaching view, class) -> documents handed over in all rounds
 
     def scores(self, content: np.ndarray, metadata: np.ndarray) -> list[np.ndarray]:
         """Calibrated probabilities: content, metadata, both."""
@@ -113,33 +115,42 @@ class Model:
         return [sigmoid(logits[0]), sigmoid(logits[1]), sigmoid(s * (logits[0] + logits[1] - self.prior) + o)]
 
 
-def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], calibrating: np.ndarray, rounds: int = 4, sure: float = 0.95, share: float = 0.1) -> Model:
+def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], calibrating: np.ndarray, rounds: int = 4, lift: float = 2.0, share: float = 0.1) -> Model:
     """x, pool: (content, metadata) features. calibrating: the labelled rows that only calibrate."""
     if y.min(initial=1) == y.max(initial=0) or len(set(y[~calibrating])) < 2 or len(set(y[calibrating])) < 2:
         return Model(np.zeros(0), np.zeros(0), [], 0.0, float(y.mean()) if len(y) else 0.5)
     train = [(view[~calibrating], y[~calibrating], np.ones((~calibrating).sum())) for view in x]
     free = [np.ones(len(pool[0]), bool), np.ones(len(pool[0]), bool)]  # what a view may still be taught
     rate = float(y[~calibrating].mean())
+    yc = y[calibrating]
+    prior = math.log((yc.sum() + 1) / (len(yc) - yc.sum() + 1))
+    handed = {(teacher, label): 0 for teacher in (0, 1) for label in (0, 1)}
     models = [logistic(*t) for t in train]
     for _ in range(rounds if len(pool[0]) else 0):
-        judged = [sigmoid(p @ w[:-1] + w[-1]) for p, w in zip(pool, models, strict=True)]
-        for teacher, pupil in ((0, 1), (1, 0)):
-            p = judged[teacher]
-            for label, confidence, part in ((1, p, rate), (0, 1 - p, 1 - rate)):
-                most = max(1, int(share * part * len(p)))
-                order = np.argsort(-confidence, kind="stable")
-                taken = [i for i in order[: 4 * most] if free[pupil][i] and confidence[i] >= sure][:most]
-                if taken:
-                    free[pupil][taken] = False
-                    a, b, c = train[pupil]
-                    train[pupil] = (np.concatenate([a, pool[pupil][taken]]), np.append(b, np.full(len(taken), label)), np.append(c, np.full(len(taken), 0.3)))
+        for (teacher, label), taken, target in confident(x, yc, pool, calibrating, models, free, prior, rate, math.log(lift), share):
+            pupil = 1 - teacher
+            free[pupil][taken] = False
+            handed[teacher, label] += len(taken)
+            a, b, c = train[pupil]
+            train[pupil] = (np.concatenate([a, pool[pupil][taken]]), np.append(b, target), np.append(c, np.full(len(taken), 0.3)))
         models = [logistic(*t) for t in train]
-    yc = y[calibrating]
-    prior = math.log((yc.sum() + 1) / (len(yc) - yc.sum() + 1))
     raw = [view[calibrating] @ w[:-1] + w[-1] for view, w in zip(x, models, strict=True)]
     each = [platt(r, yc) for r in raw]
     both = sum(s * r + o for r, (s, o) in zip(raw, each, strict=True)) - prior
-    return Model(models[0], models[1], [*each, platt(both, yc)], prior)
+    return Model(models[0], models[1], [*each, platt(both, yc)], prior, handed=handed)
+
+
+def confident(x, yc, pool, calibrating, models, free, prior, rate, least, share):
+    """Yields ((teacher, class), rows of the pool, calibrated probabilities): what each view hands to the other in a round."""
+    for teacher, (view, rest, w) in enumerate(zip(x, pool, models, strict=True)):
+        s, o = platt(view[calibrating] @ w[:-1] + w[-1], yc)
+        logit = s * (rest @ w[:-1] + w[-1]) + o
+        for label, gain, part in ((1, logit - prior, rate), (0, prior - logit, 1 - rate)):
+            most = max(1, int(share * part * len(logit)))
+            order = np.argsort(-gain, kind="stable")
+            taken = order[free[1 - teacher][order] & (gain[order] >= least)][:most]
+            if len(taken):
+                yield (teacher, label), taken, sigmoid(logit[taken])
 
 
 def _texts_and_rows(docs: pa.StructArray) -> list[dict]:
