@@ -36,25 +36,25 @@ def last_syncs(events: DataFrame, seq: str = "seq") -> DataFrame:
 def derive_diff_runs(events: DataFrame, seq: str = "seq") -> DataFrame:
     """A row for each pair of source and destination checksums of (pipeline, sync, stream), in the order they came.
 
-    A side that comes again before the other overwrites; a pair is cleared once it is out, so a key may pair repeatedly. That
-    is a fold over the few checksums that one sync writes for one stream.
+    A side that comes again before the other overwrites; a pair is cleared once it is out, so a key may pair repeatedly.
+
+    In runs of rows of one side: the first row of a run pairs with the last row before it if that was still held. After a run of
+    several rows one is held; a run of a single row holds it just if nothing was held before. So whether one is held follows from
+    the number of runs since the last run of several.
     """
+    keys = ["pipeline_id", "sync_id", "stream"]
     rows = events.filter("event = 'checksum_computed'").withColumn("p", F.from_json("payload", CHECKSUM))
-    one = F.struct(F.col(seq).alias("seq"), (F.col("p.side") == "source").alias("is_source"), F.col("p.rows").alias("rows"), F.col("p.checksum").alias("checksum"))
-    held = "struct<seq:bigint,is_source:boolean,rows:bigint,checksum:string>"
-    pair = f"array<struct<seq:bigint,source:{held},dest:{held}>>"
-    none = F.lit(None).cast(held)
-
-    def step(acc, x):
-        s = F.when(x["is_source"], x).otherwise(acc["s"])
-        d = F.when(x["is_source"], acc["d"]).otherwise(x)
-        full = s.isNotNull() & d.isNotNull()
-        out = F.when(full, F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), s.alias("source"), d.alias("dest"))))).otherwise(acc["out"])
-        return F.struct(F.when(~full, s).alias("s"), F.when(~full, d).alias("d"), out.alias("out"))
-
-    grouped = rows.groupBy("pipeline_id", "sync_id", "stream").agg(F.array_sort(F.collect_list(one.cast(held))).alias("rows"))
-    pairs = grouped.select("pipeline_id", "sync_id", "stream", F.explode(F.aggregate("rows", F.struct(none.alias("s"), none.alias("d"), F.array().cast(pair).alias("out")), step, lambda a: a["out"])).alias("x"))
-    out = pairs.select(F.col("pipeline_id").cast("long").alias("pipeline_id"), "sync_id", "stream", F.col("x.seq").alias("seq"), F.col("x.source.rows").alias("source_rows"), F.col("x.dest.rows").alias("dest_rows"), F.col("x.source.checksum").alias("source_checksum"), F.col("x.dest.checksum").alias("dest_checksum"))
+    rows = rows.select(*keys, F.col(seq).alias("seq"), F.coalesce(F.col("p.side") == "source", F.lit(False)).alias("is_source"), F.struct("p.rows", "p.checksum").alias("own"))
+    w = Window.partitionBy(*keys).orderBy("seq")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("starts", F.coalesce(F.col("is_source") != F.lag("is_source").over(w), F.lit(True))).withColumn("other", F.lag("own").over(w))
+    rows = rows.withColumn("run", F.sum(F.col("starts").cast("long")).over(so_far))
+    rows = rows.withColumn("several", F.coalesce(F.max(F.when(~F.col("starts"), F.col("run"))).over(so_far), F.lit(0)))
+    since = F.col("run") - F.col("several") - 1
+    held = F.when(F.col("several") > 0, since % 2 == 0).otherwise(since % 2 == 1)
+    pairs = rows.filter(F.col("starts") & held)
+    side = lambda of, field: F.when(F.col("is_source") == (of == "source"), F.col(f"own.{field}")).otherwise(F.col(f"other.{field}")).alias(f"{of}_{field}")
+    out = pairs.select(F.col("pipeline_id").cast("long").alias("pipeline_id"), "sync_id", "stream", "seq", side("source", "rows"), side("dest", "rows"), side("source", "checksum"), side("dest", "checksum"))
     return out.withColumn("match", F.col("source_rows").eqNullSafe(F.col("dest_rows")) & F.col("source_checksum").eqNullSafe(F.col("dest_checksum")))
 
 

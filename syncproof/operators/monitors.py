@@ -48,11 +48,12 @@ def latest_stat(stats: DataFrame, order: tuple[str, ...] = ("ts", "sync_id")) ->
     return both.groupBy("pipeline_id", "stream", "column_name").agg(F.max_by(row, F.struct(*order)).alias("s")).select("pipeline_id", "stream", "column_name", "s.*")
 
 
-def monitor_run(monitors: DataFrame, stats: DataFrame, syncs: DataFrame, now: Column, drifts: DataFrame | None = None) -> DataFrame:
+def monitor_run(monitors: DataFrame, stats: DataFrame, syncs: DataFrame, now: Column, drifts: DataFrame | None = None, custom: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
     """(monitor_id, pipeline_id, sync_id, kind, value, breached): a row for each enabled monitor that can be evaluated.
 
     monitors: (id, pipeline_id, stream, column_name, kind, enabled, threshold_seconds, max_deviation, max_increase, mean,
     null_rate, max_psi); stats: latest_stat(); syncs: (pipeline_id, last_sync_at); drifts: (pipeline_id, stream, column_name, psi).
+    custom: further kinds, each with its (value, breached) over the columns above; one of a known kind's name replaces it.
     """
     met = monitors.filter("enabled").join(stats, ["pipeline_id", "stream", "column_name"], "left").join(syncs, "pipeline_id", "left")
     met = met.withColumn("psi", F.lit(None).cast("double")) if drifts is None else met.join(drifts, ["pipeline_id", "stream", "column_name"], "left")
@@ -61,7 +62,7 @@ def monitor_run(monitors: DataFrame, stats: DataFrame, syncs: DataFrame, now: Co
         "volume": volume(F.col("row_count"), F.col("mean"), F.col("max_deviation")),
         "null_rate": null_rate(F.col("null_count"), F.col("row_count"), F.col("null_rate"), F.col("max_increase")),
         "distribution": (F.col("psi"), F.col("psi") > F.col("max_psi")),
-    }
+    } | (custom or {})
     pick = lambda i: F.coalesce(*[F.when(F.col("kind") == k, v[i]) for k, v in by_kind.items()])
     measured = F.coalesce(*[F.when(F.col("kind") == k, v[0].isNotNull()) for k, v in by_kind.items()], F.lit(False))
     sync = F.when(~F.col("kind").isin("freshness", "distribution"), F.col("sync_id"))

@@ -122,18 +122,21 @@ def alert_fanout(incidents: DataFrame, is_quiet: Column | None = None) -> DataFr
 
 
 def incident_transitions(actions: DataFrame, incident: str = "incident_id", seq: str = "seq", action: str = "action") -> DataFrame:
-    """(incident, status, applied, rejected) after folding each incident's ordered actions; it starts open.
+    """(incident, status, applied, rejected) after each incident's ordered actions; it starts open.
 
-    Ack goes from open and snoozed, snooze from open and acked, resolve from all three; other moves are rejected.
+    Ack goes from open and snoozed, snooze from open and acked, resolve from all three; other moves are rejected. So nothing applies
+    after the first resolve, and before it an ack or a snooze applies unless the last of these two was the same. Actions of one
+    seq are taken in the order of their names.
     """
-    def step(acc: Column, x: Column) -> Column:
-        a, s = x["a"], acc["status"]
-        to = F.when((a == "ack") & s.isin("open", "snoozed"), "acked").when((a == "snooze") & s.isin("open", "acked"), "snoozed").when((a == "resolve") & s.isin("open", "acked", "snoozed"), "resolved")
-        return F.struct(F.coalesce(to, s).alias("status"), (acc["applied"] + to.isNotNull().cast("long")).alias("applied"), (acc["rejected"] + to.isNull().cast("long")).alias("rejected"))
-
-    start = F.struct(F.lit("open").alias("status"), F.lit(0).cast("long").alias("applied"), F.lit(0).cast("long").alias("rejected"))
-    folded = actions.groupBy(incident).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(action).alias("a")))).alias("x"))
-    return folded.select(incident, F.aggregate("x", start, step).alias("r")).select(incident, "r.*")
+    w = Window.partitionBy(incident).orderBy(seq, action)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    a, toggles = F.col(action), F.when(F.col(action).isin("ack", "snooze"), F.col(action))
+    closed = F.coalesce(F.max(a == "resolve").over(before), F.lit(False))
+    seen = actions.withColumn("_closed", closed).withColumn("_held", F.last(toggles, ignorenulls=True).over(before))
+    to = F.when(F.col("_closed"), None).when(a == "resolve", "resolved").when((a == "ack") & ~F.col("_held").eqNullSafe("ack"), "acked").when((a == "snooze") & ~F.col("_held").eqNullSafe("snooze"), "snoozed")
+    moved = seen.withColumn("_to", to)
+    last = F.max_by("_to", F.when(F.col("_to").isNotNull(), F.struct(seq, action)))
+    return moved.groupBy(incident).agg(F.coalesce(last, F.lit("open")).alias("status"), F.count("_to").alias("applied"), F.count_if(F.col("_to").isNull()).alias("rejected"))
 
 
 def escalation_first(opened_at: Column, steps: Column) -> Column:

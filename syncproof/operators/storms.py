@@ -44,12 +44,12 @@ def jaccard(a: frozenset, b: frozenset) -> float:
 
 
 class Clusters:
-    """Live clusters of one connector, in the order they were created; kept small by the window."""
+    """Live clusters of one connector, in the order they were created; kept small by the window. Times and gap in microseconds."""
 
-    def __init__(self, gap: float = GAP_SECONDS, alike: float = ALIKE):
+    def __init__(self, gap: int = GAP_SECONDS * 1_000_000, alike: float = ALIKE):
         self.gap, self.alike, self.live, self.made = gap, alike, [], 0
 
-    def add(self, ts: float, sig: str, code: str, normal: str) -> tuple[int, bool]:
+    def add(self, ts: int, sig: str, code: str, normal: str) -> tuple[int, bool]:
         """(cluster, is_new)."""
         self.live = [c for c in self.live if ts - c["last"] <= self.gap]
         words = tokens(normal)
@@ -64,15 +64,15 @@ class Clusters:
         return self.made, True
 
 
-def storm_fuzzy(signals: DataFrame, connector: str = "connector", ts: str = "ts", seq: str = "seq") -> DataFrame:
+def storm_fuzzy(signals: DataFrame, connector: str = "connector", ts: str = "ts", seq: str = "seq", gap_seconds: int = GAP_SECONDS) -> DataFrame:
     """(connector, seq, cluster, is_new): signals without a code also join a live cluster of alike words (its first message's).
 
     Order matters, but no cluster outlives a silence longer than the gap: a connector's signals are cut at its silences, each
     stretch goes through a fold of its own with only the live clusters in memory, and clusters are numbered on from the stretches before.
     """
-    slim = signals.select(F.col(connector).alias("connector"), F.col(seq).alias("seq"), (F.unix_micros(F.col(ts)) / 1e6).alias("at"), F.coalesce("code", F.lit("")).alias("code"), normalize(F.coalesce("message", F.lit(""))).alias("normal"), signature(F.col(connector), F.col("code"), F.col("message")).alias("sig"))
+    slim = signals.select(F.col(connector).alias("connector"), F.col(seq).alias("seq"), F.unix_micros(F.col(ts)).alias("at"), F.coalesce("code", F.lit("")).alias("code"), normalize(F.coalesce("message", F.lit(""))).alias("normal"), signature(F.col(connector), F.col("code"), F.col("message")).alias("sig"))
     w = Window.partitionBy("connector").orderBy("at", "seq")
-    silent = F.coalesce(F.col("at") - F.lag("at").over(w) > GAP_SECONDS, F.lit(False)).cast("long")
+    silent = F.coalesce(F.col("at") - F.lag("at").over(w) > gap_seconds * 1_000_000, F.lit(False)).cast("long")
     cut_up = slim.withColumn("_silent", silent).withColumn("stretch", F.sum("_silent").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_silent")
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,7 +81,7 @@ def storm_fuzzy(signals: DataFrame, connector: str = "connector", ts: str = "ts"
             out = []
             for r in part.itertuples(index=False):
                 if clusters is None or (r.connector, r.stretch) != now:
-                    now, clusters = (r.connector, r.stretch), Clusters()
+                    now, clusters = (r.connector, r.stretch), Clusters(gap_seconds * 1_000_000)
                 out.append((r.connector, r.stretch, r.seq, *clusters.add(r.at, r.sig, r.code, r.normal)))
             yield pd.DataFrame(out, columns=["connector", "stretch", "seq", "cluster", "is_new"])
 

@@ -80,7 +80,7 @@ select distinct user_id % 25 as pipeline_id, concat('pipe', cast(user_id % 5 as
 select 1 as v, ts, case event_type when 'error' then 'sync_failed' when 'purchase' then 'sync_finished' when 'signup' then 'checksum_computed' when 'click' then 'column_mapping' else 'column_stats' end as event,
   concat('s', cast(user_id % 100 as string)) as sync_id, pipeline_id, concat('public.s', cast(event_id % 4 as string)) as stream,
   case event_type
-    when 'error' then concat('{{"code":"', case when event_id % 2 = 0 then case k % 3 when 0 then 'connection_refused' when 1 then 'wal_level' else 'odd_code' end else '' end, '","message":"conn ', cast(k as string), ' refused after ', cast(event_id % 7 as string), ' retries","retryable":', case when k % 2 = 0 then 'true' else 'false' end, '}}')
+    when 'error' then concat('{{"code":"', case when event_id % 2 = 0 then case k % 3 when 0 then 'connection_refused' when 1 then 'wal_level' else 'odd_code' end else '' end, '","message":"', case k % 5 when 0 then 'disk ' when 1 then 'old slot ' else 'slot ' end, cast(k as string), case k % 5 when 0 then ' is full on node ' else ' stalled at page ' end, cast(event_id % 7 as string), '","retryable":', case when k % 2 = 0 then 'true' else 'false' end, '}}')
     when 'purchase' then concat('{{"rows_read":', cast(k * 10 as string), ',"rows_written":', cast(k * 9 as string), ',"bytes_written":', cast(k * 1000 as string), ',"duration_seconds":', cast(cast(floor(value) as bigint) as string), '.5}}')
     when 'signup' then concat('{{"side":"', case when k % 2 = 0 then 'source' else 'destination' end, '","rows":', cast(100 + k % 3 as string), ',"checksum":"c', cast(k % 2 as string), '","match":', case when k % 5 = 0 then 'false' else 'true' end, '}}')
     when 'click' then concat('{{"source_column":"c', cast(k % 7 as string), '","source_type":"int4","dest_column":"d', cast(k % 7 as string), '","dest_type":"', case when k % 2 = 0 then 'int32' else 'int64' end, '"}}')
@@ -93,7 +93,7 @@ select * from (values
   (3, cast(null as bigint), '', 'mismatch', true, 'checksum_computed', 'match', 'is_false', cast(null as string), 'critical', cast(null as bigint), '', '', 3),
   (4, cast(null as bigint), '', 'off', false, 'sync_failed', '', '', cast(null as string), 'info', cast(null as bigint), '', '', 1),
   (5, 7, '', 'pipe seven', true, 'sync_failed', 'code', 'ne', '"connection_refused"', 'warning', cast(null as bigint), '', '', 1),
-  (6, cast(null as bigint), 'public.s1', 'in maintenance', true, 'sync_failed', 'message', 'contains', '"after 3"', 'warning', {NOW}, '', '', 1),
+  (6, cast(null as bigint), 'public.s1', 'in maintenance', true, 'sync_failed', 'message', 'contains', '"page 3"', 'warning', {NOW}, '', '', 1),
   (7, cast(null as bigint), '', 'text is no number', true, 'checksum_computed', 'checksum', 'gt', '0', 'info', cast(null as bigint), '', '', 1),
   (8, cast(null as bigint), 'public.s2', 'any kind', true, '', 'rows', 'gte', '102', 'info', cast(null as bigint), '', '', 1)
 ) as t(id, pipeline_id, stream, name, enabled, event, field, op, value, severity, maintenance, quiet_start, quiet_end, n_channels)""",

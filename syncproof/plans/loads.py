@@ -91,16 +91,40 @@ def _(t):
     return connect.redis_kv(typed.unionByName(gone))
 
 
-@R.query("kafka_envelope", """select cast(user_id % 4 as int) as "partition", event_id as "offset", 'u' || cast(user_id as varchar) as "key",
+_ENVELOPE = """select cast(user_id % 4 as int) as "partition", event_id as "offset", 'u' || cast(user_id as varchar) as "key",
 case event_id % 3 when 0 then '{{"k":' || cast(k as varchar) || '}}' when 1 then '"plain ' || cast(k as varchar) || ' \\"text\\""' else null end as "value", strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as "timestamp",
-case when event_id % 2 = 0 then '{{}}' else '{{"a":"' || cast(k as varchar) || '","b":"x"}}' end as headers from {ev}""")
-def _(t):
+case when event_id % 2 = 0 then '{{}}' else '{{"a":"' || cast(k as varchar) || '","b":"x"}}' end as headers from {ev}"""
+
+
+def kafka_rows(t):
+    """Events as a topic's messages, in Kafka's columns."""
     header = lambda k, v: F.struct(F.lit(k).alias("key"), F.encode(v, "UTF-8").alias("value"))
-    kafka = t("ev").select(
+    return t("ev").select(
         F.expr("cast(user_id % 4 as int)").alias("partition"), F.col("event_id").alias("offset"), F.encode(F.concat(F.lit("u"), "user_id"), "UTF-8").alias("key"),
         F.encode(F.expr("""case event_id % 3 when 0 then concat('{"k":', k, '}') when 1 then concat('plain ', k, ' "text"') else '' end"""), "UTF-8").alias("value"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
         F.when(F.col("event_id") % 2 == 0, F.array().cast("array<struct<key:string,value:binary>>")).otherwise(F.array(header("a", F.lit("first")), header("b", F.lit("x")), header("a", F.col("k").cast("string")))).alias("headers"))
-    return connect.kafka_envelope(kafka)
+
+
+@R.query("kafka_envelope", _ENVELOPE)
+def _(t):
+    return connect.kafka_envelope(kafka_rows(t))
+
+
+@R.query("src_kafka_bounded", _ENVELOPE)
+def _(t):
+    rows = kafka_rows(t)
+    path = new_path(rows.sparkSession)
+    rows.write.parquet(path)  # a topic kept in files
+    return connect.kafka_bounded(rows.sparkSession, "localhost:9092", "events", source="parquet", path=path)
+
+
+@R.query("src_docs", """select event_id, event_type, case when event_id % 4 = 0 then null else '{{"k":' || cast(k as varchar) || ',"u":[' || cast(user_id as varchar) || ']}}' end as props from {ev}""")
+def _(t):
+    props = F.expr("case when event_id % 4 = 0 then null else struct(k, array(user_id) as u) end").alias("props")
+    rows = t("ev").select("event_id", "event_type", props)
+    path = new_path(rows.sparkSession)
+    rows.write.json(path)  # an export of a table of documents
+    return connect.documents(rows.sparkSession, "dynamodb", "event_id long, event_type string, props struct<k:long,u:array<long>>", path=path)
 
 
 @R.query("kafka_offset_increment", """with e as (select user_id % 40 p, min(event_id) f, max(event_id) + 1 e from {ev} where user_id % 40 < 35 group by 1), s as (select user_id % 40 p, max(case when event_id % 2 = 0 then event_id else -5 end) o from {ev} where user_id % 40 > 3 group by 1)

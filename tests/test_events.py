@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -104,6 +105,46 @@ def test_null_rate_monitor(spark):
     assert monitors.breaches_as_events(monitors.monitor_run(m, stats, syncs, F.lit(T0)), F.lit(T0)).count() == 1
 
 
+def test_custom_monitor(spark):
+    rows = [(1, 7, "s", "c", "few_rows", True), (2, 7, "s", "d", "few_rows", True), (3, 7, "s", "c", "unknown", True)]
+    none = [F.lit(None).cast("double").alias(c) for c in ("threshold_seconds", "max_deviation", "max_increase", "mean", "null_rate", "max_psi")]
+    m = spark.createDataFrame(rows, "id long, pipeline_id long, stream string, column_name string, kind string, enabled boolean").select("*", *none)
+    stats = spark.createDataFrame([(7, "s", "c", "s1", 12, 0)], "pipeline_id long, stream string, column_name string, sync_id string, row_count long, null_count long")
+    syncs = spark.createDataFrame([], "pipeline_id long, last_sync_at timestamp")
+    custom = {"few_rows": (F.col("row_count").cast("double"), F.col("row_count") < 50)}
+    got = monitors.monitor_run(m, stats, syncs, F.lit(T0), custom=custom).collect()
+    assert [(r.monitor_id, r.sync_id, r.value, r.breached) for r in got] == [(1, "s1", 12.0, True)]
+
+
+def test_transitions_against_a_loop(spark):
+    draw = random.Random(5)
+    moves = {"ack": ({"open", "snoozed"}, "acked"), "snooze": ({"open", "acked"}, "snoozed"), "resolve": ({"open", "acked", "snoozed"}, "resolved")}
+    rows = [(i, s, draw.choice(["ack", "ack", "snooze", "snooze", "note", "resolve"])) for i in range(60) for s in range(draw.randrange(1, 9))]
+    want = {}
+    for i, _, a in sorted(rows):
+        status, applied, rejected = want.get(i, ("open", 0, 0))
+        ok = a in moves and status in moves[a][0]
+        want[i] = (moves[a][1] if ok else status, applied + ok, rejected + (not ok))
+    got = rules.incident_transitions(spark.createDataFrame(rows, "incident_id long, seq long, action string").repartition(3))
+    assert {r.incident_id: tuple(r)[1:] for r in got.collect()} == want
+
+
+def test_diff_runs_against_a_loop(spark):
+    draw, rows, want = random.Random(6), [], []
+    for key in range(40):
+        held = {}
+        for seq in range(draw.randrange(1, 14)):
+            side, n = draw.choice(["source", "dest"]), draw.randrange(3)
+            rows.append((key * 100 + seq, "checksum_computed", str(key), "y", "s", f'{{"side":"{side}","rows":{n},"checksum":"c{n}"}}'))
+            held[side] = n
+            if len(held) == 2:
+                want.append((key, key * 100 + seq, held["source"], held["dest"], held["source"] == held["dest"]))
+                held = {}
+    log = spark.createDataFrame(rows, "seq long, event string, pipeline_id string, sync_id string, stream string, payload string").repartition(3)
+    got = events.derive_diff_runs(log).select("pipeline_id", "seq", "source_rows", "dest_rows", "match").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_column_stats(spark):
     df = spark.createDataFrame([(1, "x"), (2, None), (10, None), (3, "x")], "id long, name string")
     got = {r.column: tuple(r)[1:] for r in profile.column_stats(df).collect()}
@@ -111,14 +152,14 @@ def test_column_stats(spark):
 
 
 def test_storms(spark):
-    rows = [("a", 0, "", "conn 5 refused after 3 retries"), ("a", 10, "", "conn 9 refused after 5 retries"), ("a", 400, "", "conn refused after long retries"), ("a", 2000, "", "conn 1 refused after 2 retries"), ("b", 0, "E1", "x"), ("b", 5, "E1", "y"), ("b", 6, "E2", "x")]
+    rows = [("a", 0, "", "slot 5 stalled at page 3"), ("a", 10, "", "slot 9 stalled at page 5"), ("a", 400, "", "slot stalled at first page"), ("a", 2000, "", "slot 1 stalled at page 2"), ("b", 0, "E1", "x"), ("b", 5, "E1", "y"), ("b", 6, "E2", "x")]
     df = spark.createDataFrame([(c, i, T0 + timedelta(seconds=s), k, m) for i, (c, s, k, m) in enumerate(rows)], "connector string, seq long, ts timestamp, code string, message string")
     got = {r.seq: (r.cluster, r.is_new) for r in storms.storm_fuzzy(df).collect()}
     assert got == {0: (1, True), 1: (1, False), 2: (2, True), 3: (3, True), 4: (1, True), 5: (1, False), 6: (2, True)}
-    soon = spark.createDataFrame([("a", 0, T0, "", "conn refused after long retries"), ("a", 1, T0, "", "conn refused after many long retries")], df.schema)
+    soon = spark.createDataFrame([("a", 0, T0, "", "slot stalled at first page"), ("a", 1, T0, "", "slot stalled at very first page")], df.schema)
     assert [r.cluster for r in storms.storm_fuzzy(soon).collect()] == [1, 1]
     s = df.select("seq", storms.signature(F.col("connector"), F.col("code"), F.col("message")).alias("s")).collect()
-    assert {r.s for r in s if r.seq < 2} == {"a|conn ? refused after ? retries"}
+    assert {r.s for r in s if r.seq < 2} == {"a|slot ? stalled at page ?"}
 
 
 def test_audit_and_versions(spark):
