@@ -6,7 +6,8 @@ Of the fitting rules the longest (host and path together) wins; of equal ones `b
 Every distinct url is expanded into (host suffix, directory prefix) expressions; a rule's key is its host with its path up
 to the last slash. The equi-join is on the first four bytes of the SHA-256 of such an expression; the full digest and
 the rest of the rule's path are then confirmed. Expressions are made distinct before the join, so a common host costs
-one row; rules and judged urls are broadcast only up to a counted bound, else both sides are shuffled. Null urls are not joined.
+one row, and none has more labels or slashes than some rule has, so that a url of many slashes costs its length, not its
+square; rules and judged urls are broadcast only up to a counted bound, else both sides are shuffled. Null urls are not joined.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule and gets the default verdict;
 repeated urls and pages each keep their row; urls of any length are judged whole; a rule of null host or path is ignored; other columns are kept as they are.
@@ -31,15 +32,17 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def host_suffixes(host: Column) -> Column:
+def host_suffixes(host: Column, most: int) -> Column:
+    """The host's suffixes of whole labels, up to so many labels."""
     labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    n = F.size(labels)
+    return F.transform(F.sequence(F.lit(1), F.least(n, F.lit(most))), lambda i: F.array_join(F.slice(labels, n - i + 1, i), "."))
 
 
-def directories(path: Column) -> Column:
-    """Every prefix of the path that ends in a slash, and the empty one."""
-    parts = F.split(path, "/", -1)
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
+def directories(path: Column, most: int) -> Column:
+    """The path's prefixes that end in a slash, up to so many slashes, and the empty one."""
+    parts = F.split(path, "/", most + 2)
+    return F.transform(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(most))), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
 
 
 def digest(host: Column, directory: Column) -> Column:
@@ -51,11 +54,12 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     keyed = rules.filter("host is not null and path is not null").select(
         ascii_lower(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict")
     ).withColumn("full", digest(F.col("rule_host"), F.regexp_extract("rule_path", r"(?s)^(?:.*/)?", 0))).withColumn("short", F.substring("full", 1, 4))
-    if rules.limit(max_broadcast_rules + 1).count() <= max_broadcast_rules:
+    n_rules, labels, slashes = keyed.agg(F.count("*"), F.max(F.size(F.split("rule_host", r"\.", -1))), F.max(F.size(F.split("rule_path", "/", -1)) - 1)).first()
+    if n_rules <= max_broadcast_rules:
         keyed = F.broadcast(keyed)
 
     urls = pages.select(F.col(f"`{url}`").alias("url")).filter("url is not null").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).filter("host <> ''")
-    expanded = urls.select("url", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix"), directories(F.col("path")).alias("dirs")).select("url", "path", "suffix", F.explode("dirs").alias("directory"))
+    expanded = urls.select("url", "path", F.explode(host_suffixes(F.col("host"), labels or 1)).alias("suffix"), directories(F.col("path"), slashes or 0).alias("dirs")).select("url", "path", "suffix", F.explode("dirs").alias("directory"))
     hits = (
         expanded.withColumn("digest", digest(F.col("suffix"), F.col("directory")))
         .join(keyed, F.substring("digest", 1, 4) == F.col("short"))

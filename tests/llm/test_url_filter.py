@@ -32,6 +32,13 @@ def test_rule_paths_of_any_form(spark):
     assert got == {u: brute(u, more[:3])[2:] for u in urls}
 
 
+def test_urls_of_many_slashes_and_labels(spark):
+    rules = spark.createDataFrame([*U.RULES, ("a.b.c.org", "/1/2/3/4", "block")], "host string, path string, verdict string")
+    urls = ["http://" + "x." * 50_000 + "example.com/en/" + "d/" * 100_000, "http://" + "y." * 50_000 + "a.b.c.org/1/2/3/45" + "/" * 200_000, "http://b.c.org/1/2/3/4" + "/" * 200_000]
+    got = [r.verdict for r in U.judge(pages(spark, urls), rules).orderBy("page.page_id").collect()]
+    assert got == ["block", "block", "allow"]
+
+
 def test_empty_tables(spark):
     rules = spark.createDataFrame(U.RULES, "host string, path string, verdict string")
     assert U.judge(pages(spark, URLS).limit(0), rules).count() == 0
