@@ -6,7 +6,8 @@ benchmark window go. tokens: texts become piece ids, with a check that they deco
 
 Defined cases: a null, empty or letterless text is rejected by language, so later stages meet none of it in run(); called by
 themselves they keep a null text as null (tokens: null ids, n_ids 0). Texts of any length are worked whole. A document
-whose lines all go stays with an empty text. Of ties in near_duplicates the smallest doc_id stays, null ids last, of rows
+whose lines all go stays with an empty text. near_duplicates takes null and empty
+texts for copies of each other. Of ties in near_duplicates the smallest doc_id stays, null ids last, of rows
 repeated whole one. Extra columns go through every stage but the last. No documents give no rows; an empty benchmark
 drops none.
 """
