@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from syncproof.llm import decontaminate, fingerprint, langid, line_dedup, packing, pii, quality, secrets, sentencepiece, simhash, trie, url_filter
+from syncproof.llm import collocation, decontaminate, fingerprint, langid, line_dedup, packing, pii, quality, secrets, sentencepiece, simhash, trie, url_filter
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_line_dedup": line_dedup.query,
     "op11_trie": trie.query,
     "op12_packing": packing.query,
+    "op13_collocations": collocation.query,
 }
 SQL = {
     "op2_decontaminate": decontaminate.SQL,
     "op3_url_filter": url_filter.SQL,
     "op11_trie": trie.SQL,
+    "op13_collocations": collocation.SQL,
 }
