@@ -29,44 +29,40 @@ from syncproof.llm.common import arrow_type, cut, slices, table
 from syncproof.llm.ranks import numbered
 
 LONGEST, END = 2048, 1
-#: A word of letters that lower() and composition leave alone but for their case, and the punctuation behind it.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Lower-case letters that composition leaves alone, or punctuation: one pre-token each. Between the two a pre-token ends.
+_LETTERS, _MARKS = "a-zß-öø-ÿ", ".,;:!?"
+_STEM = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+")
+_SEAM = re.compile(f"([{_LETTERS}])([{_MARKS}])")
 _SPACE = re.compile(r"[ \t\n\r]")
 #: str.split() parts words here, the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class Encoder:
-    """ids of texts as little-endian 32-bit bytes, equal to those of the library's tokenizer for the whole text."""
+    """ids of texts as little-endian 32-bit bytes, equal to those of the library's tokenizer for the whole text.
 
-    def __init__(self, path: str, most_words: int = 300_000, part: int = 1 << 20, longest_word: int = 40):
+    Words met are kept in two generations of at most `most_words` each: when the younger is full, it takes the place of the elder.
+    """
+
+    def __init__(self, path: str, most_words: int = 500_000, part: int = 1 << 20, longest_word: int = 40):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.model, self.letters = self.tokenizer.model, {ord(c): bytes_of.pre_tokenize_str(c)[0][0] for c in map(chr, range(33, 256)) if _PLAIN.fullmatch(c) or c in ".,;:!?"}
+        self.model, self.letters = self.tokenizer.model, {ord(c): bytes_of.pre_tokenize_str(c)[0][0] for c in map(chr, range(33, 256)) if _STEM.fullmatch(c)}
         self.most_words, self.part, self.longest_word = most_words, part, longest_word
         self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def stem(self, text: str) -> bytes:
-        """ids of one pre-token of plain letters or of plain punctuation, by the tokenizer's own model."""
-        found = self.stems.get(text)
-        if found is None:
-            if len(self.stems) >= self.most_words:
-                self.stems.clear()
-            got = self.model.tokenize(text.translate(self.letters))
-            found = self.stems[text] = struct.pack(f"<{len(got)}I", *[t.id for t in got])
-        return found
-
     def word(self, word: str) -> bytes:
-        if len(word) > self.longest_word:
+        """A stem by the tokenizer's own model, any other word by the whole tokenizer."""
+        if len(word) > self.longest_word or not _STEM.fullmatch(word):
             return self.plain(word)
-        m = _PLAIN.fullmatch(word)
-        return self.stem(m[1].lower()) + (self.stem(m[2]) if m[2] else b"") if m else self.plain(word)
+        got = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
+        return struct.pack(f"<{len(got)}I", *got)
 
     def parts(self, text: str) -> Iterator[str]:
         """The text in parts that end before white space."""
@@ -77,23 +73,38 @@ class Encoder:
             yield text[at:end]
             at = end
 
+    def learn(self, missing: set[str]) -> None:
+        for w in missing:
+            self.words[w] = self.elder.get(w) or self.word(w)
+
     def encode(self, text: str | None) -> bytes:
         out = []
         for part in self.parts(text or ""):
             if _NOT_SPACE.search(part):
                 out.append(self.plain(part))
                 continue
-            words = part.split()
-            if len(self.words) >= self.most_words:
-                self.words.clear()
-            known = self.words
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            out.extend(map(known.__getitem__, words))
+            if "<|" not in part and _is_latin(part):  # special tokens are told by case
+                part = part.lower()
+            words = _SEAM.sub(r"\1 \2", part).split()
+            try:
+                out.append(b"".join(map(self.words.__getitem__, words)))
+            except KeyError:
+                if len(self.words) >= self.most_words:
+                    self.words, self.elder = {}, self.words
+                self.learn({w for w in words if w not in self.words})
+                out.append(b"".join(map(self.words.__getitem__, words)))
         return b"".join(out)
 
 
+def _is_latin(text: str) -> bool:
+    """Whether lower() does to text what the tokenizer does, letter by letter."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def lengths(n: int, longest: int = LONGEST) -> list[int]:
     """Binary lengths that add up to n, none over longest (a power of two)."""
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if n % longest >> b & 1]
