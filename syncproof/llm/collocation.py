@@ -170,11 +170,17 @@ def scan_known(shard: DataFrame, shared, scan: int, shards: int, longest: int, m
     return shard.mapInArrow(run, COUNTS)
 
 
+def _grams(n: int):
+    """All n-grams of the words w, as structs."""
+    each = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", i, n), " ").alias("phrase")))
+    return F.when(F.size("w") >= n, each).otherwise(F.array().cast("array<struct<n:int,phrase:string>>"))
+
+
 def scan_joined(shard: DataFrame, totals: DataFrame | None, scan: int, shards: int, longest: int) -> DataFrame:
     """The same by joins: n-grams of the shard, counted, of which those stay whose subphrases are in the table and that still lack the shard."""
     pieces = shard.select("lang", F.explode(F.split(ascii_lower(F.col("text")), r"[.,;:!?\x0A-\x0D]")).alias("piece")).select("lang", F.expr(r"regexp_extract_all(piece, '[^ \\t]+', 0)").alias("w")).filter("size(w) > 0")
     lengths = [1] * (scan < shards) + list(range(2, longest + 1)) * (totals is not None)
-    grams = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", i, n), " ").alias("phrase")))).otherwise(F.array().cast("array<struct<n:int,phrase:string>>")) for n in lengths]
+    grams = [_grams(n) for n in lengths]
     if not grams:
         return shard.sparkSession.createDataFrame([], COUNTS)
     counts = pieces.select("lang", F.explode(F.concat(*grams)).alias("g")).groupBy("lang", "g.n", "g.phrase").agg(F.count("*").alias("f"))
@@ -202,7 +208,7 @@ def _cycle(spark: SparkSession, path: str, least: int, longest: int, shards: int
     """Scans until all counts are whole; without most_known by joins. None if more phrases than most_known would have to be broadcast."""
     known, totals, all_words, last = Known(), None, None, -1
     for scan in itertools.count():
-        shard = spark.read.schema("lang string, text string").parquet(f"{path}/shard={scan % shards}")
+        shard = spark.read.schema("lang string, text string, shard int").parquet(path).filter(F.col("shard") == scan % shards).drop("shard")
         if most_known is None:
             found = scan_joined(shard, totals, scan, shards, longest)
         else:

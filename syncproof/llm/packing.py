@@ -44,7 +44,7 @@ class Encoder:
     Words met are kept in two generations of at most `most_words` each: when the younger is full, it takes the place of the elder.
     """
 
-    def __init__(self, path: str, most_words: int = 500_000, part: int = 1 << 20, longest_word: int = 40):
+    def __init__(self, path: str, most_words: int = 600_000, part: int = 1 << 20, longest_word: int = 40):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -73,9 +73,14 @@ class Encoder:
             yield text[at:end]
             at = end
 
-    def learn(self, missing: set[str]) -> None:
-        for w in missing:
-            self.words[w] = self.elder.get(w) or self.word(w)
+    def learned(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= self.most_words:
+                self.words, self.elder = {}, self.words
+            found = self.elder.get(word)
+            found = self.words[word] = self.word(word) if found is None else found
+        return found
 
     def encode(self, text: str | None) -> bytes:
         out = []
@@ -86,13 +91,10 @@ class Encoder:
             if "<|" not in part and _is_latin(part):  # special tokens are told by case
                 part = part.lower()
             words = _SEAM.sub(r"\1 \2", part).split()
-            try:
-                out.append(b"".join(map(self.words.__getitem__, words)))
-            except KeyError:
-                if len(self.words) >= self.most_words:
-                    self.words, self.elder = {}, self.words
-                self.learn({w for w in words if w not in self.words})
-                out.append(b"".join(map(self.words.__getitem__, words)))
+            got = list(map(self.words.get, words))
+            for i in [i for i, g in enumerate(got) if g is None]:
+                got[i] = self.learned(words[i])
+            out += got
         return b"".join(out)
 
 

@@ -156,7 +156,7 @@ def joined_ids(last: DataFrame, piece_chars: int = 1 << 20) -> DataFrame:
     return last.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, "depth long, a long, b long, first long, piece string")
 
 
-def end_digests(last: DataFrame) -> DataFrame:
+def end_digests(last: DataFrame, piece_chars: int = 1 << 20) -> DataFrame:
     """(depth, node_a, node_b, ends_sha256): SHA-256 of the joined ids. A digest reads its bytes in order, so a node's
     pieces (one for some 50,000 ids) go through one task, one at a time."""
     key = ["depth", "a", "b"]
@@ -178,7 +178,7 @@ def end_digests(last: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*now, state.hexdigest()), schema, strict=True)], schema=schema)
 
     schema = pa.schema([("depth", pa.int64()), ("node_a", pa.int64()), ("node_b", pa.int64()), ("ends_sha256", pa.string())])
-    pieces = joined_ids(last).repartition(*key).sortWithinPartitions(*key, "first").select(*key, "piece")
+    pieces = joined_ids(last, piece_chars).repartition(*key).sortWithinPartitions(*key, "first").select(*key, "piece")
     return pieces.mapInArrow(run, "depth long, node_a long, node_b long, ends_sha256 string")
 
 
