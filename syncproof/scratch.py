@@ -49,7 +49,18 @@ def cut(df: DataFrame, free_shuffles: bool = False) -> DataFrame:
     finally:
         if free_shuffles:
             spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def free(written: DataFrame) -> None:
+    """Removes what cut() wrote for a table that nothing will read again; other tables are left alone."""
+    path = getattr(written, "written_at", None)
+    if path:
+        jvm = written.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(written.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _remove(base: str) -> None:
