@@ -7,6 +7,9 @@ while shorter ones still are, and the scans end when no active phrase lacks a sh
 
 Subphrases occur wherever the phrase does, so every phrase of `least` occurrences is activated, and its count is whole.
 
+Each scan's counts are written once. A phrase found `least` times in its cycle is found least / shards times in one of its scans, so only those
+that are in some scan's table that often are summed over the tables of a cycle; tables that no cycle needs any more are removed.
+
 A scan works on whole texts in numpy: words become ids, and a phrase is the pair of its subphrases' ids, exact in 64 bits. The
 phrases found often enough are broadcast up to `most_known` of them, counted at each scan; a corpus with more is counted by
 joins of n-grams with the table of subphrases, in the same cycle of scans and with equal results.
@@ -21,6 +24,7 @@ import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +32,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from syncproof.llm.common import LOWER, UPPER, ascii_lower, cut, slices, table
+from syncproof.functions.joins import bounded
 from syncproof.llm.skew import join_hot
-from syncproof.scratch import new_path
+from syncproof.scratch import free, new_path
 
 LEAST, LONGEST, SHARDS, TOP = 100, 5, 4, 2000
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 #: On bytes: A-Z lowered, all that ends a piece to a full stop, tabs to spaces; split() then parts words at spaces alone.
 _FOLD = bytes(ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else ord(".") if chr(b) in BREAKS else 32 if b == 9 else b for b in range(256))
-COUNTS = "lang string, n int, phrase string, key long, f long"
+KEY = ["lang", "phrase", "key"]
+COUNTS = "lang string, phrase string, key long, since int, f long"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -45,42 +51,54 @@ def words(text: bytes) -> list[bytes]:
 
 @dataclass
 class Known:
-    """Phrases found often enough, by length: ids from 1 on, the scan in which they got there, and their keys in order."""
+    """Phrases found often enough by id, from 1 on: language, text, number of words, the scan in which they got there, and keys in order by length."""
 
     words: dict[str, dict[bytes, int]] = field(default_factory=dict)
-    texts: dict[int, list[tuple[str, str]]] = field(default_factory=dict)  # by length, at id: language and phrase
-    reached: dict[int, list[int]] = field(default_factory=dict)
+    texts: list[tuple[str, str]] = field(default_factory=lambda: [("", "")])
+    sizes: list[int] = field(default_factory=lambda: [0])
+    reached: list[int] = field(default_factory=lambda: [0])
     keys: dict[int, np.ndarray] = field(default_factory=dict)
     ids: dict[int, np.ndarray] = field(default_factory=dict)
-    size: int = 0
+    seen: set[int] = field(default_factory=set)
+
+    def size(self, key: int) -> int:
+        return self.sizes[key >> 32] + 1
 
-    def phrase(self, n: int, key: int) -> tuple[str, str]:
-        """Language and text of a phrase of n words by its subphrases' ids."""
-        lang, first = self.texts[n - 1][key >> 32]
-        return lang, f"{first} {self.texts[n - 1][key & 0xFFFFFFFF][1].rsplit(' ', 1)[-1]}"
+    def phrase(self, key: int) -> tuple[str, str]:
+        """Language and text of a phrase by its subphrases' ids."""
+        lang, first = self.texts[key >> 32]
+        return lang, f"{first} {self.texts[key & 0xFFFFFFFF][1].rsplit(' ', 1)[-1]}"
 
-    def add(self, rows: list, scan: int) -> None:
-        """Takes in (n, lang, phrase, key), shortest first."""
+    def add(self, rows: list, scan: int, longest: int) -> int:
+        """Takes in those rows (lang, phrase, key) of fewer than `longest` words that are new; gives how many they were."""
         fresh: dict[int, tuple[list[int], list[int]]] = {}
-        for n, lang, phrase, key in sorted((r.n, r.lang, r.phrase, r.key) for r in rows):
-            texts, reached = self.texts.setdefault(n, [("", "")]), self.reached.setdefault(n, [0])
-            if n == 1:
-                self.words.setdefault(lang, {})[phrase.encode()] = len(texts)
-                texts.append((lang, phrase))
-            else:
-                keys, ids = fresh.setdefault(n, ([], []))
+        before = len(self.texts)
+        for key, lang, phrase in sorted((r.key, r.lang, r.phrase) for r in rows):
+            if key:
+                if key in self.seen or self.size(key) >= longest:
+                    continue
+                self.seen.add(key)
+                keys, ids = fresh.setdefault(self.size(key), ([], []))
                 keys.append(key)
-                ids.append(len(texts))
-                texts.append(self.phrase(n, key))
-            reached.append(scan)
-            self.size += 1
+                ids.append(len(self.texts))
+                self.sizes.append(self.size(key))
+                self.texts.append(self.phrase(key))
+            else:
+                mine = self.words.setdefault(lang, {})
+                if phrase.encode() in mine:
+                    continue
+                mine[phrase.encode()] = len(self.texts)
+                self.sizes.append(1)
+                self.texts.append((lang, phrase))
+            self.reached.append(scan)
         for n, (keys, ids) in fresh.items():
             k, i = np.concatenate([self.keys.get(n, np.zeros(0, np.int64)), np.array(keys, np.int64)]), np.concatenate([self.ids.get(n, np.zeros(0, np.int64)), np.array(ids, np.int64)])
             order = np.argsort(k)
             self.keys[n], self.ids[n] = k[order], i[order]
+        return len(self.texts) - before
 
     def for_scans(self) -> dict:
-        return {"words": self.words, "reached": {n: np.array(r, np.int64) for n, r in self.reached.items()}, "keys": self.keys, "ids": self.ids}
+        return {"words": self.words, "reached": np.array(self.reached, np.int32), "keys": self.keys, "ids": self.ids}
 
 
 class Tally:
@@ -108,17 +126,16 @@ class Tally:
         return out
 
 
-def count_pairs(ids: np.ndarray, known: dict, tallies: dict[int, Tally], scan: int, shards: int, longest: int) -> None:
+def count_pairs(ids: np.ndarray, known: dict, tally: Tally, scan: int, shards: int, longest: int) -> None:
     """Adds the occurrences of active phrases of 2 words and more in a run of word ids, 0 where a phrase cannot go on."""
+    when = known["reached"]
     for n in range(2, longest + 1):
-        if n - 1 not in known["reached"]:
-            return
         at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
         if not len(at):
             return
-        first, rest, when = ids[at], ids[at + 1], known["reached"][n - 1]
+        first, rest = ids[at], ids[at + 1]
         key = (first << 32) | rest
-        tallies[n].add(key[scan <= np.maximum(when[first], when[rest]) + shards])
+        tally.add(key[scan <= np.maximum(when[first], when[rest]) + shards])
         if n == longest or n not in known["keys"]:
             return
         keys = known["keys"][n]
@@ -129,16 +146,17 @@ def count_pairs(ids: np.ndarray, known: dict, tallies: dict[int, Tally], scan: i
 
 
 def scan_known(shard: DataFrame, shared, scan: int, shards: int, longest: int, most_words: int = 300_000) -> DataFrame:
-    """COUNTS of one shard in parts: words in the first cycle, active phrases by key (their language is in the key)."""
-    def rows(n: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([""] * len(keys)), pa.array(np.full(len(keys), n, np.int32)), pa.array([""] * len(keys)), pa.array(keys), pa.array(counts)], schema=schema)
+    """COUNTS of one shard in parts: words in the first cycle, active phrases by key (their language is in the key), each with the scan it is active from."""
+    def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        when = shared.value["reached"]
+        since = (np.maximum(when[keys >> 32], when[keys & 0xFFFFFFFF]) + 1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([""] * len(keys)), pa.array([""] * len(keys)), pa.array(keys), pa.array(since), pa.array(counts)], schema=schema)
 
     def word_rows(lang: str, found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(np.ones(len(found), np.int32)), pa.array([w.decode() for w in found]), pa.array(np.zeros(len(found), np.int64)), pa.array(list(found.values()), pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array([w.decode() for w in found]), pa.array(np.zeros(len(found), np.int64)), pa.array(np.zeros(len(found), np.int32)), pa.array(list(found.values()), pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found = shared.value, {}
-        tallies = {n: Tally() for n in range(2, longest + 1)}
+        known, found, tally = shared.value, {}, Tally()
         for batch in batches:
             for part in slices(batch, "text"):
                 by_lang: dict[str, list[bytes]] = {}
@@ -154,19 +172,17 @@ def scan_known(shard: DataFrame, shared, scan: int, shards: int, longest: int, m
                             yield word_rows(lang, found.pop(lang))
                     ids = known["words"].get(lang)
                     if ids:
-                        count_pairs(np.fromiter(map(ids.get, tokens, itertools.repeat(0)), np.int64, len(tokens)), known, tallies, scan, shards, longest)
-                for n, tally in tallies.items():
-                    if tally.held > tally.most:
-                        yield rows(n, *tally.take())
+                        count_pairs(np.fromiter(map(ids.get, tokens, itertools.repeat(0)), np.int64, len(tokens)), known, tally, scan, shards, longest)
+                if tally.held > tally.most:
+                    yield rows(*tally.take())
         for lang, mine in found.items():
             if mine:
                 yield word_rows(lang, mine)
-        for n, tally in tallies.items():
-            keys, counts = tally.take()
-            if len(keys):
-                yield rows(n, keys, counts)
+        keys, counts = tally.take()
+        if len(keys):
+            yield rows(keys, counts)
 
-    schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("key", pa.int64()), ("f", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("key", pa.int64()), ("since", pa.int32()), ("f", pa.int64())])
     return shard.mapInArrow(run, COUNTS)
 
 
@@ -176,23 +192,22 @@ def _grams(n: int):
     return F.when(F.size("w") >= n, each).otherwise(F.array().cast("array<struct<n:int,phrase:string>>"))
 
 
-def scan_joined(shard: DataFrame, totals: DataFrame | None, scan: int, shards: int, longest: int) -> DataFrame:
-    """The same by joins: n-grams of the shard, counted, of which those stay whose subphrases are in the table and that still lack the shard."""
+def scan_joined(shard: DataFrame, ready: DataFrame | None, scan: int, shards: int, longest: int) -> DataFrame:
+    """The same by joins: n-grams of the shard, counted, of which those stay whose subphrases are in `ready` (lang, phrase, reached) and that still lack the shard."""
     pieces = shard.select("lang", F.explode(F.split(ascii_lower(F.col("text")), r"[.,;:!?\x0A-\x0D]")).alias("piece")).select("lang", F.expr(r"regexp_extract_all(piece, '[^ \\t]+', 0)").alias("w")).filter("size(w) > 0")
-    lengths = [1] * (scan < shards) + list(range(2, longest + 1)) * (totals is not None)
-    grams = [_grams(n) for n in lengths]
-    if not grams:
+    lengths = [1] * (scan < shards) + list(range(2, longest + 1)) * (ready is not None)
+    if not lengths:
         return shard.sparkSession.createDataFrame([], COUNTS)
-    counts = pieces.select("lang", F.explode(F.concat(*grams)).alias("g")).groupBy("lang", "g.n", "g.phrase").agg(F.count("*").alias("f"))
-    if totals is not None:
-        ready = totals.filter("reached is not null").select("lang", "phrase", "reached")
+    counts = pieces.select("lang", F.explode(F.concat(*[_grams(n) for n in lengths])).alias("g")).groupBy("lang", "g.n", "g.phrase").agg(F.count("*").alias("f"))
+    found = counts.filter("n = 1").select("lang", "phrase", F.lit(0).alias("since"), "f")
+    if ready is not None:
         cut_off = lambda last: F.array_join(F.slice(F.split("phrase", " "), F.lit(1) if last else F.lit(2), F.col("n") - 1), " ")
         longer = counts.filter("n > 1").select("*", cut_off(True).alias("head"), cut_off(False).alias("tail"))
         for side in ("head", "tail"):
             longer = join_hot(longer, ready.select("lang", F.col("phrase").alias(side), F.col("reached").alias(f"{side}_reached")), ["lang", side]).filter(F.col(f"{side}_reached").isNotNull())
-        longer = longer.filter(F.greatest("head_reached", "tail_reached") + shards >= scan)
-        counts = counts.filter("n = 1").unionByName(longer.select(*counts.columns))
-    return counts.select("lang", "n", "phrase", F.lit(0).cast("long").alias("key"), "f")
+        since = F.greatest("head_reached", "tail_reached") + 1
+        found = found.unionByName(longer.filter(since + shards > scan).select("lang", "phrase", since.alias("since"), "f"))
+    return found.select("lang", "phrase", F.lit(0).cast("long").alias("key"), "since", "f")
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, most_known: int = 1_000_000, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -206,44 +221,51 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
 
 def _cycle(spark: SparkSession, path: str, least: int, longest: int, shards: int, most_known: int | None) -> tuple[DataFrame, DataFrame] | None:
     """Scans until all counts are whole; without most_known by joins. None if more phrases than most_known would have to be broadcast."""
-    known, totals, all_words, last = Known(), None, None, -1
+    known, ready, last = Known(), None, -1
+    tables: list[DataFrame] = []
+    whole: list[DataFrame] = []
+    totals: list[DataFrame] = []
     for scan in itertools.count():
         shard = spark.read.schema("lang string, text string, shard int").parquet(path).filter(F.col("shard") == scan % shards).drop("shard")
         if most_known is None:
-            found = scan_joined(shard, totals, scan, shards, longest)
+            found = scan_joined(shard, ready, scan, shards, longest)
         else:
             found = scan_known(shard, spark.sparkContext.broadcast(known.for_scans()), scan, shards, longest)
-        found = found.withColumn("reached", F.lit(None).cast("int"))
-        sums = (found if totals is None else totals.unionByName(found)).groupBy("lang", "n", "phrase", "key").agg(F.sum("f").alias("f"), F.min("reached").alias("reached"))
-        totals = cut(sums.withColumn("reached", F.coalesce("reached", F.when(F.col("f") >= least, F.lit(scan)))))
-        if scan == shards - 1:
-            all_words = cut(totals.filter("n = 1").groupBy("lang").agg(F.sum("f").alias("n")))
-        if scan >= shards - 1:  # words are whole: those of fewer occurrences can lead to nothing
-            totals = totals.filter(f"n > 1 or f >= {least}")
-        fresh = totals.filter((F.col("reached") == scan) & (F.col("n") < longest))
+        tables.append(cut(found.groupBy(*KEY).agg(F.max("since").alias("since"), F.sum("f").alias("f"))))
+        if scan < shards:
+            totals.append(cut(tables[-1].filter("since = 0").groupBy("lang").agg(F.sum("f").alias("n"))))
+        cycle = reduce(DataFrame.unionByName, tables[-shards:]).filter(F.col("since") > scan - shards)
+        heavy = bounded(cut(cycle.filter(F.col("f") * shards >= least).select(*KEY).distinct()), 2_000_000)
+        sums = cut(cycle.join(heavy, KEY, "left_semi").groupBy(*KEY).agg(F.max("since").alias("since"), F.sum("f").alias("f")).filter(F.col("f") >= least))
+        whole.append(sums.filter(F.col("since") + shards - 1 == scan))
+        if len(tables) >= shards:
+            free(tables[-shards])  # no later cycle begins before the next table
         if most_known is None:
-            last = scan if not fresh.isEmpty() else last
+            short = sums.filter(F.size(F.split("phrase", " ")) < longest).select("lang", "phrase", F.lit(scan).alias("reached"))
+            new = short if ready is None else short.join(ready, ["lang", "phrase"], "left_anti")
+            fresh = not new.isEmpty()
+            ready = cut(new if ready is None else ready.unionByName(new))
         else:
-            if known.size + fresh.count() > most_known:
+            if sums.count() + len(known.texts) > most_known:
                 return None
-            got = fresh.select("n", "lang", "phrase", "key").collect()
-            known.add(got, scan)
-            last = scan if got else last
+            fresh = known.add(sums.select("lang", "phrase", "key").collect(), scan, longest)
+        last = scan if fresh else last
         if scan >= shards - 1 and scan >= last + shards:
             break
-    often = totals.filter(F.col("f") >= least)
+    often = reduce(DataFrame.unionByName, whole)
+    all_words = reduce(DataFrame.unionByName, totals).groupBy("lang").agg(F.sum("n").alias("n"))
     if most_known is None:
-        return often.select("lang", "n", "phrase", "f"), all_words
+        return often.select("lang", F.size(F.split("phrase", " ")).alias("n"), "phrase", "f"), all_words
     shared = spark.sparkContext.broadcast(known)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
-            texts = [shared.value.phrase(k, key) for k, key in zip(n, keys, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in texts], pa.string()), b.column(0), pa.array([x[1] for x in texts], pa.string()), b.column(2)], ["lang", "n", "phrase", "f"])
+            keys = b.column(0).to_pylist()
+            texts = [shared.value.phrase(k) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in texts], pa.string()), pa.array([shared.value.size(k) for k in keys], pa.int32()), pa.array([x[1] for x in texts], pa.string()), b.column(1)], ["lang", "n", "phrase", "f"])
 
-    spelled = often.filter("n > 1").select("n", "key", "f").mapInArrow(spell, "lang string, n int, phrase string, f long")
-    return often.filter("n = 1").select("lang", "n", "phrase", "f").unionByName(spelled), all_words
+    spelled = often.filter("key > 0").select("key", "f").mapInArrow(spell, "lang string, n int, phrase string, f long")
+    return often.filter("key = 0").select("lang", F.lit(1).alias("n"), "phrase", "f").unionByName(spelled), all_words
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:

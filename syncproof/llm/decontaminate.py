@@ -7,7 +7,8 @@ The set is only ever broadcast in blocks of at most `block_words` benchmark word
 larger benchmark is scanned block by block over the whole corpus, each block's hits being merged into those before.
 
 Defined cases: a null or wordless text has no words and no hits; items that are null, wordless or without id give no
-windows; repeated items count once, repeated documents each get their own row; extra columns stay as they are.
+windows; repeated items count once, repeated documents each get their own row; extra columns stay as they are, whatever their
+names. Texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -116,21 +117,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, bl
     parts = cut(item_words(benchmark, size, max(1, block_words // 8)))
     total = parts.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, -(-total * 5 // (4 * block_words)))
-    out = None
+    out, before = None, "_hits_of_blocks_before"
+    while before in {c.lower() for c in docs.columns}:
+        before += "_"
     for b in range(blocks):
         block = parts.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b) if blocks > 1 else parts
         known = spark.sparkContext.broadcast(WindowSet([(r.item_id, r.words) for r in block.select("item_id", "words").toLocalIterator()], size))
-        one = map_documents(docs if out is None else out.select("doc.*", F.struct("n_words", "spans", "items").alias(_BEFORE)), lambda known=known: _scanner(known.value), HIT_FIELDS, text)
+        one = map_documents(docs if out is None else out.select("doc.*", F.struct("n_words", "spans", "items").alias(before)), lambda known=known: _scanner(known.value), HIT_FIELDS, text)
         if out is not None:
-            both = F.concat(F.col(f"doc.{_BEFORE}.spans"), F.col("spans"))
-            one = one.select(F.struct(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns]).alias("doc"), "n_words", merged(both).alias("spans"), F.array_sort(F.array_union(f"doc.{_BEFORE}.items", "items")).alias("items"))
+            both = F.concat(F.col(f"doc.{before}.spans"), F.col("spans"))
+            one = one.select(F.struct(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns]).alias("doc"), "n_words", merged(both).alias("spans"), F.array_sort(F.array_union(f"doc.{before}.items", "items")).alias("items"))
         out = cut(one) if blocks > 1 else one
     return out
 
 
-_BEFORE = "_hits_of_blocks_before"
-
-
 def merged(spans):
     """The union of spans, as Columns."""
     def step(acc, x):

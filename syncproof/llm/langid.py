@@ -6,11 +6,14 @@ in which the recurrent state starts anew, so that any length is worked in bounde
 many documents advance together, one byte at a time, as one matrix.
 
 Training is backpropagation through time over such windows with Adam, on the driver, over a bounded sample: of each
-language at most `per_language` documents (those of the smallest hash) and of each of these `train_windows` windows
-spread over the whole text. Nothing but text is ever an input of a prediction.
+language at most `per_language` different documents (those of the smallest hash of id and text, one at least) and of each of these
+`train_windows` windows spread over the whole text. Spark cuts the windows, so that no more than they come to the driver: 46 MB
+at the default bounds, whatever the documents are. Nothing but text is ever an input of a prediction.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; ties go to the language first in order; with
-no training rows at all every document is `und`. Repeated rows are judged alike; extra columns are kept in `doc`.
+no training rows at all every document is `und`. Repeated rows are judged alike and learned from once; a null id is not held out,
+and documents of one id or of none are drawn one by one, by their texts. Texts of any length are read whole by predictions, in
+windows, and learned from by windows spread over them. Extra columns are kept in `doc`.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,17 +134,13 @@ def windows(text: bytes, width: int) -> np.ndarray:
     return np.frombuffer(text + b" " * (n * width - len(text)), np.uint8).reshape(n, width)
 
 
-def train(texts: list[bytes], labels: list[str], hidden: int = 8, width: int = WINDOW, train_windows: int = 6, steps: int = 250, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Network | None:
-    languages = sorted(set(labels))
+def train(samples: list[tuple[str, list[bytes]]], hidden: int = 8, width: int = WINDOW, steps: int = 250, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Network | None:
+    """A network fitted to (language, windows of one document); short windows are filled up with spaces."""
+    languages = sorted({lang for lang, _ in samples})
     if not languages:
         return None
-    rows, of = [], []
-    for text, label in zip(texts, labels, strict=True):
-        w = windows(text, width)
-        for i in np.unique(np.linspace(0, len(w) - 1, train_windows).astype(int)):
-            rows.append(w[i])
-            of.append(languages.index(label))
-    codes, label = np.array(rows), np.array(of)
+    label = np.array([languages.index(lang) for lang, ws in samples for _ in ws])
+    codes = np.array([np.frombuffer(bytes(w).ljust(width), np.uint8) for _, ws in samples for w in ws])
     net, rng = Network.fresh(languages, hidden, seed), np.random.default_rng(seed)
     by_language = [np.flatnonzero(label == k) for k in range(len(languages))]
     first, second = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
@@ -193,31 +192,32 @@ def labeller(net: Network | None, width: int = WINDOW, block: int = 2048):
     return run
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, most_documents: int = 80_000, most_chars: int = 20_000, total_chars: int = 200_000_000, **settings) -> Network | None:
-    """Trains on documents that are not held out and have a language, a text and a letter in it.
+def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, most_documents: int = 80_000, train_windows: int = 6, width: int = WINDOW) -> DataFrame:
+    """(lang, draw, windows): of each language the documents of the smallest draws, a hash of id and text, and windows of their bytes.
 
-    Every language is learned. The sample is bounded: per_language documents of each, fewer of each where that would be over most_documents, and of long
-    texts evenly spread pieces, up to most_chars each and total_chars in all.
+    Only documents that are not held out and have a language, a text and a letter in it. Documents are first told apart and counted by draw alone;
+    where one language's shares of most_documents are under one document, it still has one.
     """
-    rows = docs.filter(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.lit(7)).alias("draw"), F.col(text).alias("text"))
-    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
-    languages = counts.count()
-    if not languages:
-        return None
-    per_language = max(1, min(per_language, most_documents // languages))
-    most_chars = min(most_chars, max(200, total_chars // (per_language * languages)))
-    shares = bounded(counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), 1.2 * per_language / F.col("n")).alias("share")), most_documents)
-    long = F.length("text") > most_chars
-    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.substr(F.col("text"), (i * (F.length("text") / 20)).cast("int") + 1, F.lit(most_chars // 20))), "")
-    drawn = rows.join(shares, F.col("lang") == F.col("_lang")).filter((F.pmod("draw", F.lit(1 << 30)) / (1 << 30)) < F.col("share")).select("lang", "draw", F.when(long, spread).otherwise(F.col("text")).alias("text"))
-    taken: dict[str, int] = {}
-    texts, labels = [], []
-    for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.draw, r.text)):
-        if taken.setdefault(r.lang, 0) < per_language:
-            taken[r.lang] += 1
-            texts.append(r.text.encode())
-            labels.append(r.lang)
-    return train(texts, labels, **settings)
+    rows = docs.filter(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(F.lit(7), F.col(doc_id).cast("string"), F.col(text)).alias("draw"), F.col(text).alias("text"))
+    draws = cut(rows.select("lang", "draw").distinct())
+    counts = cut(draws.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")))
+    per_language = max(1, min(per_language, most_documents // max(1, counts.count())))
+    # draws fall evenly on the longs: those under a share of their span are few more than wanted, and are ranked
+    span = F.lit(-float(1 << 63)) + F.lit(float(1 << 64)) * F.least(F.lit(1.0), F.lit(1.2 * per_language + 20) / F.col("n"))
+    near = draws.join(bounded(counts.withColumnRenamed("lang", "_lang"), most_documents), F.col("lang") == F.col("_lang")).filter((F.col("draw") <= span) | (F.col("draw") == F.col("least")))
+    drawn = near.withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).filter(F.col("_at") <= per_language).select(F.col("lang").alias("_lang"), F.col("draw").alias("_draw"))
+    chosen = rows.join(F.broadcast(drawn), (F.col("lang") == F.col("_lang")) & (F.col("draw") == F.col("_draw")))
+    raw = F.encode("text", "UTF-8")
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / width)).cast("long")
+    at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(train_windows - 1)), lambda i: F.floor(i * (n - 1) / max(1, train_windows - 1)).cast("long")))
+    cut_out = F.transform(at, lambda k: F.substr(raw, (k * width + 1).cast("int"), F.lit(width)))
+    return chosen.select("lang", "draw", cut_out.alias("windows")).dropDuplicates(["lang", "draw"])
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, most_documents: int = 80_000, train_windows: int = 6, width: int = WINDOW, **settings) -> Network | None:
+    """Trains on sample(). Every language is learned."""
+    rows = sample(docs, doc_id, text, lang, per_language, most_documents, train_windows, width).collect()
+    return train([(r.lang, r.windows) for r in sorted(rows, key=lambda r: (r.lang, r.draw))], width=width, **settings)
 
 
 def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:

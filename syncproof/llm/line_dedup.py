@@ -6,9 +6,8 @@ of which every pair across components is tried (see linking). The exact Jaccard
 the texts, and verified links are joined to components by distributed union-find. A component keeps its first line by
 (doc_id, line number).
 
-All lines that are not blank are compared; lines shorter than a shingle are near no other, so they meet by their hash alone.
-drop_lines() leaves lines shorter than `min_chars` (normalised) alone unless told otherwise; the query and the pipeline
-give it as 1.
+All lines that are not blank are compared; lines shorter than a shingle (`shingle`, a parameter, 8 characters) are near no other, so they meet by
+their hash alone. `min_chars`, 1 unless told otherwise, leaves shorter lines (normalised) alone.
 
 Defined cases: a null text stays null and has no lines; null doc_ids come last; rows repeated with id and text are one
 document, whose lines stay or go in all copies; equal ids of unlike texts are ordered by a hash of the text; texts and lines
@@ -163,7 +162,7 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
-def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 24, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs with the repeated lines taken out of the texts; all rows and columns stay."""
     gone = cut(dropped_lines(docs, doc_id, text, max_broadcast_rows, min_chars).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"), "dropped"))
     if (gone.agg(F.sum(F.size("dropped"))).first()[0] or 0) <= max_broadcast_rows:  # then the texts stay where they are

@@ -65,3 +65,14 @@ def test_query(spark, sf):
     want = {d: (n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), h > 0) for d, n, h, i in brute([tuple(r) for r in docs], [(r.item_id, r.text) for r in items])}
     rows = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in D.query(spark, sf).collect()}
     assert rows == want and any(r[4] for r in rows.values())
+
+
+def test_clashing_names_in_many_blocks(spark, edges):
+    """A document column of the name that hits of earlier blocks are carried under."""
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = edges.selectExpr("*", "1 as _hits_of_blocks_before", "2 as _found", "3 as gone_id")
+    some = D.find_contamination(docs, items, block_words=8)
+    assert some.select("doc.*").columns == docs.columns
+    found = lambda df: sorted((str(r.doc.doc_id), r.n_words, r["items"]) for r in df.collect())
+    assert found(some) == found(D.find_contamination(docs, items))
+    assert D.drop_contaminated(docs, items).columns == docs.columns
