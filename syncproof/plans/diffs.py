@@ -66,6 +66,30 @@ def verify(t):
     return diff.verify_stream(both(t))
 
 
+#: lineitem by order, whose ids repeat, against a copy with rows doubled, dropped and changed.
+_REPEATS = """with s as (select l_orderkey k, cast(l_quantity as bigint) q, l_returnflag f from {lineitem}),
+d as (select k, q, f from s where k % 7 <> 0 union all select k, q, f from s where k % 11 = 0 union all select k, q + 1, f from s where k % 7 = 0 and q % 3 <> 0 union all select k, 0, 'X' from s where k % 13 = 0),
+x as (select k, count(*) n from (select * from s except all select * from d) group by k), y as (select k, count(*) n from (select * from d except all select * from s) group by k),
+b as (select coalesce(x.k, y.k) k, coalesce(x.n, 0) a, coalesce(y.n, 0) b from x full join y on x.k = y.k)
+"""
+
+
+def repeats(t):
+    s = t("lineitem").selectExpr("l_orderkey k", "cast(l_quantity as bigint) q", "l_returnflag f")
+    d = s.filter("k % 7 <> 0").unionAll(s.filter("k % 11 = 0")).unionAll(s.filter("k % 7 = 0 and q % 3 <> 0").selectExpr("k", "q + 1", "f")).unionAll(s.filter("k % 13 = 0").selectExpr("k", "cast(0 as bigint)", "'X'"))
+    return s, d
+
+
+@R.query("verify_repeats", _REPEATS + """select count(*) = 0 as "match", (select count(*) from s) source_rows, (select count(*) from d) dest_rows, cast(sum(a - least(a, b)) as bigint) missing_in_destination, cast(sum(b - least(a, b)) as bigint) missing_in_source, cast(sum(least(a, b)) as bigint) changed from b""")
+def _(t):
+    return diff.verify_stream(diff.compared(*repeats(t), ["k"])).drop("source_checksum", "dest_checksum")
+
+
+@R.query("diff_repeats", _REPEATS + """select k, 'changed' kind, least(a, b) n from b where least(a, b) > 0 union all select k, 'missing_in_destination', a - least(a, b) from b where a > b union all select k, 'missing_in_source', b - least(a, b) from b where b > a""")
+def _(t):
+    return diff.diff_rows(diff.compared(*repeats(t), ["k"])).select("key.k", "kind", "n")
+
+
 @R.query("diff_rows", _BOTH + "select id, kind, k as o_orderkey from b where kind <> 'same'")
 def _(t):
     return diff.diff_rows(both(t)).select("id", "kind", F.col("key.o_orderkey").alias("o_orderkey"))

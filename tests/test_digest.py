@@ -109,3 +109,32 @@ def test_ranges_follow_bisection(spark):
 def test_row_hash_methods_differ(rows):
     a, b = (rows.select(row_hash(rows, method=m).alias("h")).agg(F.sum(F.col("h").cast("decimal(38,0)"))).first()[0] for m in ("xxhash64", "md5"))
     assert a != b
+
+
+@pytest.mark.parametrize("source, dest, want", [
+    ([(1, "x")], [(1, "x"), (1, "x")], (False, 1, 2, 0, 1, 0)),
+    ([(1, "x"), (1, "y"), (2, "z")], [(1, "x"), (1, "y"), (2, "z")], (True, 3, 3, 0, 0, 0)),
+    ([(1, "x"), (1, "x"), (1, "y")], [(1, "x"), (1, "z")], (False, 3, 2, 1, 0, 1)),
+    ([(None, "x"), (None, "x")], [(None, "x")], (False, 2, 1, 1, 0, 0)),
+    ([], [(1, "x")], (False, 0, 1, 0, 1, 0)),
+])
+def test_repeated_ids_count_as_multisets(spark, source, dest, want):
+    s, d = (spark.createDataFrame(rows, "id long, v string") for rows in (source, dest))
+    r = diff.verify_stream(diff.compared(s, d, ["id"])).first()
+    assert (r.match, r.source_rows, r.dest_rows, r.missing_in_destination, r.missing_in_source, r.changed) == want
+    assert (r.source_checksum, r.dest_checksum) == (sums(s)[1], sums(d)[1])
+    listed = lambda df: sorted((x.kind, x.n, x.key.id) for x in df.collect())
+    assert listed(diff.diff_rows(diff.compared(s, d, ["id"]))) == listed(diff.diff_by_prefix(s, d, ["id"]))
+    assert {x.column: x.n for x in diff.diff_columns(s, d, ["id"]).collect()} == ({"v": want[5]} if want[5] else {})
+
+
+def test_every_combination_of_counts(spark):
+    """Copies of two rows of one id, from none to two, on both sides, against EXCEPT ALL."""
+    import itertools
+
+    for a, b, c, e in itertools.product((0, 2), (0, 1), (1, 2), (0, 2)):
+        s = spark.createDataFrame([(1, "x")] * a + [(1, "y")] * b, "id long, v string")
+        d = spark.createDataFrame([(1, "x")] * c + [(1, "y")] * e, "id long, v string")
+        more, less = s.exceptAll(d).count(), d.exceptAll(s).count()
+        r = diff.verify_stream(diff.compared(s, d, ["id"])).first()
+        assert (r.changed, r.missing_in_destination, r.missing_in_source) == (min(more, less), max(more - less, 0), max(less - more, 0))
