@@ -11,71 +11,76 @@ from pyspark.sql import types as T
 #: Native type names by source and the lake types that they become (fixed values). Names not listed are strings.
 EXACT = {
     "postgres": {
-        "bool": "boolean bool",
-        "int32": "smallint int2 integer int int4 smallserial serial",
-        "int64": "bigint int8 bigserial",
-        "float32": "real float4",
-        "float64": "double_precision float8",
-        "decimal": "numeric decimal money",
-        "date": "date",
-        "timestamp": "timestamp_without_time_zone timestamp_with_time_zone timestamp timestamptz",
-        "json": "json jsonb",
-        "binary": "bytea",
+        "bool": ["boolean", "bool"],
+        "int32": ["smallint", "int2", "integer", "int", "int4", "smallserial", "serial"],
+        "int64": ["bigint", "int8", "bigserial"],
+        "float32": ["real", "float4"],
+        "float64": ["double precision", "float8"],
+        "decimal": ["numeric", "decimal", "money"],
+        "date": ["date"],
+        "timestamp": ["timestamp without time zone", "timestamp with time zone", "timestamp", "timestamptz"],
+        "json": ["json", "jsonb"],
+        "binary": ["bytea"],
     },
     "mysql": {
-        "int32": "tinyint smallint mediumint int integer year",
-        "int64": "bigint",
-        "bool": "bit bool boolean",
-        "decimal": "decimal numeric dec fixed",
-        "float32": "float",
-        "float64": "double double_precision real",
-        "date": "date",
-        "timestamp": "datetime timestamp",
-        "json": "json",
-        "binary": "binary varbinary blob tinyblob mediumblob longblob",
+        "int32": ["tinyint", "smallint", "mediumint", "int", "integer", "year"],
+        "int64": ["bigint"],
+        "bool": ["bit", "bool", "boolean"],
+        "decimal": ["decimal", "numeric", "dec", "fixed"],
+        "float32": ["float"],
+        "float64": ["double", "double precision", "real"],
+        "date": ["date"],
+        "timestamp": ["datetime", "timestamp"],
+        "json": ["json"],
+        "binary": ["binary", "varbinary", "blob", "tinyblob", "mediumblob", "longblob"],
     },
     "mssql": {
-        "int32": "tinyint smallint int",
-        "int64": "bigint",
-        "bool": "bit",
-        "decimal": "decimal numeric money smallmoney",
-        "float32": "real",
-        "float64": "float",
-        "date": "date",
-        "timestamp": "datetime datetime2 smalldatetime datetimeoffset time",
-        "binary": "binary varbinary image rowversion timestamp",
+        "int32": ["tinyint", "smallint", "int"],
+        "int64": ["bigint"],
+        "bool": ["bit"],
+        "decimal": ["decimal", "numeric", "money", "smallmoney"],
+        "float32": ["real"],
+        "float64": ["float"],
+        "date": ["date"],
+        "timestamp": ["datetime", "datetime2", "smalldatetime", "datetimeoffset", "time"],
+        "binary": ["binary", "varbinary", "image", "rowversion", "timestamp"],
     },
     "cassandra": {
-        "int32": "tinyint smallint int",
-        "int64": "bigint counter varint",
-        "bool": "boolean",
-        "float32": "float",
-        "float64": "double",
-        "decimal": "decimal",
-        "date": "date",
-        "timestamp": "timestamp time",
-        "binary": "blob",
+        "int32": ["tinyint", "smallint", "int"],
+        "int64": ["bigint", "counter", "varint"],
+        "bool": ["boolean"],
+        "float32": ["float"],
+        "float64": ["double"],
+        "decimal": ["decimal"],
+        "date": ["date"],
+        "timestamp": ["timestamp", "time"],
+        "binary": ["blob"],
     },
     "elasticsearch": {
-        "int32": "byte short integer",
-        "int64": "long unsigned_long",
-        "float32": "float half_float",
-        "float64": "double scaled_float",
-        "bool": "boolean",
-        "timestamp": "date date_nanos",
-        "json": "object nested flattened",
+        "int32": ["byte", "short", "integer"],
+        "int64": ["long", "unsigned_long"],
+        "float32": ["float", "half_float"],
+        "float64": ["double", "scaled_float"],
+        "bool": ["boolean"],
+        "timestamp": ["date", "date_nanos"],
+        "json": ["object", "nested", "flattened"],
     },
     "mongodb": {
-        "int32": "int",
-        "int64": "long",
-        "float64": "double",
-        "bool": "bool",
-        "timestamp": "date",
-        "decimal": "decimal",
-        "binary": "binData",
-        "json": "object array",
+        "int32": ["int"],
+        "int64": ["long"],
+        "float64": ["double"],
+        "bool": ["bool"],
+        "timestamp": ["date"],
+        "decimal": ["decimal"],
+        "binary": ["binData"],
+        "json": ["object", "array"],
+    },
+    "dynamodb": {
+        "decimal": ["N"],
+        "binary": ["B"],
+        "bool": ["BOOL"],
+        "json": ["M", "L", "SS", "NS", "BS"],
     },
-    "dynamodb": {"decimal": "N", "binary": "B", "bool": "BOOL", "json": "M L SS NS BS"},
 }
 #: Rules of sources whose types are told by a part of their name, in order (fixed values).
 CONTAINS_SQLITE = [("INT", "int64"), ("CHAR", "string"), ("CLOB", "string"), ("TEXT", "string"), ("BLOB", "binary"), ("REAL", "float64"), ("FLOA", "float64"), ("DOUB", "float64"), ("BOOL", "bool"), ("DECIMAL", "decimal"), ("NUMERIC", "decimal"), ("=DATE", "date"), ("TIMESTAMP", "timestamp"), ("DATETIME", "timestamp"), ("TIME", "timestamp"), ("JSON", "json")]
@@ -92,7 +97,7 @@ STORAGE = {"bool": "boolean", "int32": "int", "int64": "long", "float32": "float
 
 def type_names(spark: SparkSession) -> DataFrame:
     """(source, native, lake) of the sources whose type names are matched whole."""
-    rows = [(s, n.replace("_", " ") if s in ("postgres", "mysql") else n, lake) for s, kinds in EXACT.items() for lake, names in kinds.items() for n in names.split()]
+    rows = [(s, n, lake) for s, kinds in EXACT.items() for lake, names in kinds.items() for n in names]
     return spark.createDataFrame(rows, "source string, native string, lake string")
 
 
