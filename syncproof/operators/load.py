@@ -6,10 +6,12 @@ A load writes first and appends to its ledger last, so a run that dies is repeat
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from syncproof.operators.joins import asof_join, lexicographic
 from syncproof.operators.log import inject_metadata
 from syncproof.scratch import cut
 
@@ -24,30 +26,70 @@ def chunk_step(span: int, est_rows: int, target_mb: int | None = None, rows: int
     return span if est_rows <= target else max(1, span * target // est_rows)
 
 
-def chunk_plan(df: DataFrame, key: str, step: int = 50_000) -> DataFrame:
-    """(chunk_no, lo, hi): half-open key ranges. The first is open below the least key, the last open above; no rows: one open chunk."""
-    ends = df.agg(F.min(key).cast("long").alias("least"), F.max(key).cast("long").alias("most"))
-    starts = F.when(F.col("least").isNull(), F.array().cast("array<long>")).otherwise(F.sequence("least", "most", F.lit(step).cast("long")))
-    chunk = lambda lo, i: F.struct((i + 1).cast("long").alias("chunk_no"), lo.alias("lo"), F.when(i + 1 < F.size("starts"), lo + step).alias("hi"))
-    first = F.array(F.struct(F.lit(0).cast("long").alias("chunk_no"), F.lit(None).cast("long").alias("lo"), F.col("least").alias("hi")))
-    planned = ends.withColumn("starts", starts)
-    return planned.select(F.inline(F.concat(first, F.transform("starts", chunk))))
+def chunk_plan(df: DataFrame, key: str, step: int = 50_000, most: int = 100_000) -> DataFrame:
+    """(chunk_no, lo, hi): half-open key ranges. The first is open below the least key, the last open above; no rows: one open chunk.
 
-
-def chunk_of(plan: DataFrame, key: str) -> Column:
-    """The number of the chunk that a key falls in, by arithmetic; NULL for a NULL key. The plan gives three numbers: first key, width and last chunk."""
-    at = plan.agg(F.max(F.when(F.col("chunk_no") == 0, F.col("hi"))).alias("least"), F.max(F.when(F.col("chunk_no") == 1, F.col("hi") - F.col("lo"))).alias("step"), F.max("chunk_no").alias("last")).first()
-    k = F.col(f"`{key}`").cast("long")
-    if at.least is None:  # a plan without keys: one open chunk
-        return F.when(k.isNotNull(), F.lit(0).cast("long"))
-    inside = F.lit(1).cast("long") if at.step is None else F.floor((k - at.least) / F.lit(at.step)).cast("long") + 1
-    return F.when(k < at.least, F.lit(0).cast("long")).when(k.isNotNull(), F.least(inside, F.lit(at.last).cast("long")))
+    Keys so sparse that ranges of `step` keys would be over `most` are cut at equal numbers of rows instead, about `step` each.
+    """
+    spark = df.sparkSession
+    ends = df.agg(F.min(key).cast("long").alias("least"), F.max(key).cast("long").alias("most")).first()
+    if ends.least is None:
+        return spark.createDataFrame([(0, None, None)], PLAN)
+    n = (ends.most - ends.least) // step + 1
+    if n > most:
+        bounds = equi_depth(df, [key], step).filter("chunk_no >= 0")
+        return bounds.select("chunk_no", F.col(f"lo.`{key}`").cast("long").alias("lo"), F.col(f"hi.`{key}`").cast("long").alias("hi"))
+    wide = lambda c: c.cast("decimal(20,0)")
+    lo = lambda i: (wide(F.lit(ends.least)) + wide(i) * wide(F.lit(step))).cast("long")
+    i = F.col("id")
+    return spark.range(n + 1).select(i.alias("chunk_no"), F.when(i > 0, lo(i - 1)).alias("lo"), F.when(i == 0, F.lit(ends.least)).when(i < n, lo(F.least(i, F.lit(n - 1)))).alias("hi"))
+
+
+def equi_depth(df: DataFrame, keys: Sequence[str], rows: int, fine: int = 8) -> DataFrame:
+    """(chunk_no, lo, hi, n_rows): key ranges of about `rows` rows for keys of any sortable types, one or several; lo and hi are structs of the keys.
+
+    The keys are dealt into `fine` times as many ranges as chunks are wanted, by Spark's own sample of them, and ranges that follow each other
+    are put together: a chunk has at most `rows` rows but for its last range. The first chunk is open below, the last one above. Chunk -1 holds the rows of
+    which any key is null, without bounds. One row a chunk comes of it; equal keys are never parted.
+    """
+    named = df.select(*[F.col(f"`{k}`") for k in keys])
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(f"`{k}`").isNotNull()
+    total = named.count()
+    parts = max(1, min(100_000, -(-total // rows) * fine))
+    dealt = named.filter(whole).repartitionByRange(parts, *[F.col(f"`{k}`") for k in keys]).select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("k"), F.spark_partition_id().alias("p"))
+    ranges = cut(dealt.groupBy("p").agg(F.min("k").alias("lo"), F.count("*").alias("n")))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = ranges.withColumn("c", F.floor(before / rows)).groupBy("c").agg(F.min("lo").alias("lo"), F.sum("n").alias("n_rows"))
+    order = Window.orderBy("c")
+    kind = ranges.schema["lo"].dataType
+    bounded = chunks.select((F.row_number().over(order) - 1).cast("long").alias("chunk_no"), F.when(F.row_number().over(order) > 1, F.col("lo")).alias("lo"), F.lead("lo").over(order).alias("hi"), "n_rows")
+    none = F.lit(None).cast(kind)
+    nulls = named.filter(~whole).agg(F.count("*").alias("n_rows")).filter("n_rows > 0")
+    return bounded.unionByName(nulls.select(F.lit(-1).cast("long").alias("chunk_no"), none.alias("lo"), none.alias("hi"), "n_rows"))
+
+
+def chunk_rows(df: DataFrame, chunk: Row) -> DataFrame:
+    """The rows of one chunk of equi_depth(), by predicates that reach the scan."""
+    keys = list(chunk.lo.__fields__) if chunk.lo is not None else list(chunk.hi.__fields__) if chunk.hi is not None else []
+    if chunk.chunk_no < 0:
+        raise ValueError("rows of null keys have no bounds: filter for them")
+    cols = [F.col(f"`{k}`") for k in keys]
+    for bound, at_least in ((chunk.lo, True), (chunk.hi, False)):
+        if bound is not None:
+            df = df.filter(lexicographic(cols, [F.lit(v) for v in bound], at_least))
+    for c in cols:
+        df = df.filter(c.isNotNull())
+    return df
 
 
 def chunk_assign(df: DataFrame, plan: DataFrame, key: str) -> DataFrame:
-    """(chunk_no, n_rows): rows in each chunk, chunks without any too."""
-    counts = df.groupBy(chunk_of(plan, key).alias("chunk_no")).agg(F.count("*").alias("n"))
-    return plan.join(counts, "chunk_no", "left").select("chunk_no", F.coalesce("n", F.lit(0)).alias("n_rows"))
+    """(chunk_no, n_rows): rows in each chunk, chunks without any too. Rows are counted by key first and meet the chunk that begins last before them."""
+    counts = df.filter(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").cast("long").alias("k")).agg(F.count("*").alias("n"))
+    starts = plan.select("chunk_no", F.coalesce("lo", F.lit(-(1 << 63))).alias("start"))
+    sums = asof_join(counts, starts, "k", "start").groupBy("chunk_no").agg(F.sum("n").alias("n"))
+    return plan.join(sums, "chunk_no", "left").select("chunk_no", F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
 def chunk_remaining(plan: DataFrame, done: DataFrame) -> DataFrame:
@@ -77,25 +119,77 @@ def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def full_load(source: DataFrame, key: str, path: str, ledger_path: str, ingested_at: Column, step: int = 50_000, keys: Sequence[str] | None = None, commits: int = 8) -> DataFrame:
-    """Writes the chunks that the ledger does not hold yet to path (op `r`), in about `commits` ranges that are each entered when
-    they are written; gives the chunks written.
+def full_load(source: DataFrame, key: str, path: str, ledger_path: str, ingested_at: Column, step: int = 50_000, keys: Sequence[str] | None = None, commits: int = 8, parallel: int = 4, target_mb: int | None = None) -> DataFrame:
+    """Writes the chunks that the ledger does not hold yet to path (op `r`), in about `commits` ranges, `parallel` at a time, that are each entered
+    when they are written; gives the chunks written. With target_mb a chunk's width follows from the rows there are. Rows of a null key are a range of their own.
 
-    A load that dies repeats its last range only; one that has finished reads no chunk when it is run again.
+    A range is written aside, and its files are moved to path under the numbers of its chunks. A load that dies, before, during or after that, removes
+    the files of chunks that were never entered when it is run again, so no row comes twice; one that has finished reads no chunk.
     """
     spark = source.sparkSession
-    plan_path = f"{ledger_path}/plan"
+    plan_path, done_path = f"{ledger_path}/plan", f"{ledger_path}/done"
     plan = read_ledger(spark, plan_path, PLAN)
     if plan.isEmpty():  # the plan is kept first: chunks stay the same when the source grows
+        if target_mb is not None:
+            s = source.agg(F.min(key).cast("long").alias("a"), F.max(key).cast("long").alias("z"), F.count("*").alias("n")).first()
+            step = chunk_step((s.z or 0) - (s.a or 0) + 1, s.n, target_mb)
         chunk_plan(source, key, step).coalesce(1).write.mode("append").parquet(plan_path)
         plan = read_ledger(spark, plan_path, PLAN)
-    left = cut(chunk_remaining(plan, read_ledger(spark, f"{ledger_path}/done", "chunk_no long")))
-    for r in chunk_runs(left, max(1, -(-left.count() // commits))).orderBy("first").collect():  # a row a range
-        inject_metadata(in_range(source, key, r.lo, r.hi), list(keys or [key]), "r", ingested_at).write.mode("append").parquet(path)
-        left.filter(F.col("chunk_no").between(r.first, r.last)).select("chunk_no").coalesce(1).write.mode("append").parquet(f"{ledger_path}/done")
+    done = read_ledger(spark, done_path, "chunk_no long")
+    left = cut(chunk_remaining(plan, done))
+    entered = {r.chunk_no for r in done.collect()}  # a number for each chunk, `most` of chunk_plan() at most
+    store = _Files(spark, path)
+    for name in store.names("chunks"):
+        if int(name.split("_")[1]) not in entered:
+            store.remove(name)
+    runs = [(r.first, r.last, in_range(source, key, r.lo, r.hi).filter(F.col(f"`{key}`").isNotNull())) for r in chunk_runs(left, max(1, -(-left.count() // commits))).collect()]  # a row a range
+    nulls = source.filter(F.col(f"`{key}`").isNull())
+    if NULLS not in entered and not nulls.isEmpty():
+        runs.append((NULLS, NULLS, nulls))
+
+    def write(run: tuple) -> tuple:
+        first, last, rows = run
+        inject_metadata(rows, list(keys or [key]), "r", ingested_at).write.mode("overwrite").parquet(f"{path}/_aside_{first}")
+        store.take_in(f"_aside_{first}", f"chunks_{first}_{last}_")
+        return first, last
+
+    chunks = left.select("chunk_no").unionByName(spark.range(NULLS, NULLS + 1).toDF("chunk_no"))
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        try:
+            for f in as_completed([pool.submit(write, run) for run in runs]):
+                chunks.filter(F.col("chunk_no").between(*f.result())).coalesce(1).write.mode("append").parquet(done_path)  # one writer at a time
+        except BaseException:
+            pool.shutdown(cancel_futures=True)
+            raise
     return left
 
 
+#: The number under which rows of null keys are entered.
+NULLS = -1
+
+
+class _Files:
+    """Files of a table's folder, through Hadoop's file system."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.root = path
+        self.fs = self.path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self, start: str, under: str = "") -> list[str]:
+        found = self.fs.globStatus(self.path(f"{self.root}/{under}{start}*"))
+        return [f.getPath().getName() for f in found or []]
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self.path(f"{self.root}/{name}"), True)
+
+    def take_in(self, folder: str, prefix: str) -> None:
+        for name in self.names("part-", f"{folder}/"):
+            if not self.fs.rename(self.path(f"{self.root}/{folder}/{name}"), self.path(f"{self.root}/{prefix}{name}")):
+                raise OSError(f"{name} could not be moved to {self.root}")
+        self.remove(folder)
+
+
 def load_verified(source: DataFrame, key: str, path: str, ledger_path: str, ingested_at: Column, columns: Sequence[str], **settings) -> DataFrame:
     """full_load(), then one row: rows and checksums of the source and of the re-read destination, and whether they match."""
     from syncproof.operators.digest import digest_compare, table_digest

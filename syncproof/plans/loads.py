@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from syncproof.operators import load, log
+from syncproof.operators import joins, load, log
 from syncproof.plans.fixtures import BASE, Registry
-from syncproof.scratch import new_path
+from syncproof.scratch import cut, new_path
 from syncproof.sources import connect, files, sinks
 
 R = Registry()
@@ -167,6 +167,38 @@ def _(t):
     return load.chunk_assign(t("orders"), load.chunk_plan(t("orders"), "o_orderkey", 500), "o_orderkey")
 
 
+@R.query("equi_depth", """select 'sparse' kind, count(*) n_rows, 0 too_large, 0 lost from {lineitem} union all select 'text', count(*), 0, 0 from {part} union all select 'pair', count(*), 0, 0 from {lineitem}""")
+def _(t):
+    """Chunks of a sparse long key with nulls, of a text key and of two columns: all rows, none over twice the target, each in one chunk."""
+    lines = t("lineitem").selectExpr("case when l_orderkey % 10 > 0 then l_orderkey * l_orderkey * 1000003 - l_partkey * 7 end k", "l_orderkey", "l_linenumber")
+    out = None
+    for kind, rows, keys in (("sparse", lines, ["k"]), ("text", t("part"), ["p_name"]), ("pair", lines, ["l_orderkey", "l_linenumber"])):
+        plan = cut(load.equi_depth(rows, keys, 500))
+        total = rows.count()
+        one = plan.filter("chunk_no >= 0").agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("whole"), F.count_if(F.col("n_rows") > 1000).cast("int").alias("too_large"))
+        nulls = plan.filter("chunk_no < 0").agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("nulls"))
+        found = one.join(nulls).select(F.lit(kind).alias("kind"), (F.col("whole") + F.col("nulls")).alias("n_rows"), "too_large", (F.lit(total) - F.col("whole") - F.col("nulls")).cast("int").alias("lost"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@R.query("asof_join", """with p as (select user_id, epoch_us(ts) paid_at, max(event_id) paid_by from {ev} where event_type = 'purchase' group by all), e as (select event_id, user_id, epoch_us(ts) as at from {ev} where event_type <> 'purchase')
+select e.event_id, e.user_id, p.paid_by, p.paid_at from e asof left join p on e.user_id = p.user_id and e.at >= p.paid_at""")
+def _(t):
+    ev = t("ev").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    paid = ev.filter("event_type = 'purchase'").groupBy("user_id", F.col("at").alias("paid_at")).agg(F.max("event_id").alias("paid_by"))
+    return joins.asof_join(ev.filter("event_type <> 'purchase'").select("event_id", "user_id", "at"), paid, "at", "paid_at", ["user_id"]).select("event_id", "user_id", "paid_by", "paid_at")
+
+
+@R.query("interval_join", """with i as (select event_id interval_id, user_id % 7 g, epoch_us(ts) lo, epoch_us(ts) + k * 60000000 hi from {ev} where event_type = 'error'), e as (select event_id, user_id % 7 g, epoch_us(ts) as at from {ev} where event_type = 'click')
+select i.interval_id, count(*) n, sum(e.event_id) ids from i join e on e.g = i.g and e.at >= i.lo and e.at < i.hi group by 1""")
+def _(t):
+    ev = t("ev").select("event_id", "event_type", "k", F.expr("user_id % 7").alias("g"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    spans = ev.filter("event_type = 'error'").select(F.col("event_id").alias("interval_id"), "g", F.col("at").alias("lo"), (F.col("at") + F.col("k") * 60_000_000).alias("hi"))
+    met = joins.interval_join(ev.filter("event_type = 'click'").select("event_id", "g", "at"), spans, "at", "lo", "hi", ["g"], width=60_000_000, salts=4)
+    return met.groupBy("interval_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @R.query("chunk_remaining", """with m as (select min(o_orderkey) a, max(o_orderkey) z from {orders}), c as (select cast(0 as bigint) chunk_no union all select unnest(range(1, (z - a) // 500 + 2)) from m) select chunk_no from c where chunk_no % 2 = 1""")
 def _(t):
     plan = load.chunk_plan(t("orders"), "o_orderkey", 500)

@@ -175,3 +175,106 @@ def test_a_change_group_without_changes_copies_once(spark, folder):
     assert load.cdc_group(table(spark, [1, 2]), changes, *args) == 7
     rows = spark.read.parquet(f"{folder}/out")
     assert rows.count() == 3 and sorted((r.id, r.val) for r in log.current_state(rows, ["id"], ["_sys_seq"]).collect()) == [(1, "v1"), (2, "new")]
+
+
+@pytest.mark.parametrize("at", ["aside", "moved"])
+def test_a_load_that_dies_between_write_and_ledger(spark, folder, monkeypatch, at):
+    """A range lies aside, or in the table already, but is not entered: no row comes twice, and the load is verified."""
+    source = table(spark, range(1, 101)).unionByName(spark.createDataFrame([(None, "no key"), (None, "nor here")], "id long, val string"))
+    real, calls = load._Files.take_in, []
+
+    def dying(self, *args):
+        calls.append(args)
+        if at == "moved":
+            real(self, *args)
+        if len(calls) == 2:
+            raise RuntimeError("dead")
+        if at == "aside":
+            real(self, *args)
+
+    monkeypatch.setattr(load._Files, "take_in", dying)
+    args = (source, "id", f"{folder}/out", f"{folder}/ledger", now())
+    with pytest.raises(RuntimeError, match="dead"):
+        load.full_load(*args, step=10, commits=5, parallel=1)
+    monkeypatch.undo()
+    r = load.load_verified(*args, ["id", "val"], step=10, commits=3, keys=["id"]).first()
+    assert (r.source_rows, r.dest_rows, r.match) == (102, 102, True)
+    assert load.full_load(*args).count() == 0 and spark.read.parquet(f"{folder}/out").count() == 102
+
+
+def test_sparse_keys(spark, folder):
+    for ids in ([1, 10**18], [-9 * 10**18, 9 * 10**18], [-9 * 10**18, 0, 5, 9 * 10**18]):
+        rows = table(spark, ids)
+        for step in (50_000, 10**18):
+            chunks = load.chunk_plan(rows, "id", step)
+            got = {r.chunk_no: r.n_rows for r in load.chunk_assign(rows, chunks, "id").collect()}
+            assert sum(got.values()) == len(ids)
+            found = plan(chunks)
+            assert found[0][1] is None and found[-1][2] is None and [x[2] for x in found[:-1]] == [x[1] for x in found[1:]]
+            want = {no: sum((lo is None or i >= lo) and (hi is None or i < hi) for i in ids) for no, lo, hi in found}
+            assert got == want
+    path = f"{folder}/out"
+    load.full_load(table(spark, [1, 10**18]), "id", path, f"{folder}/ledger", now())
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_chunk_width_by_target_size(spark, folder):
+    load.full_load(table(spark, range(0, 20_000, 2)), "id", f"{folder}/out", f"{folder}/ledger", now(), target_mb=1)
+    assert spark.read.parquet(f"{folder}/ledger/plan").count() == 4 and spark.read.parquet(f"{folder}/out").count() == 10_000
+
+
+def test_equal_depth_chunks_cover_and_reach_the_scan(spark, folder):
+    rows = spark.createDataFrame([(i % 50, f"k{i * 7919 % 1000:04}", i) for i in range(3000)] + [(None, "x", -1), (3, None, -2)], "a long, b string, v long")
+    rows.write.parquet(f"{folder}/t")
+    rows = spark.read.parquet(f"{folder}/t")
+    chunks = load.equi_depth(rows, ["a", "b"], 200).collect()
+    seen = []
+    for c in chunks:
+        if c.chunk_no < 0:
+            assert c.n_rows == 2
+            continue
+        part = load.chunk_rows(rows, c)
+        got = [r.v for r in part.collect()]
+        assert len(got) == c.n_rows <= 400
+        seen += got
+    assert sorted(seen) == list(range(3000)) and len(chunks) > 8
+    plan_text = load.chunk_rows(rows, [c for c in chunks if c.lo is not None][0])._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(a," in plan_text
+    with pytest.raises(ValueError):
+        load.chunk_rows(rows, [c for c in chunks if c.chunk_no < 0][0])
+    assert load.equi_depth(rows.limit(0), ["b"], 10).count() == 0
+
+
+def test_asof_against_loops(spark):
+    import random
+
+    from syncproof.operators.joins import asof_join
+
+    rng = random.Random(5)
+    left = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([*range(60), None])) for i in range(400)]
+    right = [(rng.choice([1, 1, 2, 3, None]), rng.choice([*range(0, 60, 3), None]), f"r{i}") for i in range(60)]
+    l, r = spark.createDataFrame(left, "i long, k long, at long"), spark.createDataFrame(right, "k long, seen long, name string")  # noqa: E741
+    for by, tolerance in ((["k"], None), (["k"], 4), ([], None)):
+        got = {x.i: (x.seen, x.name) for x in asof_join(l, r if by else r.drop("k"), "at", "seen", by, tolerance).collect()}
+        want = {}
+        for i, k, at in left:
+            ok = [(s, n) for rk, s, n in right if (not by or rk == k) and s is not None and at is not None and s <= at]
+            best = max(ok, default=(None, None))
+            want[i] = best if best[0] is not None and (tolerance is None or at - best[0] <= tolerance) else (None, None)
+        assert got == want
+    assert {x.seen for x in asof_join(l, r.limit(0), "at", "seen", ["k"]).collect()} == {None}
+
+
+def test_intervals_against_loops(spark):
+    import random
+
+    from syncproof.operators.joins import interval_join
+
+    rng = random.Random(6)
+    points = [(i, rng.choice([1, 1, 2]), rng.choice([*range(-50, 200), None])) for i in range(300)]
+    spans = [(100 + j, rng.choice([1, 2]), lo, rng.choice([lo - 1, lo, lo + 1, lo + 7, lo + 64, lo + 65, lo + 10**12, None])) for j in range(80) for lo in [rng.randint(-60, 200)]]
+    p, s = spark.createDataFrame(points, "i long, k long, at long"), spark.createDataFrame(spans, "j long, k long, lo long, hi long")
+    want = sorted((i, j) for i, k, at in points for j, k2, lo, hi in spans if k == k2 and at is not None and hi is not None and lo <= at < hi)
+    for width, salts in ((1, 1), (8, 3)):
+        assert sorted((r.i, r.j) for r in interval_join(p, s, "at", "lo", "hi", ["k"], width, salts).collect()) == want
+    assert interval_join(p, s.limit(0), "at", "lo", "hi", ["k"]).count() == 0
