@@ -36,7 +36,7 @@ from syncproof.functions.joins import bounded
 from syncproof.llm.skew import join_hot
 from syncproof.scratch import free, new_path
 
-LEAST, LONGEST, SHARDS, TOP = 100, 5, 4, 2000
+LEAST, LONGEST, SHARDS, TOP = 100, 5, 2, 2000
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 #: On bytes: A-Z lowered, all that ends a piece to a full stop, tabs to spaces; split() then parts words at spaces alone.
 _FOLD = bytes(ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else ord(".") if chr(b) in BREAKS else 32 if b == 9 else b for b in range(256))
@@ -227,11 +227,11 @@ def _cycle(spark: SparkSession, path: str, least: int, longest: int, shards: int
     totals: list[DataFrame] = []
     for scan in itertools.count():
         shard = spark.read.schema("lang string, text string, shard int").parquet(path).filter(F.col("shard") == scan % shards).drop("shard")
-        if most_known is None:
-            found = scan_joined(shard, ready, scan, shards, longest)
-        else:
-            found = scan_known(shard, spark.sparkContext.broadcast(known.for_scans()), scan, shards, longest)
+        shared = None if most_known is None else spark.sparkContext.broadcast(known.for_scans())
+        found = scan_joined(shard, ready, scan, shards, longest) if shared is None else scan_known(shard, shared, scan, shards, longest)
         tables.append(cut(found.groupBy(*KEY).agg(F.max("since").alias("since"), F.sum("f").alias("f"))))
+        if shared is not None:
+            shared.destroy()  # its counts are written: nothing will ask for it again
         if scan < shards:
             totals.append(cut(tables[-1].filter("since = 0").groupBy("lang").agg(F.sum("f").alias("n"))))
         cycle = reduce(DataFrame.unionByName, tables[-shards:]).filter(F.col("since") > scan - shards)
