@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from syncproof.functions.canonical import as_text, data_columns
 from syncproof.scratch import cut
@@ -58,3 +59,40 @@ def baseline_snapshot(df: DataFrame, keys: Sequence[str], value: str, order: Seq
 
 def sync_totals(runs: DataFrame, keys: Sequence[str] = ("sync_id",)) -> DataFrame:
     return runs.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("rows_read", "rows_written", "bytes_written", "duration_seconds")])
+
+
+def sketch_profile(df: DataFrame, columns: Sequence[str] | None = None, log_k: int = 12, kll_k: int = 200) -> DataFrame:
+    """(column, n_rows, nulls, distinct_sketch, quantile_sketch) by one aggregation; sketches are binary and can be merged over loads.
+
+    Distinct counts are within about 1.04 / sqrt(2 ** log_k) (1.6 % at 12) of the truth, ranks within about 1.65 % at a kll_k of 200. Columns that
+    are no numbers have no quantile sketch.
+    """
+    names = list(columns or data_columns(df))
+    numeric = {c: isinstance(df.schema[c].dataType, T.NumericType) for c in names}
+    empty = F.lit(None).cast("binary")
+    aggs = [x for i, c in enumerate(names) for x in (F.count(f"`{c}`").alias(f"v{i}"), F.hll_sketch_agg(as_text(df, c), log_k).alias(f"h{i}"), (F.kll_sketch_agg_double(F.col(f"`{c}`").cast("double"), kll_k) if numeric[c] else F.max(empty)).alias(f"q{i}"))]
+    each = [F.struct(F.lit(c).alias("column"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"v{i}")).alias("nulls"), F.col(f"h{i}").alias("distinct_sketch"), F.when(F.col(f"v{i}") > 0, F.col(f"q{i}")).alias("quantile_sketch")) for i, c in enumerate(names)]
+    return df.agg(F.count("*").alias("n"), *aggs).select(F.inline(F.array(*each)))
+
+
+def merge_profiles(profiles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Stored profiles of many loads as one for each column (and `by`), without the rows that they came from."""
+    return profiles.groupBy(*by, "column").agg(F.sum("n_rows").alias("n_rows"), F.sum("nulls").alias("nulls"), F.hll_union_agg("distinct_sketch", True).alias("distinct_sketch"), F.kll_merge_agg_double("quantile_sketch").alias("quantile_sketch"))
+
+
+def read_profile(profiles: DataFrame, at: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+    """profiles with `distinct` and `quantiles` (null for columns that are no numbers or have no values) in place of the sketches."""
+    ranks = F.array(*map(F.lit, at))
+    return profiles.withColumn("distinct", F.hll_sketch_estimate("distinct_sketch")).withColumn("quantiles", F.when(F.col("quantile_sketch").isNotNull(), F.kll_sketch_get_quantile_double("quantile_sketch", ranks))).drop("distinct_sketch", "quantile_sketch")
+
+
+def drift(base: DataFrame, current: DataFrame, bins: int = 10, floor: float = 1e-4) -> DataFrame:
+    """(column, psi): population stability of two merged profiles, on the base's quantile edges. No row is read again."""
+    b = base.filter("quantile_sketch is not null").select("column", F.col("quantile_sketch").alias("b"))
+    met = b.join(current.filter("quantile_sketch is not null").select("column", F.col("quantile_sketch").alias("c")), "column")
+    edges = met.withColumn("edges", F.array_distinct(F.kll_sketch_get_quantile_double("b", F.array(*[F.lit(i / bins) for i in range(1, bins)]))))
+    shares = lambda s: F.kll_sketch_get_rank_double(s, F.col("edges"))
+    ranked = edges.withColumn("rb", F.concat(F.array(F.lit(0.0)), shares("b"), F.array(F.lit(1.0)))).withColumn("rc", F.concat(F.array(F.lit(0.0)), shares("c"), F.array(F.lit(1.0))))
+    part = lambda r, i: F.greatest(F.get(r, i + 1) - F.get(r, i), F.lit(floor))
+    terms = F.transform(F.sequence(F.lit(0), F.size("edges")), lambda i: (part("rc", i) - part("rb", i)) * F.log(part("rc", i) / part("rb", i)))
+    return ranked.select("column", F.aggregate(terms, F.lit(0.0), lambda a, x: a + x).alias("psi"))

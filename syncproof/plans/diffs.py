@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from syncproof.functions import canonical as C
-from syncproof.operators import diff, digest
+from syncproof.operators import diff, digest, tree
 from syncproof.plans.fixtures import Registry
-from syncproof.sources.sinks import write_result
-from syncproof.scratch import cut
+from syncproof.scratch import cut, new_path
+from syncproof.sources.sinks import write_result, write_verified
 
 R = Registry()
 KEY = ["o_orderkey"]
@@ -120,6 +120,38 @@ def _(t):
     return diff.diff_samples(both(t), KEY)
 
 
+_CHANGED = f"with x as (select {_ID} id, {_HASH} h from {{orders_dst}})"
+
+
+def changed_tree(t, spark):
+    """The stored tree of orders after the changes that make it orders_dst."""
+    path = new_path(spark)
+    tree.store(tree.build(t("orders"), KEY, 3, **MD5), path)
+    both = [digest.with_row_digest(t(n), KEY, **MD5).select("id", "hash") for n in ("orders", "orders_dst")]
+    old, new = both[0].join(both[1], ["id", "hash"], "left_anti"), both[1].join(both[0], ["id", "hash"], "left_anti")
+    return tree.apply_changes(tree.load(spark, path), old.withColumn("sign", F.lit(-1)).unionByName(new.withColumn("sign", F.lit(1))), 3)
+
+
+@R.query("digest_tree", _CHANGED + " select cast(l as int) as level, substr(id, 1, l) prefix, count(*) n_rows, cast(sum(h) % 18446744073709551616 as varchar) checksum from x, range(1, 4) z(l) group by 1, 2")
+def _(t):
+    return changed_tree(t, t("orders").sparkSession).select("level", "prefix", "n_rows", F.col("checksum").cast("string").alias("checksum"))
+
+
+@R.query("diff_by_tree", _BOTH + "select id, kind, k as o_orderkey from b where kind <> 'same'")
+def _(t):
+    spark = t("orders").sparkSession
+    a, b = new_path(spark), new_path(spark)
+    tree.store(tree.build(t("orders"), KEY, 3, **MD5), a)
+    tree.store(changed_tree(t, spark), b)
+    return tree.diff_by_tree(t("orders"), t("orders_dst"), tree.load(spark, a), tree.load(spark, b), KEY, 3, **MD5).select("id", "kind", F.col("key.o_orderkey").alias("o_orderkey"))
+
+
+@R.query("write_verified", f"select count(*) source_rows, count(*) dest_rows, {_SUM(_HASH)} source_checksum, {_SUM(_HASH)} dest_checksum, true as \"match\", count(*) - count(o_orderkey) key_nulls from {{orders}}")
+def _(t):
+    rows = t("orders")
+    return write_verified(rows, new_path(rows.sparkSession), **MD5).withColumn("key_nulls", F.col("nulls")["o_orderkey"]).drop("nulls")
+
+
 @R.query("id_union", f"select {_ID} id from {{orders}} union select {_ID} from {{orders_dst}}")
 def _(t):
     ids = lambda n: t(n).select(C.record_id(t(n), KEY).alias("id"))

@@ -47,11 +47,14 @@ def _(t):
     return events.last_syncs(t("event_log")).withColumn("last_sync_at", text("last_sync_at"))
 
 
-@R.query("derive_diff_runs", """with recursive x as (select pipeline_id, sync_id, stream, seq, k % 2 = 0 src, 100 + k % 3 n, 'c' || cast(k % 2 as varchar) c, row_number() over (partition by pipeline_id, sync_id, stream order by seq) i from {event_log} where event = 'checksum_computed'),
+DIFF_RUNS = """with recursive x as (select pipeline_id, sync_id, stream, seq, k % 2 = 0 src, 100 + k % 3 n, 'c' || cast(k % 2 as varchar) c, row_number() over (partition by pipeline_id, sync_id, stream order by seq) i from {event_log} where event = 'checksum_computed'),
 f as (select x.*, case when src then n end sn, case when src then c end sc, case when not src then n end dn, case when not src then c end dc, false fin from x where i = 1
 union all select x.*, case when x.src then x.n when f.fin then null else f.sn end, case when x.src then x.c when f.fin then null else f.sc end, case when not x.src then x.n when f.fin then null else f.dn end, case when not x.src then x.c when f.fin then null else f.dc end,
  not f.fin and (case when x.src then f.dn else f.sn end) is not null from f join x on x.pipeline_id = f.pipeline_id and x.sync_id = f.sync_id and x.stream = f.stream and x.i = f.i + 1)
-select pipeline_id, sync_id, stream, seq, sn source_rows, dn dest_rows, sc source_checksum, dc dest_checksum, sn = dn and sc = dc as "match" from f where fin""")
+select pipeline_id, sync_id, stream, seq, sn source_rows, dn dest_rows, sc source_checksum, dc dest_checksum, sn = dn and sc = dc as "match" from f where fin"""
+
+
+@R.query("derive_diff_runs", DIFF_RUNS)
 def _(t):
     return events.derive_diff_runs(t("event_log"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from syncproof.operators import anomaly, events, monitors, profile, reports
 from syncproof.plans.fixtures import NOW, Registry
+from syncproof.scratch import cut
 
 R = Registry()
 _NOW = f"make_timestamp(cast({NOW} as bigint))"
@@ -29,6 +30,31 @@ def _(t):
     return profile.histogram(t("events_null"), "value", 50.0, 9, F.col("half"))
 
 
+@R.query("profile_sketches", """with s as (select half, event_type, user_id, value from {events_null}),
+c as (select 'event_type' "column", count(*) n_rows, count(*) - count(event_type) nulls from s union all select 'user_id', count(*), count(*) - count(user_id) from s union all select 'value', count(*), count(*) - count(value) from s)
+select "column", n_rows, nulls, true distinct_ok, true quantiles_ok from c""")
+def _(t):
+    """Profiles of two halves, stored and merged, against exact values of the whole: distinct counts within 5 %, quantiles' ranks within 2 %."""
+    rows = t("events_null").select("half", "event_type", "user_id", "value")
+    parts = [cut(profile.sketch_profile(rows.filter(F.col("half") == h).drop("half"))) for h in ("base", "current")]
+    merged = cut(profile.read_profile(profile.merge_profiles(parts[0].unionByName(parts[1]))))
+    found = {r.column: r for r in merged.collect()}  # a row a column
+    asked = [(c, i, q) for c, r in found.items() for i, q in enumerate(r.quantiles or [])]
+    exact = rows.agg(*[F.count_distinct(c).alias(f"d_{c}") for c in found], *[f(F.col(c), q).alias(f"{n}_{c}_{i}") for c, i, q in asked for n, f in (("lo", lambda x, q: F.count_if(x < q) / F.count(x)), ("hi", lambda x, q: F.count_if(x <= q) / F.count(x)))]).first()
+    near = {c: abs(r.distinct - exact[f"d_{c}"]) <= max(1, 0.05 * exact[f"d_{c}"]) for c, r in found.items()}
+    ranks = {c: all(exact[f"lo_{c}_{i}"] - 0.02 <= i / 4 <= exact[f"hi_{c}_{i}"] + 0.02 for d, i, _ in asked if d == c) for c in found}
+    told = lambda x: F.create_map(*[F.lit(v) for kv in x.items() for v in kv])[F.col("column")]
+    return merged.select("column", "n_rows", "nulls", told(near).alias("distinct_ok"), told(ranks).alias("quantiles_ok"))
+
+
+@R.query("profile_drift", "select 'value' as \"column\", true small union all select 'shifted', false")
+def _(t):
+    """Drift of two windows from their sketches alone: events of two halves are alike, doubled values are not."""
+    rows = t("events_null").select("half", "value", F.when(F.col("half") == "base", F.col("value")).otherwise(2 * F.col("value")).alias("shifted"))
+    one = lambda h: profile.sketch_profile(rows.filter(F.col("half") == h).drop("half"))
+    return profile.drift(one("base"), one("current")).select("column", (F.col("psi") < 0.1).alias("small"))
+
+
 @R.query("sync_totals", "select pipeline_id, cast(sum(rows_read) as bigint) rows_read, cast(sum(rows_written) as bigint) rows_written, cast(sum(bytes_written) as bigint) bytes_written, sum(duration_seconds) duration_seconds from {metrics} group by 1")
 def _(t):
     return profile.sync_totals(t("metrics"), ["pipeline_id"])

@@ -91,3 +91,56 @@ def test_unavailable_values(spark):
     rows = spark.createDataFrame([(1, 1, "big"), (1, 2, "__same__"), (1, 3, None), (1, 4, "__same__")], "id long, seq long, v string")
     got = log.cdc_unavailable_patch(rows, ["v"], "__same__", ["id"], ["seq"]).orderBy("seq").collect()
     assert [r.v for r in got] == ["big", "big", None, None]
+
+
+@pytest.fixture(scope="module")
+def typed(spark):
+    from syncproof.streaming import stateful
+
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    session.conf.set("spark.sql.session.timeZone", "UTC")
+    return session
+
+
+def in_batches(session, batches, schema, folder):
+    import os
+    import time
+
+    for i, rows in enumerate(batches):
+        session.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        for name in os.listdir(f"{folder}/in"):  # batches follow the files' times
+            path = f"{folder}/in/{name}"
+            if name.startswith("part") and os.path.getmtime(path) > 10**9:
+                os.utime(path, (i + 1, i + 1))
+    del time
+    return session.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def test_silence_is_told_and_leaves_no_state(typed, folder):
+    from syncproof.streaming import stateful
+
+    at = lambda *s: [T0 + timedelta(seconds=x) for x in s]
+    batches = [[("a", x) for x in at(0, 5)] + [("b", x) for x in at(1)] + [(None, T0)], [("b", x) for x in at(500)], [("c", x) for x in at(2000)]]
+    stream = stateful.silences(in_batches(typed, batches, "k string, ts timestamp", folder), "k", "ts", 60)
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start(f"{folder}/out")
+    q.awaitTermination(120)
+    assert q.exception() is None
+    us = lambda s: int(T0.timestamp() * 0 + 1704067200 * 10**6 + s * 10**6)
+    got = sorted((r.key, r.last_at, r.n) for r in typed.read.parquet(f"{folder}/out").collect())
+    assert got == [("a", us(5), 2), ("b", us(1), 1), ("b", us(500), 1)]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3  # of c alone: its value, and its timer with the timer's index
+
+
+def test_pairs_clear(typed, folder):
+    from syncproof.operators import events
+    from syncproof.streaming import stateful
+
+    side = lambda i, s, n: (i, "checksum_computed", "s1", "7", "a", '{"side":"%s","rows":%d,"checksum":"x"}' % (s, n))
+    batches = [[side(1, "source", 1), side(2, "source", 2)], [side(3, "destination", 2), side(4, "destination", 5)], [side(5, "source", 5), side(6, "source", 6), side(7, "destination", 7)]]
+    schema = "seq long, event string, sync_id string, pipeline_id string, stream string, payload string"
+    got = run(stateful.pairs_that_clear(in_batches(typed, batches, schema, folder)), "cleared").collect()
+    twin = events.derive_diff_runs(typed.createDataFrame([r for b in batches for r in b], schema)).collect()
+    rows = lambda x: sorted((r.seq, r.source_rows, r.dest_rows, r.match) for r in x)
+    assert rows(got) == rows(twin) == [(3, 2, 2, True), (5, 5, 5, True), (7, 6, 7, False)]
