@@ -6,7 +6,7 @@ where its offsets say.
 
 Files are found and read through pyarrow's file systems, so a path may be a URI of any store that those reach. A range owns the lines that begin in it.
 Lines that are no JSON objects, or have no event, are left out, as operators.events.parse_events() does. A stream's offset is each file's length up to
-its last whole line: a torn last line waits for the rest of it. Filters are taken where `spark.sql.python.filterPushdown.enabled` is set.
+its last whole line: a torn last line waits for the rest of it. Batch reads need `spark.sql.python.filterPushdown.enabled` in their session.
 """
 
 from __future__ import annotations

@@ -32,7 +32,7 @@ class Silence(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "at long, n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         times = sorted(micros(t) for part in rows for t in part["ts"])
         at, n = self.last.get() if self.last.exists() else (None, 0)
         out = []
@@ -47,7 +47,7 @@ class Silence(StatefulProcessor):
         self.last.update((at, n))
         yield frame(out)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         out = []
         if self.last.exists():
             at, n = self.last.get()
@@ -81,7 +81,7 @@ class Pairs(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", "is_source boolean, rows long, checksum string", self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.held.get() if self.held.exists() else None
         out = []
         number = lambda x: None if pd.isna(x) else int(x)

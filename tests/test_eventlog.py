@@ -49,6 +49,7 @@ def test_stream_waits_for_whole_lines(folder):
 
 def test_folder_without_files(tmp_path, spark):
     session = spark.newSession()
+    session.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     session.dataSource.register(EventLog)
     assert session.read.format("event_log").option("path", str(tmp_path)).load().count() == 0
     assert list(Reader({"path": str(tmp_path)}).read(Range("", 0, 0))) == []
