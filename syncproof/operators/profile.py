@@ -77,7 +77,7 @@ def sketch_profile(df: DataFrame, columns: Sequence[str] | None = None, log_k: i
 
 def merge_profiles(profiles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Stored profiles of many loads as one for each column (and `by`), without the rows that they came from."""
-    return profiles.groupBy(*by, "column").agg(F.sum("n_rows").alias("n_rows"), F.sum("nulls").alias("nulls"), F.hll_union_agg("distinct_sketch", True).alias("distinct_sketch"), F.kll_merge_agg_double("quantile_sketch").alias("quantile_sketch"))
+    return profiles.groupBy(*by, "column").agg(F.sum("n_rows").alias("n_rows"), F.sum("nulls").alias("nulls"), F.hll_union_agg("distinct_sketch", True).alias("distinct_sketch"), F.when(F.count("quantile_sketch") > 0, F.kll_merge_agg_double("quantile_sketch")).alias("quantile_sketch"))
 
 
 def read_profile(profiles: DataFrame, at: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
@@ -90,9 +90,18 @@ def drift(base: DataFrame, current: DataFrame, bins: int = 10, floor: float = 1e
     """(column, psi): population stability of two merged profiles, on the base's quantile edges. No row is read again."""
     b = base.filter("quantile_sketch is not null").select("column", F.col("quantile_sketch").alias("b"))
     met = b.join(current.filter("quantile_sketch is not null").select("column", F.col("quantile_sketch").alias("c")), "column")
-    edges = met.withColumn("edges", F.array_distinct(F.kll_sketch_get_quantile_double("b", F.array(*[F.lit(i / bins) for i in range(1, bins)]))))
-    shares = lambda s: F.kll_sketch_get_rank_double(s, F.col("edges"))
-    ranked = edges.withColumn("rb", F.concat(F.array(F.lit(0.0)), shares("b"), F.array(F.lit(1.0)))).withColumn("rc", F.concat(F.array(F.lit(0.0)), shares("c"), F.array(F.lit(1.0))))
+    cuts = F.array_distinct(F.kll_sketch_get_quantile_double("b", F.array(*[F.lit(i / bins) for i in range(1, bins)])))
+    edges = {r.column: r.edges for r in met.select("column", cuts.alias("edges")).collect()}  # a row a column; ranks are asked of plain values only
+
+    def shares(sketch: str) -> Column:
+        asked = F
+        for c, values in edges.items():
+            asked = asked.when(F.col("column") == c, F.kll_sketch_get_rank_double(sketch, F.array(*map(F.lit, values))))
+        return F.concat(F.array(F.lit(0.0)), asked, F.array(F.lit(1.0)))
+
+    if not edges:
+        return met.select("column", F.lit(0.0).alias("psi"))
+    ranked = met.select("column", shares("b").alias("rb"), shares("c").alias("rc"))
     part = lambda r, i: F.greatest(F.get(r, i + 1) - F.get(r, i), F.lit(floor))
-    terms = F.transform(F.sequence(F.lit(0), F.size("edges")), lambda i: (part("rc", i) - part("rb", i)) * F.log(part("rc", i) / part("rb", i)))
+    terms = F.transform(F.sequence(F.lit(0), F.size("rb") - 2), lambda i: (part("rc", i) - part("rb", i)) * F.log(part("rc", i) / part("rb", i)))
     return ranked.select("column", F.aggregate(terms, F.lit(0.0), lambda a, x: a + x).alias("psi"))
