@@ -38,6 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST_SHARED = 48
 HEAD, BLOCK, LONG = 4, 256, 64
+SIGN = np.uint64(1 << 63)
 
 
 @dataclass
@@ -286,14 +287,12 @@ def encoded_units(units: DataFrame, pieces: Pieces, units_a_task: int = 10_000)
 
 
 class Dictionary:
-    """Sorted hashes of frequent units, and their ids end to end in that order: 12 bytes a unit and 2 or 4 an id."""
+    """Ascending hashes of frequent units, and their ids end to end in that order: 12 bytes a unit and 2 or 4 an id."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        starts = np.cumsum(counts, dtype=np.int64) - counts
-        self.ids = ids[runs(starts[order], counts[order].astype(np.int64))]
-        self.keys = keys[order]
-        self.bounds = np.concatenate(([0], np.cumsum(counts[order], dtype=np.int64))).astype(np.uint32)
+        self.keys, self.ids = keys, ids
+        self.bounds = np.zeros(len(counts) + 1, np.uint32)
+        np.cumsum(counts, out=self.bounds[1:])
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known, start, count) of hashes; of unknown ones (start 0, count 1)."""
@@ -318,14 +317,24 @@ def frequent(encoded: DataFrame, most: int, vocabulary: int) -> tuple[Dictionary
 
     width = np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signed = (hashes(batch.column(0)) ^ SIGN).view(np.int64)  # ascending as the hashes are
+            yield pa.RecordBatch.from_arrays([pa.array(signed), batch.column(1)], names=["h", "ids"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             counts = np.diff(lists.offsets.to_numpy()).astype(np.uint16)
-            yield pa.RecordBatch.from_pylist([{"k": hashes(batch.column(0)).tobytes(), "c": counts.tobytes(), "i": lists.flatten().to_numpy().astype(width).tobytes()}])
+            keys = batch.column(0).to_numpy().view(np.uint64) ^ SIGN
+            yield pa.RecordBatch.from_pylist([{"k": keys.tobytes(), "c": counts.tobytes(), "i": lists.flatten().to_numpy().astype(width).tobytes()}])
 
+    # Spark sorts, so that the driver lays the parts end to end and holds no more than the dictionary itself
+    parts = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = encoded.filter(inside).select("unit", "ids").mapInArrow(hashed, "h long, ids array<int>")
+    by_hash = keyed.repartitionByRange(parts, "h").sortWithinPartitions("h")
     blobs: dict[str, bytearray] = {"k": bytearray(), "c": bytearray(), "i": bytearray()}
-    for r in encoded.filter(inside).select("unit", "ids").mapInArrow(pack, "k binary, c binary, i binary").toLocalIterator():
+    for r in by_hash.mapInArrow(pack, "k binary, c binary, i binary").toLocalIterator():
         for n in blobs:
             blobs[n] += r[n]
     dictionary = Dictionary(np.frombuffer(blobs["k"], np.uint64), np.frombuffer(blobs["c"], np.uint16), np.frombuffer(blobs["i"], width))
