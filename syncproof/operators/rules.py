@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from syncproof.functions.joins import bounded
+from syncproof.operators.ranges import laid, with_running
 
 #: Error codes with their causes and fixes, as users read them (fixed values).
 KNOWN_CAUSES = [
@@ -106,11 +107,11 @@ def incident_dedup(matches: DataFrame, resolves: DataFrame, seq: str = "seq") ->
     """(fingerprint, island, opened_seq, opened_at, event_count, title, ...): matches of a fingerprint between two resolves are one incident.
 
     matches: rule_match() rows with fingerprint, ts and seq; resolves: (fingerprint, seq). The number of resolves before a match
-    is its island.
+    is its island. A fingerprint may hold any share of the matches: they are laid out by ranges.
     """
     rows = matches.withColumn("_resolve", F.lit(0)).unionByName(resolves.withColumn("_resolve", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy("fingerprint").orderBy(seq, "_resolve").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    islands = rows.withColumn("island", F.sum("_resolve").over(w)).filter("_resolve = 0")
+    whole = with_running(laid(rows, ["fingerprint"], [seq, "_resolve"]), ["fingerprint"], F.col("_resolve"), "island")
+    islands = whole.filter("_resolve = 0")
     first = F.struct(F.col(seq).alias("opened_seq"), F.col("ts").alias("opened_at"), "pipeline_id", "rule_id", "stream", incident_title(F.col("rule_name"), F.col("event"), F.col("stream")).alias("title"), "severity", "channel_ids")
     return islands.groupBy("fingerprint", "island").agg(F.count("*").alias("event_count"), F.min_by(first, F.col(seq)).alias("f")).select("fingerprint", "island", "event_count", "f.*")
 
