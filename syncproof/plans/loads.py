@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from syncproof.operators import joins, load, log
+from syncproof.operators import joins, load, log, versions
 from syncproof.plans.fixtures import BASE, Registry
 from syncproof.scratch import cut, new_path
 from syncproof.sources import connect, files, sinks
@@ -57,6 +57,18 @@ def _(t):
     return rows.sparkSession.read.parquet(path).select("o_orderkey", "o_custkey", "o_totalprice", "op")
 
 
+@R.query("sink_merge_touched", _CURRENT + "select o_orderkey, o_custkey, o_totalprice from l where rn = 1 and op <> 'd'")
+def _(t):
+    """Three change batches over a bucketed table; the rows are those of its last version."""
+    rows = t("orders_log")
+    spark, path = rows.sparkSession, new_path(rows.sparkSession)
+    first = rows.filter("op = 'r'").select("o_orderkey", "o_custkey", "o_totalprice")
+    versions.create(first, path, ["o_orderkey"], 16)
+    for kind in ("u", "d", "i"):
+        versions.merge_touched(spark, path, first.schema, rows.filter(F.col("op") == kind), ["o_orderkey"], SEQ, "op")
+    return versions.read(spark, path, first.schema)
+
+
 @R.query("src_object_ndjson", """select event_id, event_type, '{{"k":' || cast(k as varchar) || ',"u":[' || cast(user_id as varchar) || ']}}' as props from {ev}""")
 def _(t):
     rows = t("ev").select("event_id", "event_type", F.struct("k", F.array("user_id").alias("u")).alias("props"))
