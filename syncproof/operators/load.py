@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from syncproof.operators.joins import asof_join, lexicographic
 from syncproof.operators.log import inject_metadata
+from syncproof.operators.ranges import laid, with_running
 from syncproof.scratch import cut
 
 PLAN = "chunk_no long, lo long, hi long"
@@ -45,25 +46,24 @@ def chunk_plan(df: DataFrame, key: str, step: int = 50_000, most: int = 100_000)
     return spark.range(n + 1).select(i.alias("chunk_no"), F.when(i > 0, lo(i - 1)).alias("lo"), F.when(i == 0, F.lit(ends.least)).when(i < n, lo(F.least(i, F.lit(n - 1)))).alias("hi"))
 
 
-def equi_depth(df: DataFrame, keys: Sequence[str], rows: int, fine: int = 8) -> DataFrame:
+def equi_depth(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
     """(chunk_no, lo, hi, n_rows): key ranges of about `rows` rows for keys of any sortable types, one or several; lo and hi are structs of the keys.
 
-    The keys are dealt into `fine` times as many ranges as chunks are wanted, by Spark's own sample of them, and ranges that follow each other
-    are put together: a chunk has at most `rows` rows but for its last range. The first chunk is open below, the last one above. Chunk -1 holds the rows of
-    which any key is null, without bounds. One row a chunk comes of it; equal keys are never parted.
+    Rows are counted by key, and the running sum over the keys in their order says in which chunk a key lies. A chunk has less than twice `rows` rows, but
+    for a single key of more than `rows`, which is a chunk of its own: equal keys are never parted. The first chunk is open below, the last one above.
+    Chunk -1 holds the rows of which any key is null, without bounds. The plan has one row a chunk.
     """
     named = df.select(*[F.col(f"`{k}`") for k in keys])
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(f"`{k}`").isNotNull()
-    total = named.count()
-    parts = max(1, min(100_000, -(-total // rows) * fine))
-    dealt = named.filter(whole).repartitionByRange(parts, *[F.col(f"`{k}`") for k in keys]).select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("k"), F.spark_partition_id().alias("p"))
-    ranges = cut(dealt.groupBy("p").agg(F.min("k").alias("lo"), F.count("*").alias("n")))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chunks = ranges.withColumn("c", F.floor(before / rows)).groupBy("c").agg(F.min("lo").alias("lo"), F.sum("n").alias("n_rows"))
-    order = Window.orderBy("c")
-    kind = ranges.schema["lo"].dataType
+    k = F.struct(*[F.col(f"`{k}`") for k in keys]).alias("k")
+    counted = named.filter(whole).groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count("*").alias("_n_rows")).select(k, F.col("_n_rows").alias("n"))
+    upto = with_running(laid(counted, [], ["k"]), [], F.col("n"), "upto")
+    numbered = upto.select("k", "n", F.floor((F.col("upto") - F.col("n")) / rows).alias("c"), (F.col("n") > rows).alias("alone"))
+    chunks = cut(numbered.groupBy("c", "alone").agg(F.min("k").alias("lo"), F.sum("n").alias("n_rows")))
+    order = Window.orderBy("c", "alone")  # a key of more than `rows` ends its stretch of the running sum
+    kind = chunks.schema["lo"].dataType
     bounded = chunks.select((F.row_number().over(order) - 1).cast("long").alias("chunk_no"), F.when(F.row_number().over(order) > 1, F.col("lo")).alias("lo"), F.lead("lo").over(order).alias("hi"), "n_rows")
     none = F.lit(None).cast(kind)
     nulls = named.filter(~whole).agg(F.count("*").alias("n_rows")).filter("n_rows > 0")

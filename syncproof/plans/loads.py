@@ -179,10 +179,14 @@ def _(t):
     return load.chunk_assign(t("orders"), load.chunk_plan(t("orders"), "o_orderkey", 500), "o_orderkey")
 
 
-@R.query("equi_depth", """select 'sparse' kind, count(*) n_rows, 0 too_large, 0 lost from {lineitem} union all select 'text', count(*), 0, 0 from {part} union all select 'pair', count(*), 0, 0 from {lineitem}""")
+_OVER = "cast((select count(*) from (select 1 from {from_} group by {by} having count(*) > 1000)) as int)"
+_SPARSE = _OVER.format(from_="{lineitem} where l_orderkey % 10 > 0", by="cast(l_orderkey as hugeint) * l_orderkey * 1000003 - l_partkey * 7")
+
+
+@R.query("equi_depth", f"""select 'sparse' kind, count(*) n_rows, {_SPARSE} too_large, 0 lost from {{lineitem}} union all select 'text', count(*), {_OVER.format(from_="{part}", by="p_name")}, 0 from {{part}} union all select 'pair', count(*), {_OVER.format(from_="{lineitem}", by="l_orderkey, l_linenumber")}, 0 from {{lineitem}}""")
 def _(t):
-    """Chunks of a sparse long key with nulls, of a text key and of two columns: all rows, none over twice the target, each in one chunk."""
-    lines = t("lineitem").selectExpr("case when l_orderkey % 10 > 0 then l_orderkey * l_orderkey * 1000003 - l_partkey * 7 end k", "l_orderkey", "l_linenumber")
+    """Chunks of a sparse wide key with nulls, of a text key and of two columns: all rows, over twice the target only single keys that have as many, each row in one chunk."""
+    lines = t("lineitem").selectExpr("case when l_orderkey % 10 > 0 then cast(l_orderkey as decimal(19,0)) * l_orderkey * 1000003 - l_partkey * 7 end k", "l_orderkey", "l_linenumber")
     out = None
     for kind, rows, keys in (("sparse", lines, ["k"]), ("text", t("part"), ["p_name"]), ("pair", lines, ["l_orderkey", "l_linenumber"])):
         plan = cut(load.equi_depth(rows, keys, 500))

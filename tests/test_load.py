@@ -245,6 +245,15 @@ def test_equal_depth_chunks_cover_and_reach_the_scan(spark, folder):
     assert load.equi_depth(rows.limit(0), ["b"], 10).count() == 0
 
 
+def test_a_key_of_many_rows_is_a_chunk_of_its_own(spark):
+    sizes = {0: 30, 1: 500, 2: 90, 3: 99, 4: 101, 5: 250, 6: 99, 7: 1}
+    rows = spark.createDataFrame([(k,) for k, n in sizes.items() for _ in range(n)], "k long")
+    chunks = load.equi_depth(rows, ["k"], 100).orderBy("chunk_no").collect()
+    members = [[k for k in sizes if (c.lo is None or k >= c.lo.k) and (c.hi is None or k < c.hi.k)] for c in chunks]
+    assert sum(members, []) == list(sizes) and [c.n_rows for c in chunks] == [sum(sizes[k] for k in m) for m in members]
+    assert all(len(m) == 1 for m in members if any(sizes[k] > 100 for k in m)) and all(c.n_rows < 200 or len(m) == 1 for c, m in zip(chunks, members, strict=True))
+
+
 def test_asof_against_loops(spark):
     import random
 
