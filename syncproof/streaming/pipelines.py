@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from syncproof.operators.anomaly import COLD, LIMIT, MAD_FACTOR, MEMORY
+from syncproof.operators.anomaly import COLD, LIMIT, MAD_FACTOR, MEMORY, windows
 from syncproof.operators.events import CHECKSUM, parse_events
 from syncproof.operators.log import inject_metadata
 
@@ -55,31 +56,33 @@ def windowed_counts(events: DataFrame, ts: Column, kind: str, width: str, late:
 
 
 def score_then_learn(values: Sequence[float], state: tuple) -> tuple[list[tuple[str, float, bool]], tuple]:
-    """Each value against (count, mean, m2, the last 200), which then take it in: mean and deviation are those of the whole life."""
+    """Each value against (count, mean, m2, the last 200), which then take it in: mean and deviation are those of the whole life.
+
+    A missing value (NaN) has a place among the last 200, but counts for nothing, and its score is 0.
+    """
+    status, score, anomaly, state = scored(np.asarray(values, float), state)
+    return list(zip(status.tolist(), score.tolist(), anomaly.tolist(), strict=True)), state
+
+
+def scored(v: np.ndarray, state: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """score_then_learn() as arrays: medians and MADs of all places at once, by windows that go on from the state's values."""
     count, mean, m2, ring = state
-    out = []
-    for v in values:
-        if count < COLD:
-            out.append(("cold_start", 0.0, False))
-        else:
-            s = pd.Series(ring)
-            med = s.median()
-            mad = (s - med).abs().median()
-            sd = (m2 / (count - 1)) ** 0.5
-            if mad > 0:
-                score = abs(MAD_FACTOR * (v - med) / mad)
-                out.append(("scored", score, score > LIMIT))
-            elif sd > 0:
-                score = abs(v - mean) / sd
-                out.append(("scored", score, score > LIMIT))
-            else:
-                out.append(("scored", 0.0, v != mean))
-        count += 1
-        delta = v - mean
-        mean += delta / count
-        m2 += delta * (v - mean)
-        ring = [*ring[-(MEMORY - 1) :], v]
-    return out, (count, mean, m2, ring)
+    before = np.concatenate([np.asarray(ring, float), v])
+    _, _, _, med, mad = windows(before, len(ring), MEMORY, None)
+    n, mu, sd = np.empty(len(v), np.int64), np.empty(len(v)), np.empty(len(v))
+    for i, x in enumerate(v.tolist()):
+        n[i], mu[i], sd[i] = count, mean, (m2 / (count - 1)) ** 0.5 if count > 1 else 0.0
+        if x == x:
+            count += 1
+            delta = x - mean
+            mean += delta / count
+            m2 += delta * (x - mean)
+    with np.errstate(all="ignore"):
+        robust, plain = np.abs(MAD_FACTOR * (v - med) / mad), np.abs(v - mu) / sd
+    score = np.nan_to_num(np.where(mad > 0, robust, np.where(sd > 0, plain, 0.0)), posinf=np.inf)
+    warm = n >= COLD
+    anomaly = warm & ~np.isnan(v) & np.where((mad > 0) | (sd > 0), score > LIMIT, v != mu)
+    return np.where(warm, "scored", "cold_start"), np.where(warm, score, 0.0), anomaly, (count, mean, m2, before[-MEMORY:].tolist())
 
 
 def anomaly_stream(points: DataFrame, key: str = "pipeline_id", order: str = "seq", value: str = "value") -> DataFrame:
@@ -89,9 +92,9 @@ def anomaly_stream(points: DataFrame, key: str = "pipeline_id", order: str = "se
     def run(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = state.get if state.exists else (0, 0.0, 0.0, [])
         part = pd.concat(list(parts)).sort_values("seq")
-        out, kept = score_then_learn(part["value"].tolist(), (kept[0], kept[1], kept[2], list(kept[3])))
+        status, score, anomaly, kept = scored(part["value"].to_numpy(float), kept)
         state.update(kept)
-        yield pd.DataFrame({"key": keys[0], "seq": part["seq"].to_numpy(), "value": part["value"].to_numpy(), "status": [x[0] for x in out], "score": [x[1] for x in out], "anomaly": [x[2] for x in out]})
+        yield pd.DataFrame({"key": keys[0], "seq": part["seq"].to_numpy(), "value": part["value"].to_numpy(), "status": status, "score": score, "anomaly": anomaly})
 
     return slim.groupBy("key").applyInPandasWithState(run, "key string, seq long, value double, status string, score double, anomaly boolean", "count long, mean double, m2 double, ring array<double>", "append", GroupStateTimeout.NoTimeout)
 

@@ -74,6 +74,20 @@ def test_anomaly_stream_is_its_batch_twin(spark, folder):
     assert got == want and got[60][2]
 
 
+def test_batches_come_in_order_and_missing_values_do_not_count(spark, monkeypatch):
+    from syncproof.plans import streams
+
+    made = []
+    monkeypatch.setattr(streams, "new_path", lambda spark: made.append(tempfile.mkdtemp(prefix="syncproof-test-") + "/x") or made[-1])
+    rows = [("p" if i % 2 else "q", i * 7919 % 5000, None if i % 50 == 3 else float(i * 37 % 11) + (500 if i == 60 else 0)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "pipeline_id string, seq long, value double").repartition(3)
+    stream = streams.in_order(df, "seq", 900)
+    seen = spark.read.parquet(made[0]).groupBy(F.input_file_name().alias("f")).agg(F.min("seq").alias("a"), F.max("seq").alias("z")).orderBy("f").collect()
+    assert len(seen) == 6 and all(x.z < y.a for x, y in zip(seen, seen[1:], strict=False))
+    got = {r.seq: (r.status, round(r.score, 6), r.anomaly) for r in run(pipelines.anomaly_stream(stream), "ordered_scores").collect()}
+    assert got == {r.seq: (r.status, round(r.score, 6), r.anomaly) for r in anomaly.anomaly_lifetime(df, ["pipeline_id"], ["seq"], "value").collect()}
+
+
 def test_incident_stream(spark, folder):
     rows = [("f", 1, False), ("f", 2, False), ("f", 3, True), ("f", 4, False), ("g", 5, False)]
     df = spark.createDataFrame(rows, "fingerprint string, seq long, resolve boolean")
