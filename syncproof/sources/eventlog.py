@@ -5,6 +5,7 @@ where its offsets say.
     spark.read.format("event_log").option("path", folder).option("range_bytes", "8388608").load()
 
 Files are found and read through pyarrow's file systems, so a path may be a URI of any store that those reach. A range owns the lines that begin in it.
+Ranges have `range_bytes` bytes, or more where there would be over `max_ranges` of them, so that tasks do not grow in number with the log.
 Lines that are no JSON objects, or have no event, are left out, as operators.events.parse_events() does. A stream's offset is each file's length up to
 its last whole line: a torn last line waits for the rest of it. Batch reads need `spark.sql.python.filterPushdown.enabled` in their session.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 FIELDS = ["ts", "event", "sync_id", "pipeline_id", "stream", "payload"]
+MOST = 256
 TAKEN = {"event", "sync_id", "pipeline_id", "stream"}
 
 
@@ -49,22 +51,34 @@ def ranges(file: str, start: int, end: int, size: int) -> list[Range]:
     return [Range(file, a, min(a + size, end)) for a in range(start, end, size)]
 
 
+def planned(spans: dict[str, tuple[int, int]], size: int, most: int) -> list[Range]:
+    """The ranges of stretches of files, of at least `size` bytes and at most `most` in number, but for one a file."""
+    size = max(size, -(-sum(max(0, b - a) for a, b in spans.values()) // most))
+    return [r for file, (a, b) in sorted(spans.items()) for r in ranges(file, a, b, size)]
+
+
 def lines(path: str, part: Range, block: int = 1 << 20) -> Iterator[bytes]:
-    """The lines that begin in a range; the last one may end beyond it."""
+    """The lines that begin in a range; the last one may end beyond it. Beyond the range little more is read than that line."""
     with opened(path, part.file) as f:
-        at = part.start
-        if at:  # a line that begins at the range's start belongs to it
-            f.seek(at - 1)
-            at -= 1
-            skip = True
-        else:
-            skip = False
-        rest = b""
-        begun = at
+        skip = part.start > 0  # a line that begins at the range's start belongs to it
+        begun = max(0, part.start - 1)
+        f.seek(begun)
+        at, step, held = begun, 1 << 12, []
         while True:
-            got = f.read(block)
-            rest += got
-            *whole, tail = rest.split(b"\n")
+            if at < part.end:
+                got = f.read(min(block, part.end - at))
+            else:
+                got, step = f.read(min(block, step)), 2 * step
+            at += len(got)
+            if got and b"\n" not in got:
+                if skip and at >= part.end:  # no line begins here
+                    return
+                if not skip:
+                    held.append(got)
+                else:
+                    begun += len(got)
+                continue
+            *whole, tail = b"".join([*held, got]).split(b"\n")
             if not got:
                 whole, tail = ([tail] if tail else []), b""
             for line in whole:
@@ -75,28 +89,28 @@ def lines(path: str, part: Range, block: int = 1 << 20) -> Iterator[bytes]:
                 else:
                     yield line
                 begun += len(line) + 1
-            rest = tail
+            held = [tail] if tail else []
             if not got or begun >= part.end:
                 return
 
 
+def as_text(v) -> str | None:
+    return v if v is None or isinstance(v, str) else json.dumps(v, separators=(",", ":"), ensure_ascii=False)
+
+
 def rows(path: str, part: Range, wanted: dict[str, set[str]]) -> Iterator[tuple]:
     for line in lines(path, part):
         try:
             e = json.loads(line)
         except ValueError:
             continue
-        if not isinstance(e, dict) or not e.get("event"):
-            continue
-        text = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v, separators=(",", ":"), ensure_ascii=False)
-        row = tuple(text(e.get(k)) for k in FIELDS)
-        if all(row[FIELDS.index(k)] in v for k, v in wanted.items()):
-            yield row
+        if isinstance(e, dict) and e.get("event") and all(as_text(e.get(k)) in v for k, v in wanted.items()):
+            yield tuple([as_text(e.get(k)) for k in FIELDS])
 
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.size, self.wanted = options["path"], int(options.get("range_bytes", 8 << 20)), {}
+        self.path, self.size, self.most, self.wanted = options["path"], int(options.get("range_bytes", 8 << 20)), int(options.get("max_ranges", MOST)), {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
         for f in filters:
@@ -107,7 +121,7 @@ class Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Range]:
-        return [r for file, n in sorted(files(self.path).items()) for r in ranges(file, 0, n, self.size)] or [Range("", 0, 0)]
+        return planned({file: (0, n) for file, n in files(self.path).items()}, self.size, self.most) or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         return rows(self.path, partition, self.wanted) if partition.file else iter(())
@@ -115,7 +129,7 @@ class Reader(DataSourceReader):
 
 class StreamReader(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.path, self.size = options["path"], int(options.get("range_bytes", 8 << 20))
+        self.path, self.size, self.most = options["path"], int(options.get("range_bytes", 8 << 20)), int(options.get("max_ranges", MOST))
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {}
@@ -136,7 +150,7 @@ class StreamReader(DataSourceStreamReader):
         return 0
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        return [r for file, n in sorted(end.items()) for r in ranges(file, start.get(file, 0), n, self.size)]
+        return planned({file: (start.get(file, 0), n) for file, n in end.items()}, self.size, self.most)
 
     def read(self, partition: Range) -> Iterator[tuple]:
         return rows(self.path, partition, {})

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
+from syncproof.sources import eventlog
 from syncproof.sources.eventlog import EventLog, Range, Reader, StreamReader, lines, ranges
 
 
@@ -53,3 +54,39 @@ def test_folder_without_files(tmp_path, spark):
     session.dataSource.register(EventLog)
     assert session.read.format("event_log").option("path", str(tmp_path)).load().count() == 0
     assert list(Reader({"path": str(tmp_path)}).read(Range("", 0, 0))) == []
+
+
+def test_ranges_do_not_grow_in_number_with_the_log(folder):
+    """Of a larger log ranges are longer, and all of its lines are read once."""
+    for make in (Reader, StreamReader):
+        reader = make({"path": str(folder), "range_bytes": "10", "max_ranges": "12"})
+        parts = reader.partitions() if make is Reader else reader.partitions({}, reader.latestOffset())
+        assert 10 < len(parts) <= 14
+        assert [r[2] for p in parts for r in reader.read(p)] == [f"s{i}" for i in range(200 if make is Reader else 199)]
+
+
+def test_a_range_reads_little_beyond_itself(tmp_path, monkeypatch):
+    """Not a block of a megabyte for each range, and of a line of many ranges no range but the one that it begins in reads the rest."""
+    path = tmp_path / "log"
+    path.write_bytes(b"x" * 3_000_000 + b"\n" + b"y" * 99 + b"\n")
+    read = []
+
+    class Counted:
+        def __init__(self, file):
+            self.f = open(file, "rb")  # noqa: SIM115
+            self.seek = self.f.seek
+
+        def read(self, n):
+            got = self.f.read(n)
+            read.append(len(got))
+            return got
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *e):
+            self.f.close()
+
+    monkeypatch.setattr(eventlog, "opened", lambda folder, file: Counted(file))
+    got = [line for r in ranges(str(path), 0, 3_000_101, 10_000) for line in lines(str(tmp_path), r)]
+    assert list(map(len, got)) == [3_000_000, 99] and sum(read) < 3 * 3_000_101
