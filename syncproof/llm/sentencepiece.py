@@ -38,6 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST_SHARED = 48
 HEAD, BLOCK, LONG = 4, 256, 64
+GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 SIGN = np.uint64(1 << 63)
 
 
@@ -221,18 +222,18 @@ def viterbi(lattice: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         done, now = acc["done"], acc["now"]
         same_end = F.struct(done.alias("done"), F.greatest(now, F.get(done, x["s"]) + x["score"]).alias("now"))
-        next_end = F.struct(F.concat(done, F.array(now)).alias("done"), (F.coalesce(F.get(done, x["s"]), now) + x["score"]).alias("now"))
+        next_end = F.struct(F.array_append(done, now).alias("done"), (F.coalesce(F.get(done, x["s"]), now) + x["score"]).alias("now"))
         return F.when(x["e"] == F.size(done), same_end).otherwise(next_end)
 
     def back(best: Column):
         def walk(acc: Column, x: Column) -> Column:
             on = (x["e"] == acc["at"]) & (F.get(best, x["s"]) + x["score"] == F.get(best, x["e"]))
-            return F.when(on, F.struct(x["s"].alias("at"), F.concat(acc["path"], F.array(F.struct(x["id"].alias("id"), x["s"].alias("s")))).alias("path"))).otherwise(acc)
+            return F.when(on, F.struct(x["s"].alias("at"), F.array_append(acc["path"], F.struct(x["id"].alias("id"), x["s"].alias("s"))).alias("path"))).otherwise(acc)
 
         end = F.struct((F.size(best) - 1).alias("at"), F.array().cast("array<struct<id:int,s:int>>").alias("path"))
         return F.aggregate(F.reverse(lattice), end, walk, lambda acc: acc["path"])
 
-    scores = F.aggregate(lattice, start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    scores = F.aggregate(lattice, start, step, lambda acc: F.array_append(acc["done"], acc["now"]))
     return F.get(F.transform(F.array(scores), back), 0)
 
 
@@ -264,7 +265,13 @@ def encoded_units(units: DataFrame, pieces: Pieces, units_a_task: int = 10_000)
     unknown = as_bytes if len(pieces.fallback) == 256 else lambda s: F.array(F.lit(pieces.fallback[0]))
     known = F.forall("path", lambda p: p["id"] >= 0)
     ids = F.when(known, F.reverse(F.transform("path", lambda p: p["id"]))).otherwise(F.flatten(F.transform(F.reverse("path"), lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(unknown(p["s"])))))
-    done = cut(lattice.select("unit", viterbi(F.col("lattice")).alias("path")).select("unit", ids.alias("ids")).select("unit.unit", "unit.n", "ids"))
+    folded = lattice.select("unit", viterbi(F.col("lattice")).alias("path")).select("unit", ids.alias("ids")).select("unit.unit", "unit.n", "ids")
+    before = spark.conf.get(GROUPS)
+    spark.conf.set(GROUPS, str(2 * units_a_task))  # a task's units are few and short: its edges are gathered without a sort
+    try:
+        done = cut(folded)
+    finally:
+        spark.conf.set(GROUPS, before)
     long = numbered.filter("long")
     if not long.isEmpty():
         fallback = pieces.fallback
@@ -406,7 +413,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str], text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(shared.value[0], regex, shared.value[1].dummy_prefix), Decoder(shared.value[1])
         for batch in batches:
-            for part in slices(batch, "text", rows=4096, nbytes=4 << 20):
+            for part in slices(batch, "text", rows=4096, nbytes=2 << 20):
                 texts = part.columns[-1]
                 ids, missing = encoder.encode(texts)
                 if missing is None:
