@@ -38,7 +38,6 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST_SHARED = 48
 HEAD, BLOCK, LONG = 4, 256, 64
-GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 SIGN = np.uint64(1 << 63)
 
 
@@ -266,12 +265,7 @@ def encoded_units(units: DataFrame, pieces: Pieces, units_a_task: int = 10_000)
     known = F.forall("path", lambda p: p["id"] >= 0)
     ids = F.when(known, F.reverse(F.transform("path", lambda p: p["id"]))).otherwise(F.flatten(F.transform(F.reverse("path"), lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(unknown(p["s"])))))
     folded = lattice.select("unit", viterbi(F.col("lattice")).alias("path")).select("unit", ids.alias("ids")).select("unit.unit", "unit.n", "ids")
-    before = spark.conf.get(GROUPS)
-    spark.conf.set(GROUPS, str(2 * units_a_task))  # a task's units are few and short: its edges are gathered without a sort
-    try:
-        done = cut(folded)
-    finally:
-        spark.conf.set(GROUPS, before)
+    done = cut(folded)
     long = numbered.filter("long")
     if not long.isEmpty():
         fallback = pieces.fallback
