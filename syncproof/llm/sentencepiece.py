@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding as a relational lattice, with a Viterbi fold in Spark's higher-order functions.
 
-Texts are cut into units that no piece of the vocabulary spans. The distinct units of the corpus are exploded into their
-substrings of bounded length, which an equi-join with the piece table turns into lattice edges; the table leaves out pieces
-that lose to a split of themselves, as no best path holds them. Edges are grouped by unit and a fold over them by end
-position keeps the best path (largest sum of scores; of equal ones the edge that starts first).
+Texts are cut into units that no piece of the vocabulary spans. The distinct units of the corpus are exploded into the ends
+of their substrings; an equi-join of the characters before an end with the tails of the pieces turns each into the lattice
+edges that end there. The table leaves out pieces that lose to a split of themselves, as no best path holds them. Ends are
+grouped by unit and a fold over them keeps the best path (largest sum of scores; of equal ones the edge that starts first).
 A character without a piece gets an edge of the least score less ten and becomes its UTF-8 bytes (or the unknown piece).
 
 Applying the units' pieces to documents needs no shuffle of texts: the most frequent units (at most `dictionary_units`, each
@@ -26,19 +26,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from syncproof.llm.common import cut, slices, table
-from syncproof.llm.sets import runs
+from syncproof.llm.sets import runs, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST_SHARED = 48
 HEAD, BLOCK, LONG = 4, 256, 64
 SIGN = np.uint64(1 << 63)
+KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of a word of eight
 
 
 @dataclass
@@ -105,7 +105,26 @@ def normalised(text: str, dummy_prefix: bool) -> str:
 
 
 def hashes(units: pa.Array) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, units.cast(pa.binary()).to_pylist()), np.uint64, len(units))
+    """64-bit hashes of their bytes, which are mixed in by eights after the length; of units that no dictionary holds, of the first bytes alone."""
+    binary = units.cast(pa.large_binary())
+    offsets = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(units) + 1] if len(units) else np.zeros(1, np.int64)
+    first, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+    data = np.zeros(size // 8 * 8 + 24, np.uint8)
+    if size:
+        data[:size] = np.frombuffer(binary.buffers()[2], np.uint8, size, first)
+    eights, at, left = data.view("<u8"), offsets[:-1] - first, np.minimum(np.diff(offsets), 4 * LONGEST_SHARED)
+    out, rows = spread(left.astype(np.uint64)), slice(None)
+    while len(at):
+        bits = (at.astype(np.uint64) & np.uint64(7)) << np.uint64(3)
+        word = eights[at >> 3] >> bits
+        word |= eights[(at >> 3) + 1] << np.uint64(1) << (np.uint64(63) - bits)
+        word &= KEPT[np.minimum(left, 8)]
+        word ^= out[rows]
+        out[rows] = spread(word)
+        more = np.flatnonzero(left > 8)
+        rows = more if isinstance(rows, slice) else rows[more]
+        at, left = at[more] + 8, left[more] - 8
+    return out
 
 
 # --- lattice and Viterbi over distinct units -----------------------------------------------------------------------
@@ -187,53 +206,72 @@ def distinct_units(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataF
     return words.mapInArrow(split, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+def tails(pieces: Pieces) -> list[tuple[str, list, list | None]]:
+    """(tail, found, longer): for each end of at most HEAD characters that a useful piece has, the (n, id, score) of all useful pieces that it ends with,
+    and (piece, n, id, score) of longer ones that end with it. A last character that is no piece is found as id -1, at the least score less ten."""
+    ids: dict[str, list[int]] = {}
+    longer: dict[str, list] = {}
+    for i in pieces.useful():
+        piece = pieces.pieces[i]
+        ids.setdefault(piece, []).append(i)
+        more = longer.setdefault(piece[-HEAD:], [])
+        if len(piece) > HEAD:
+            more.append((piece, len(piece), i, float(pieces.scores[i])))
+    found = lambda t: [(n, i, float(pieces.scores[i])) for n in range(1, len(t) + 1) for i in ids.get(t[-n:], [])]
+    unknown = lambda t: [] if t[-1] in ids else [(1, -1, pieces.unknown_score)]
+    return [(t, found(t) + unknown(t), more or None) for t, more in longer.items()]
+
+
 def edges(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(uid, unit: struct) -> (uid, unit: in one row of each uid, e, n, s, id, score, sub): a row for each substring of n characters from s up to e that is
-    a useful piece, and for each lone character that is none (id -1, sub: the character).
+    """(uid, unit: struct) -> (uid, unit: in one row of each uid, e, character, found): a row for each end e of substrings, with the last character and
+    (n, id, score) of each useful piece of n characters that ends there, and of the lone character if it is none (id -1).
 
-    Substrings of at most HEAD characters meet the heads of the pieces; of longer pieces the rest is compared after the join. Units are cut into
-    blocks first, and a row holds no more than the longest piece could cover, so that long units cost their length, not its square.
+    The last characters, HEAD of them or the most that the tail of any piece matches, meet the tails of the pieces; of longer pieces the rest is
+    compared after the join. Units are cut into blocks first, and a row holds no more than the longest piece could cover, so that long units cost
+    their length, not its square.
     """
     spark = units.sparkSession
-    rows = [(pieces.pieces[i][:HEAD], pieces.pieces[i], len(pieces.pieces[i]), i, float(pieces.scores[i])) for i in pieces.useful()]
-    vocabulary = spark.createDataFrame(rows, "head string, piece string, size int, id int, score float")
-    longest = max([HEAD, *(r[2] for r in rows)])
+    edge = "array<struct<n:int,id:int,score:float>>"
+    vocabulary = spark.createDataFrame(tails(pieces), f"tail string, own {edge}, longer array<struct<piece:string,n:int,id:int,score:float>>")
+    longest = max([HEAD, *(len(pieces.pieces[i]) for i in pieces.useful())])
     blocks = units.select("uid", "unit", F.explode(F.sequence(F.lit(0), F.length("unit.unit") - 1, F.lit(BLOCK))).alias("base"))
-    texts = blocks.select("uid", F.when(F.col("base") == 0, F.col("unit")).alias("unit"), "base", F.substr(F.col("unit.unit"), F.col("base") + 1, F.lit(BLOCK + longest)).alias("block"))
-    starts = texts.select("uid", "unit", "base", "block", F.explode(F.sequence(F.lit(0), F.least(F.length("block"), F.lit(BLOCK)) - 1)).alias("at"))
-    rests = starts.select("uid", F.when(F.col("at") == 0, F.col("unit")).alias("unit"), (F.col("base") + F.col("at")).alias("s"), F.substr(F.col("block"), F.col("at") + 1, F.lit(longest)).alias("rest"))
-    spans = rests.select("uid", F.col("unit"), "s", "rest", F.explode(F.sequence(F.lit(1), F.least(F.length("rest"), F.lit(HEAD)))).alias("len"))
-    substrings = spans.withColumn("sub", F.substr(F.col("rest"), F.lit(1), F.col("len")))
-    met = substrings.join(F.broadcast(vocabulary), F.col("sub") == F.col("head"), "left")  # the vocabulary is fixed in size
-    whole = (F.col("size") <= HEAD) | F.col("rest").startswith(F.col("piece"))
-    edge = met.filter(F.when(F.col("id").isNull(), F.col("len") == 1).otherwise(whole))
-    size = F.coalesce("size", F.lit(1))
-    return edge.select("uid", F.when(F.col("len") == 1, F.col("unit")).alias("unit"), (F.col("s") + size).alias("e"), size.alias("n"), "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown_score).cast("float")).alias("score"), F.when(F.col("id").isNull(), F.col("sub")).alias("sub"))
+    begun = blocks.withColumn("off", F.greatest(F.col("base") - longest, F.lit(0)))
+    texts = begun.select("uid", F.when(F.col("base") == 0, F.col("unit")).alias("unit"), "base", "off", F.substr(F.col("unit.unit"), F.col("off") + 1, F.col("base") - F.col("off") + BLOCK).alias("block"))
+    ends = texts.select("uid", "unit", "off", "block", F.explode(F.sequence(F.col("base") + 1, F.col("off") + F.length("block"))).alias("e"))
+    at = F.col("e") - F.col("off")
+    last = lambda n: F.substr(F.col("block"), F.greatest(at - n + 1, F.lit(1)), F.least(at, F.lit(n)))
+    met = ends.select("uid", F.when(F.col("e") == 1, F.col("unit")).alias("unit"), "e", last(longest).alias("before"), last(HEAD).alias("end"), F.lit(None).cast(edge).alias("found"))
+    for n in range(HEAD, 0, -1):  # the vocabulary is fixed in size; what has met a tail looks for no shorter one
+        key = F.when(F.col("found").isNull(), F.right(F.col("end"), F.lit(n)))
+        met = met.join(F.broadcast(vocabulary if n == HEAD else vocabulary.drop("longer")), key == F.col("tail"), "left")
+        met = met.select("uid", "unit", "e", "before", "end", F.coalesce("found", "own").alias("found"), "longer")
+    whole = F.transform(F.filter("longer", lambda x: F.col("before").endswith(x["piece"])), lambda x: F.struct(x["n"].alias("n"), x["id"].alias("id"), x["score"].alias("score")))
+    unknown = F.array(F.struct(F.lit(1).alias("n"), F.lit(-1).alias("id"), F.lit(pieces.unknown_score).cast("float").alias("score")))
+    found = F.when(F.col("found").isNull(), unknown).when(F.col("longer").isNull(), F.col("found")).otherwise(F.concat("found", whole))
+    return met.select("uid", "unit", "e", F.right(F.col("end"), F.lit(1)).alias("character"), found.alias("found"))
 
 
 def viterbi(lattice: Column) -> Column:
-    """array of (e, n, s, id, score), sorted -> array of (id, s) of the best path, from its end; of equal ones the first start wins.
+    """array of (e, found), a row for each end, sorted -> array of (id, s) of the best path, from its end; of equal ones the first start wins.
 
-    A first fold, by ends, leaves the best score up to each character; a second, from the end backwards, walks along the edges that reach it.
+    A fold over ends keeps the best score up to each and the edge that reaches it so; a second, from the last end backwards, walks along these edges.
     """
-    start = F.struct(F.array().cast("array<float>").alias("done"), F.lit(0.0).cast("float").alias("now"))  # scores before this end, and this end's
+    start = F.array(F.struct(F.lit(0.0).cast("float").alias("score"), F.lit(0).alias("n"), F.lit(0).alias("id")))
 
-    def step(acc: Column, x: Column) -> Column:
-        done, now = acc["done"], acc["now"]
-        same_end = F.struct(done.alias("done"), F.greatest(now, F.get(done, x["s"]) + x["score"]).alias("now"))
-        next_end = F.struct(F.array_append(done, now).alias("done"), (F.coalesce(F.get(done, x["s"]), now) + x["score"]).alias("now"))
-        return F.when(x["e"] == F.size(done), same_end).otherwise(next_end)
+    def step(best: Column, x: Column) -> Column:
+        ways = F.transform(x["found"], lambda y: F.struct((F.get(best, x["e"] - y["n"])["score"] + y["score"]).alias("score"), y["n"].alias("n"), y["id"].alias("id")))
+        return F.array_append(best, F.array_max(ways))  # of equal scores the longest edge starts first
 
-    def back(best: Column):
-        def walk(acc: Column, x: Column) -> Column:
-            on = (x["e"] == acc["at"]) & (F.get(best, x["s"]) + x["score"] == F.get(best, x["e"]))
-            return F.when(on, F.struct(x["s"].alias("at"), F.array_append(acc["path"], F.struct(x["id"].alias("id"), x["s"].alias("s"))).alias("path"))).otherwise(acc)
+    def walk(acc: Column, x: Column) -> Column:
+        s = acc["at"] - x["n"]
+        taken = F.struct(s.alias("at"), (x["n"] - 1).alias("over"), F.array_append(acc["path"], F.struct(x["id"].alias("id"), s.alias("s"))).alias("path"))
+        return F.when(acc["over"] > 0, F.struct(acc["at"].alias("at"), (acc["over"] - 1).alias("over"), acc["path"].alias("path"))).when(x["n"] > 0, taken).otherwise(acc)
 
-        end = F.struct((F.size(best) - 1).alias("at"), F.array().cast("array<struct<id:int,s:int>>").alias("path"))
-        return F.aggregate(F.reverse(lattice), end, walk, lambda acc: acc["path"])
+    def back(best: Column) -> Column:
+        end = F.struct((F.size(best) - 1).alias("at"), F.lit(0).alias("over"), F.array().cast("array<struct<id:int,s:int>>").alias("path"))
+        return F.aggregate(F.reverse(best), end, walk, lambda acc: acc["path"])
 
-    scores = F.aggregate(lattice, start, step, lambda acc: F.array_append(acc["done"], acc["now"]))
-    return F.get(F.transform(F.array(scores), back), 0)
+    return F.aggregate(lattice, start, step, back)
 
 
 def best_path(e: np.ndarray, s: np.ndarray, score: np.ndarray) -> list[int]:
@@ -257,7 +295,7 @@ def encoded_units(units: DataFrame, pieces: Pieces, units_a_task: int = 10_000)
     numbered = cut(units.select(F.struct("unit", "n").alias("unit"), F.monotonically_increasing_id().alias("uid"), (F.length("unit") > LONG).alias("long")))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-numbered.count() // units_a_task))
     dealt = edges(numbered.filter("not long").repartition(tasks, "uid"), pieces)  # the groups below stay in these partitions: edges are not shuffled
-    lattice = dealt.groupBy("uid").agg(F.max("unit").alias("unit"), F.sort_array(F.collect_list(F.struct("e", "n", "s", "id", "score"))).alias("lattice"))
+    lattice = dealt.groupBy("uid").agg(F.max("unit").alias("unit"), F.sort_array(F.collect_list(F.struct("e", "found"))).alias("lattice"))
     codes = F.array(*[F.lit(i) for i in pieces.fallback])
     character = lambda s: F.encode(F.substr(F.col("unit.unit"), s + 1, F.lit(1)), "UTF-8")
     as_bytes = lambda s: F.transform(F.sequence(F.lit(1), F.octet_length(character(s))), lambda k: F.get(codes, F.conv(F.hex(F.substring(character(s), k, F.lit(1))), 16, 10).cast("int")))
@@ -279,7 +317,8 @@ def encoded_units(units: DataFrame, pieces: Pieces, units_a_task: int = 10_000)
                 out += [i] if i >= 0 else [fallback[b] for b in sub.encode()] if len(fallback) == 256 else fallback
             return pa.table({"uid": group.column("uid").slice(0, 1), "ids": pa.array([out], pa.list_(pa.int32()))})
 
-        found = edges(long.repartition("uid"), pieces).drop("unit").groupBy("uid").applyInArrow(fold, "uid long, ids array<int>")
+        each = edges(long.repartition("uid"), pieces).select("uid", "e", "character", F.explode("found").alias("edge"))
+        found = each.select("uid", "e", (F.col("e") - F.col("edge.n")).alias("s"), "edge.id", "edge.score", F.when(F.col("edge.id") < 0, F.col("character")).alias("sub")).groupBy("uid").applyInArrow(fold, "uid long, ids array<int>")
         done = done.unionByName(cut(found.join(long, "uid").select("unit.unit", "unit.n", "ids")))
     return done
 
@@ -299,7 +338,9 @@ class Dictionary:
         """(known, start, count) of hashes; of unknown ones (start 0, count 1)."""
         if not len(self.keys):
             return np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.ones(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        order, at = np.argsort(h), np.empty(len(h), np.int64)
+        at[order] = np.searchsorted(self.keys, h[order])  # in ascending order a search finds the keys near in memory
+        np.minimum(at, len(self.keys) - 1, out=at)
         known, starts = self.keys[at] == h, self.bounds[at].astype(np.int64)
         return known, np.where(known, starts, 0), np.where(known, self.bounds[at + 1] - starts, 1)
 

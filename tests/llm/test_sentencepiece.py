@@ -89,3 +89,35 @@ def test_kept_columns_of_clashing_names(documents):
     out = S.tokenize(docs, docs.columns)
     assert out.columns == ["doc_id", "text", "decoded", "kept", "ids", "round_trip"]
     assert {r.doc_id: r.decoded for r in S.decode(out, S.Pieces.load()).collect()} == {0: "some words", 1: None}
+
+
+def test_lattice_has_a_row_for_each_character(spark):
+    from pyspark.sql import functions as F
+
+    p = S.Pieces.load()
+    texts = ["▁international", "▁a", "語x🦀", "▁" * 20, "the" * 150]
+    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "uid long, unit string, n long").select("uid", F.struct("unit", "n").alias("unit"))
+    got = S.edges(rows, p).collect()
+    assert sorted((r.uid, r.e) for r in got) == [(i, e) for i, t in enumerate(texts) for e in range(1, len(t) + 1)]
+    assert sorted(r.unit.unit for r in got if r.unit) == sorted(texts)
+    ids = {p.pieces[i]: i for i in p.useful()}
+    longest = max(map(len, ids))
+    for r in got:
+        t = texts[r.uid]
+        want = {(n, ids[t[r.e - n : r.e]], p.scores[ids[t[r.e - n : r.e]]]) for n in range(1, min(r.e, longest) + 1) if t[r.e - n : r.e] in ids}
+        assert r.character == t[r.e - 1] and {tuple(x) for x in r.found} == want | ({(1, -1, p.unknown_score)} if r.character not in ids else set())
+
+
+def test_hashes_and_search():
+    import numpy as np
+    import pyarrow as pa
+
+    units = ["", "a", "a\0", "▁ab", "1234567", "12345678", "123456789", "123456781", "🦀" * 48, "🦀" * 47 + "x", *map(str, range(5000))]
+    h = S.hashes(pa.array(units))
+    assert len(set(h.tolist())) == len(units)
+    assert (S.hashes(pa.array(["some", *reversed(units)]).slice(1)) == h[::-1]).all() and len(S.hashes(pa.array([], pa.string()))) == 0
+    inside = np.sort(h[::2])
+    known, starts, n = S.Dictionary(inside, np.arange(len(inside)) % 3 + 1, np.zeros(1, np.uint16)).find(h)
+    assert known.tolist() == [i % 2 == 0 for i in range(len(units))]
+    at = np.searchsorted(inside, h[::2])
+    assert (n[::2] == at % 3 + 1).all() and (starts[::2] == np.concatenate(([0], np.cumsum(np.arange(len(inside)) % 3 + 1)))[at]).all() and (n[1::2] == 1).all()
