@@ -25,8 +25,8 @@ Shingles = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows; df must be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, to be broadcast if it has at most so many rows, else to be shuffled, whatever size Spark takes it for; df must be cheap to count."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
 def drawn(postings: DataFrame, max_broadcast_rows: int) -> DataFrame:

@@ -76,7 +76,7 @@ def links(fps: DataFrame, most_bits: int = 3, dense: int = 512) -> DataFrame:
     for bits in (8, 4, 2):
         posted = rows.select("fingerprint", F.explode(_postings(bits)).alias("p")).select("fingerprint", "p.key", "p.free")
         sizes = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        sized = cut(posted.join(sizes, "key"))
+        sized = cut(posted.join(sizes.hint("merge"), "key"))  # Spark does not see that the entries are 14 times the rows, and would broadcast them
         whole = (F.col("n") <= dense) | F.lit(bits == 2)  # in the last, 256 at most share a key
         pairs = sized.filter(whole).groupBy("key").agg(F.collect_list("fingerprint").alias("members")).select("members").mapInArrow(_forests(most_bits), "a long, b long")
         found = pairs if found is None else found.unionByName(pairs)

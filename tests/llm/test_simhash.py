@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from syncproof.llm import simhash as S
 from syncproof.llm.components import components
@@ -99,3 +100,17 @@ def test_components(spark):
     got = {r.node: r.component for r in components(e).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
     assert components(e.limit(0)).count() == 0
+
+
+def test_only_counted_tables_are_broadcast(spark, monkeypatch):
+    """Whatever size Spark takes them for: postings are 14 times the rows that it sees."""
+    from syncproof.llm import linking
+
+    plans, cut = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    S.links(spark.range(50).select(F.col("id").alias("fingerprint"))).collect()
+    ids, few = spark.range(9), spark.range(5)
+    plans += [ids.join(linking.bounded(few, 4), "id")._jdf.queryExecution().executedPlan().toString()]
+    assert len(plans) > 1
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+    assert "BroadcastHashJoin" in ids.join(linking.bounded(few, 5), "id")._jdf.queryExecution().executedPlan().toString()
