@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from syncproof.llm import collocation
 
@@ -87,3 +89,29 @@ def test_exact_scores_beyond_64_bits(spark):
 def test_no_documents(spark):
     assert mined(spark, [("en", None)]) == []
     assert collocation.mine(spark.createDataFrame([], "text string, lang string")).count() == 0
+
+
+def test_over_a_million_phrases_are_counted_by_ids(spark, monkeypatch):
+    """1.2 million pairs, which an earlier bound of a million gave to joins of all n-grams, from the first scan again."""
+    def refused(*args):
+        raise AssertionError("counted by joins")
+
+    monkeypatch.setattr(collocation, "scan_joined", refused)
+    at = np.random.default_rng(1).integers(0, 3000, (65, 20_000))
+    df = spark.createDataFrame([("en", " ".join(f"w{i}" for i in row)) for row in at.tolist()], "lang string, text string")
+    phrases, totals = collocation.count_phrases(df, least=1, longest=3)
+    pairs, times = np.unique(at[:, :-1] * 3000 + at[:, 1:], return_counts=True)
+    got = phrases.groupBy("n").agg(F.count("*"), F.sum("f"), F.max("f")).orderBy("n").collect()
+    assert len(pairs) > 1_000_000
+    assert tuple(got[1]) == (2, len(pairs), times.sum(), times.max())
+    assert [tuple(r) for r in totals.collect()] == [("en", at.size)]
+
+
+def test_long_phrases_and_wide_slices(spark):
+    """More words than 16 bits number, in one slice, and slices cut at every document."""
+    text = " ".join(f"w{i}" for i in range(70_000)) + ". " + "w69998 w69999 w0 " * 3
+    docs = [("en", text)] * 2 + [(None, "x y z. " * 5)]
+    df = spark.createDataFrame(docs, "lang string, text string")
+    dealt = collocation.deal(df, 2, "lang", "text", nbytes=10).collect()
+    assert sorted((r.lang, len(r.words.split())) for r in dealt) == [("en", 70_000), ("en", 70_000), ("und", 3)]
+    assert mined(spark, docs, least=5) == plain(docs, 5, 5, 50)
