@@ -185,9 +185,15 @@ def _width(n_words: int) -> str:
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    for lang, held, ids in zip(*[batch.column(batch.schema.names.index(c)).to_pylist() for c in ("lang", "words", "ids")], strict=True):
-        own = held.split(b" ") if held else []
-        yield lang, own, np.frombuffer(ids, _width(len(own)))
+    lang, held, ids = (batch.column(batch.schema.names.index(c)) for c in ("lang", "words", "ids"))
+    for i in range(batch.num_rows):
+        own = held[i].as_py().split()
+        yield lang[i].as_py(), own, np.frombuffer(ids[i].as_buffer(), _width(len(own)))
+
+
+def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Runs of 64-bit values, from each cut to the next, as binaries over the values' own memory."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((8 * cuts).astype(np.int32)), pa.py_buffer(values)])
 
 
 def scan_words(shard: DataFrame, most_words: int = 300_000) -> DataFrame:
@@ -227,9 +233,9 @@ def active(ids: np.ndarray, known: dict, scan: int, shards: int, longest: int) -
 
 
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Each key once, in order, with the sum of its counts, or the number of times that it is there."""
+    """Each key once, in order, with the sum of its counts, or the number of times that it is there (keys are then sorted in place)."""
     if counts is None:
-        keys = np.sort(keys)
+        keys.sort()
     else:
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
@@ -237,20 +243,21 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[at], np.diff(at, append=len(keys)) if counts is None else np.add.reduceat(counts, at) if len(at) else counts
 
 
-def scan_phrases(shard: DataFrame, shared, scan: int, shards: int, longest: int, buckets: int, most: int = 1 << 22) -> DataFrame:
+def scan_phrases(shard: DataFrame, shared, scan: int, shards: int, longest: int, buckets: int, most: int = 1 << 20) -> DataFrame:
     """BLOBS of a shard's active phrases, in parts: keys and counts by the scan that they are active from and by bucket."""
     def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         when = shared.value["reached"]
-        keys, counts = summed(np.concatenate(held))
+        keys = np.concatenate(held)
+        held.clear()
+        keys, counts = summed(keys)
         since = np.maximum(when[keys >> 32], when[keys & 0xFFFFFFFF]).astype(np.int32) + 1
         bucket = ((keys.view(np.uint64) * _MIX >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
         for begun in np.unique(since).tolist():
             mine = np.flatnonzero(since == begun)
             mine = mine[np.argsort(bucket[mine], kind="stable")]
-            k, c, b = keys[mine], counts[mine].astype(np.int64), bucket[mine]
-            cuts = [*np.flatnonzero(np.diff(b, prepend=-1)).tolist(), len(b)]
-            spans = list(itertools.pairwise(cuts))
-            yield pa.RecordBatch.from_arrays([pa.array([begun] * len(spans), pa.int32()), pa.array(b[cuts[:-1]], pa.int32()), *[pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (k, c)]], names=["since", "bucket", "keys", "f"])
+            of = bucket[mine]
+            cuts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts) - 1, begun, np.int32)), pa.array(of[cuts[:-1]]), _blobs(keys[mine], cuts), _blobs(counts[mine], cuts)], names=["since", "bucket", "keys", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, n = shared.value, [], 0
@@ -265,7 +272,7 @@ def scan_phrases(shard: DataFrame, shared, scan: int, shards: int, longest: int,
                     n += len(keys)
                 if n > most:
                     yield from rows(held)
-                    held, n = [], 0
+                    n = 0
         if n:
             yield from rows(held)
 
